@@ -178,3 +178,38 @@ def per_doc(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Sum of ``values`` over each document's slice; empty slices give 0."""
     sums = np.concatenate([[0], np.cumsum(values)])
     return sums[offs[1:]] - sums[offs[:-1]]
+
+
+def map_texts(docs, make, out: str, columns: tuple[str, ...] = ("text",), row: bool = False):
+    """``doc_id`` and what ``make()`` finds in each chunk, one row for each document, in one Arrow pass.
+
+    ``make`` is called once a task and returns a function from a chunk (with ``columns``) to the arrays of
+    the columns in ``out``. With ``row`` a struct ``row`` carries all columns of ``docs`` along, so that
+    names cannot clash.
+    """
+    from pyspark.sql import functions as F
+
+    own = ["doc_id", *columns]
+    frame = docs.select(*own, *([F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if row else []))
+    names = ["doc_id", *(c.strip().split(" ")[0].split(":")[0] for c in _split_schema(out)), *(["row"] if row else [])]
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {out}" + (f", row {frame.schema['row'].dataType.simpleString()}" if row else "")
+
+    def run(batches):
+        f = make()
+        for batch in batches:
+            for part in chunks(batch, columns[0]):
+                arrays = [part.column("doc_id"), *f(part), *([part.column("row")] if row else [])]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return frame.mapInArrow(run, schema)
+
+
+def _split_schema(out: str) -> list[str]:
+    """Top-level parts of a DDL column list."""
+    parts, depth, at = [], 0, 0
+    for i, c in enumerate(out):
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            parts.append(out[at:i])
+            at = i + 1
+    return [*parts, out[at:]]
