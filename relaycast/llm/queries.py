@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, with_workers
-from . import bpe, decontaminate, quality_rules
+from . import bpe, decontaminate, quality_rules, sstable
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -28,6 +28,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.token_shards(table(with_workers(spark), sf_dir, "documents"), tokenizer_path())
+
+
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(with_workers(spark), sf_dir, "documents"), tokenizer_path(), digests=True)
 
@@ -37,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_rules,
         op2_decontaminate,
+        op3_token_shards,
         op9_bpe_encode_decode,
     )
 }
