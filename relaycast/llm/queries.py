@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, with_workers
-from . import bpe, decontaminate, quality_rules, sstable, substring_dedup
+from . import bpe, decontaminate, near_dedup, quality_rules, sstable, substring_dedup
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -32,6 +32,10 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(table(with_workers(spark), sf_dir, "documents"), tokenizer_path())
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(with_workers(spark), sf_dir, "documents"), near_dedup.Similar(shingle=3, percent=85))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.substring_dedup(table(with_workers(spark), sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_rules,
         op2_decontaminate,
         op3_token_shards,
+        op4_near_dedup,
         op6_substring_dedup,
         op9_bpe_encode_decode,
     )
