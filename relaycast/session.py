@@ -28,12 +28,15 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, app: str
 
 
 def with_workers(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package wherever the driver was started from."""
+    """Let Python workers import this package wherever the driver was started from, in batches of bounded bytes."""
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":")
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
     env.setdefault("OMP_NUM_THREADS", "1")
+    env.setdefault("TOKENIZERS_PARALLELISM", "false")
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") in ("67108864b", "64MB", "64m"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")  # a worker holds a batch in and one out
     return spark
 
 
