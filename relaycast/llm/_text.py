@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 _BLOCK = 1 << 20
 _MULT = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1

@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per shard of training documents.
 
-A shard is a chunk of a task's documents (8 MB of text, so memory does not grow with the input). Its words
+A shard is a chunk of a task's documents (4 MB of text, so memory does not grow with the input). Its words
 become symbols of the benchmark's vocabulary; words outside it separate runs, and runs shorter than the
 shortest phrase hold no occurrence. The shard's FM-index answers all phrases backwards at once, positions
 come from sampled suffixes, and overlapping occurrences merge into removal spans.

@@ -102,7 +102,7 @@ def cut(text: X.Bytes, special: list[bytes]) -> Pieces:
 class PieceCache:
     """Token ids of pieces, in growing arrays; emptied when it holds more than ``limit`` pieces or ids."""
 
-    def __init__(self, encode, limit: int = 600_000):
+    def __init__(self, encode, limit: int = 150_000):
         self.encode, self.limit = encode, limit
         self._clear()
 

@@ -5,7 +5,7 @@ Super-k-mer partitioning. A window of ``window`` words has a minimiser, the leas
 (their words, one space between), to the bucket that the minimiser names; there the windows are hashed,
 sorted and counted, and every window but the first (by document, then place) becomes a removal range.
 
-* Pre-aggregation: within a chunk (8 MB of a task's texts) equal packed strings are sent once, for their
+* Pre-aggregation: within a chunk (4 MB of a task's texts) equal packed strings are sent once, for their
   first occurrence; all others there are known to be repeats at once and only their ranges travel.
 * Hot minimisers: a bounded sample of documents names minimisers that head more than ``hot_share`` of its
   packed strings; their windows travel one by one, dealt by the window's own hash. This decides only where
