@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, with_workers
-from . import bpe, decontaminate, near_dedup, quality_rules, sstable, substring_dedup
+from . import bpe, decontaminate, factorisation_machine, near_dedup, quality_rules, sstable, substring_dedup
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -36,6 +36,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(with_workers(spark), sf_dir, "documents"), near_dedup.Similar(shingle=3, percent=85))
 
 
+def op5_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factorisation_machine.quality_classifier(table(with_workers(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.substring_dedup(table(with_workers(spark), sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_decontaminate,
         op3_token_shards,
         op4_near_dedup,
+        op5_factorisation_machine,
         op6_substring_dedup,
         op9_bpe_encode_decode,
     )
