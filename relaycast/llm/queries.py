@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, with_workers
-from . import bpe, decontaminate, factorisation_machine, near_dedup, quality_rules, sstable, substring_dedup
+from . import bpe, decontaminate, factorisation_machine, language_id, near_dedup, quality_rules, sstable, substring_dedup
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -45,6 +45,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(with_workers(spark), sf_dir, "documents"))
+
+
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(with_workers(spark), sf_dir, "documents"), tokenizer_path(), digests=True)
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_near_dedup,
         op5_factorisation_machine,
         op6_substring_dedup,
+        op8_language_id,
         op9_bpe_encode_decode,
     )
 }
