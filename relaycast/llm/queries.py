@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, with_workers
-from . import bpe, chat, decontaminate, factorisation_machine, language_id, near_dedup, quality_rules, sstable, substring_dedup
+from . import bpe, chat, decontaminate, factorisation_machine, language_id, line_dedup, near_dedup, quality_rules, sstable, substring_dedup
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -90,6 +90,11 @@ def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(with_workers(spark), sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(table(with_workers(spark), sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_chat_format,
         op8_language_id,
         op9_bpe_encode_decode,
+        op10_line_dedup,
     )
 }
 
