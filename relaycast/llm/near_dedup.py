@@ -207,7 +207,7 @@ def _cross(percent: int):
 
 def representatives(found: DataFrame) -> DataFrame:
     """One document for each set digest: rep, its band keys. Equal sets combine before the shuffle."""
-    return found.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands"))
+    return found.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands"))
 
 
 def candidate_groups(reps: DataFrame) -> DataFrame:
@@ -285,6 +285,6 @@ def near_dedup(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
     groups = stored(candidate_groups(reps), "groups")
     labels = components(verified_links(docs, groups, s)).withColumnRenamed("node", "rep")
     of_set = reps.select("h1", "h2", "rep").join(labels, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    return found.drop("bands").join(of_set, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn(
+    return found.drop("bands").join(of_set, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn(
         "kept", F.col("component_id").eqNullSafe(F.col("doc_id"))
     )
