@@ -1,0 +1,6 @@
+"""Queries over the driver's tables, by family."""
+
+from . import catalog, missions, models, reports, scoring, streams
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "missions", "models", "reports", "scoring", "streams"]
