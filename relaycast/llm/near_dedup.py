@@ -223,7 +223,8 @@ def verified_links(docs: DataFrame, groups: DataFrame, s: Similar) -> DataFrame:
     spark = docs.sparkSession
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     placed = groups.join(sizes, "component").withColumn("piece", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / s.part)).cast("int"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(placed, "rep").select(F.col("rep").alias("doc_id"), "text", "component", "piece", "n")
+    # A merge join at every size: the groups grow with the input, so a broadcast would only flatter small runs.
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(placed.hint("merge"), "rep").select(F.col("rep").alias("doc_id"), "text", "component", "piece", "n")
 
     def run(part):
         keys, offs = shingle_sets(part, s.shingle)
