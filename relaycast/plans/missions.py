@@ -300,7 +300,7 @@ def achieved_vs_bound_inner(spark, sf_dir):
 @query(f"""WITH {MISSION}, s AS (SELECT sol, grp, count(*) AS n FROM mission WHERE score > 110 GROUP BY 1, 2), a AS (SELECT sol, n FROM s WHERE grp = 'natural'), b AS (SELECT sol, n FROM s WHERE grp = 'rover'), c AS (SELECT sol, n FROM s WHERE grp = 'typical')
  SELECT coalesce(a.sol, b.sol, c.sol) AS sol, a.n AS "natural", b.n AS rover, c.n AS typical FROM a FULL JOIN b ON a.sol = b.sol FULL JOIN c ON coalesce(a.sol, b.sol) = c.sol""")
 def series_full_outer_pivot(spark, sf_dir):
-    return mission(spark, sf_dir).filter("score > 110").groupBy("sol").pivot("grp", ["natural", "rover", "typical"]).agg(F.count("idx"))
+    return mission(spark, sf_dir).filter("score > 110 and grp <> 'excluded'").groupBy("sol").pivot("grp", ["natural", "rover", "typical"]).agg(F.count("idx"))
 
 
 @query(f"""WITH {MISSION} SELECT user_id, count(*) FILTER (WHERE sol <= 15 AND NOT (score > 30 AND sol + CAST(floor(score / 30) AS BIGINT) <= 15)) AS n_held FROM mission GROUP BY user_id""")
