@@ -36,7 +36,7 @@ def with_workers(spark: SparkSession) -> SparkSession:
     env.setdefault("OMP_NUM_THREADS", "1")
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") in ("67108864b", "64MB", "64m"):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")  # a worker holds a batch in and one out
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")  # a worker holds a batch in and one out
     return spark
 
 
