@@ -180,7 +180,7 @@ def per_doc(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return sums[offs[1:]] - sums[offs[:-1]]
 
 
-def map_texts(docs, make, out: str, columns: tuple[str, ...] = ("text",), row: bool = False):
+def map_texts(docs, make, out: str, columns: tuple[str, ...] = ("text",), row: bool = False, limit: int = CHUNK_BYTES):
     """``doc_id`` and what ``make()`` finds in each chunk, one row for each document, in one Arrow pass.
 
     ``make`` is called once a task and returns a function from a chunk (with ``columns``) to the arrays of
@@ -197,7 +197,7 @@ def map_texts(docs, make, out: str, columns: tuple[str, ...] = ("text",), row: b
     def run(batches):
         f = make()
         for batch in batches:
-            for part in chunks(batch, columns[0]):
+            for part in chunks(batch, columns[0], limit):
                 arrays = [part.column("doc_id"), *f(part), *([part.column("row")] if row else [])]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 

@@ -233,4 +233,4 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False, row: bool =
         return run
 
     out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>, decoded string"
-    return X.map_texts(docs, make, out, row=row)
+    return X.map_texts(docs, make, out, row=row, limit=P.CHUNK_BYTES)

@@ -17,7 +17,7 @@ def suffix_array(sym: np.ndarray, bits: int) -> np.ndarray:
     key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
     for j in range(width):
         s = np.zeros(n, np.int64)
-        s[: n - j] = sym[j:]
+        s[: max(n - j, 0)] = sym[j:]
         s[~open_] = 0
         key = (key << bits) | s
         open_ &= s > 0

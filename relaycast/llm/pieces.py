@@ -34,6 +34,10 @@ for _c in range(0xA1, 0x530):
         _TWO[_c] = _class_of(chr(_c))
 
 
+#: Bytes of text that are cut and encoded at once; a worker needs about thirty times as much.
+CHUNK_BYTES = 2 << 20
+
+
 class Pieces(NamedTuple):
     offs: np.ndarray  # byte offsets of pieces, one more than there are
     docs: np.ndarray  # of each document's pieces, one more than there are
@@ -102,7 +106,7 @@ def cut(text: X.Bytes, special: list[bytes]) -> Pieces:
 class PieceCache:
     """Token ids of pieces, in growing arrays; emptied when it holds more than ``limit`` pieces or ids."""
 
-    def __init__(self, encode, limit: int = 150_000):
+    def __init__(self, encode, limit: int = 100_000):
         self.encode, self.limit = encode, limit
         self._clear()
 

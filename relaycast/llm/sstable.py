@@ -267,7 +267,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, layout: Layout
 
         return run
 
-    encoded = X.map_texts(docs, make, "ids binary, shard int")
+    encoded = X.map_texts(docs, make, "ids binary, shard int", limit=P.CHUNK_BYTES)
     placed = encoded.repartitionById(n, "shard").sortWithinPartitions("shard", "doc_id", "ids")
 
     def build(batches):
