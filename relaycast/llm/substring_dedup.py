@@ -5,7 +5,7 @@ Super-k-mer partitioning. A window of ``window`` words has a minimiser, the leas
 (their words, one space between), to the bucket that the minimiser names; there the windows are hashed,
 sorted and counted, and every window but the first (by document, then place) becomes a removal range.
 
-* Pre-aggregation: within a chunk (4 MB of a task's texts) equal packed strings are sent once, for their
+* Pre-aggregation: within a chunk (8 MB of a task's texts) equal packed strings are sent once, for their
   first occurrence; all others there are known to be repeats at once and only their ranges travel.
 * Hot minimisers: a bounded sample of documents names minimisers that head more than ``hot_share`` of its
   packed strings; their windows travel one by one, dealt by the window's own hash. This decides only where
@@ -37,7 +37,8 @@ NO_ID = -(1 << 63)
 @dataclass(frozen=True)
 class Params:
     window: int = 20
-    minimiser: int = 4
+    minimiser: int = 3
+    chunk_bytes: int = 8 << 20  # of a task's texts, deduplicated and packed together
     bucket_bytes: int = 16 << 20  # of text
     sample_docs: int = 20_000
     hot_share: float = 0.001
@@ -93,7 +94,7 @@ def packed(words: X.Words, runs: Runs, window: int) -> pa.LargeBinaryArray:
 
 def _pack(*arrays: np.ndarray) -> bytes:
     body = b"".join(np.uint32(len(a) * a.itemsize).tobytes() + a.tobytes() for a in arrays)
-    return zstandard.compress(body, 3)
+    return zstandard.compress(body, 7)
 
 
 def _unpack(blob: bytes, kinds) -> list[np.ndarray]:
@@ -117,7 +118,7 @@ def _documents(doc: np.ndarray, ids: np.ndarray, text_hash: np.ndarray) -> tuple
 def _deal(p: Params, buckets: int, hot: np.ndarray):
     def deal(batches):
         for batch in batches:
-            for part in X.chunks(batch):
+            for part in X.chunks(batch, limit=p.chunk_bytes):
                 ids = part.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
                 text_hash = part.column("text_hash").to_numpy(zero_copy_only=False)
                 words = X.find_words(X.text_bytes(part.column("text")))
