@@ -223,3 +223,57 @@ def test_stream_equals_batch_over_split_input(spark, tmp_path):
         src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(d))
         outs.append(sorted(map(tuple, stream.run_once(stream.replay_stream(src, 4, 6, 300.0, 10_000), f"t{len(cuts)}").collect())))
     assert outs[0] == outs[1] and len(outs[0]) >= 6
+
+
+def test_conv_autoencoder_costs_and_transpose():
+    from relaycast.operators import models
+
+    assert models.build("conv_ae_myriad").flops_per_inference() == 9_428_992
+    assert models.build("conv_ae_snapdragon").flops_per_inference() == 49_209_344
+    rng = np.random.default_rng(0)
+    x, y, w = rng.standard_normal((2, 3, 8, 8)), rng.standard_normal((2, 5, 4, 4)), rng.standard_normal((5, 3, 3, 3))
+    zero = np.zeros(5), np.zeros(3)
+    assert np.isclose((models.convolve(x, w, zero[0]) * y).sum(), (x * models.deconvolve(y, w, zero[1])).sum())
+    m = models.ConvAutoencoder(4, 2, 8, (8, 8, 3)).seeded(1)
+    f = rng.standard_normal((6, 8, 8, 3))
+    assert np.allclose(np.concatenate([m.score(f[:2]), m.score(f[2:])]), m.score(f))
+    with pytest.raises(KeyError):
+        models.build("none")
+
+
+def test_png_and_colour():
+    import struct
+    import zlib
+
+    from relaycast.functions import images
+
+    flat = images.colour(np.ones((4, 4, 3)), 2)
+    assert (flat == 128).all()
+    rgb = images.colour(np.random.default_rng(0).random((8, 8, 6)), 4)
+    data = images.png(rgb)
+    at, raw = 8, b""
+    while at < len(data):
+        n, kind = struct.unpack_from(">I4s", data, at)
+        raw += data[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+        at += 12 + n
+    rows = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, 13)
+    assert (rows[:, 1:].reshape(4, 4, 3) == rgb).all() and not rows[:, 0].any()
+
+
+def test_run_records(spark, tmp_path):
+    from relaycast.sources import records
+
+    for tier, seed, p in (("a", 0, 0.7), ("a", 1, 0.8), (None, 0, 0.9)):
+        name = f"{tier or 'b-x'}-s{seed}.json"
+        (tmp_path / name).write_text(json.dumps({"tier": tier, "seed": seed, "metrics": {"roc_auc": 0.5, "precision_at_k": {"10": p}}}))
+    runs = records.read_runs(spark, f"{tmp_path}/*.json")
+    got = {r.tier: (round(r["mean"], 6), round(r.sd, 6), r.n) for r in records.mean_sd_by_tier(runs).collect()}
+    assert got == {"a": (0.75, 0.05, 2), "b-x": (0.9, 0.0, 1)}
+    cells = spark.createDataFrame([("h", "t", "f", "p", 1)], "hardware string, tier string, adaptation string, policy string, n int")
+    records.write_grid(cells, f"{tmp_path}/grid")
+    assert records.lookup(spark.read.parquet(f"{tmp_path}/grid"), hardware="h", tier="t").count() == 1
+    records.write_results(cells, f"{tmp_path}/out")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/out/csv").count() == 1
+    assert records.checksums(spark, f"{tmp_path}/a-s0.json").first().md5
+    log = spark.createDataFrame([(0, "old"), (1, "old")], "window long, operator_note string")
+    assert [r.operator_note for r in records.with_notes(log, spark.createDataFrame([(1, "new")], "window long, note string")).orderBy("window").collect()] == [None, "new"]
