@@ -27,10 +27,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def remove(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a stored() table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -275,7 +275,9 @@ def _between_parts(large: DataFrame, edges: DataFrame, s: Similar) -> DataFrame:
     # Every block of minors meets every part of all; a minor is on either side, so minors meet one another too.
     first = sided.filter("minor").select(*cols, F.lit(True).alias("minor"), block.alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("piece"))
     second = sided.select(*cols, F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), piece.alias("piece"))
-    met = first.unionByName(second).groupBy("component", "block", "piece").applyInArrow(_cross(s.percent), "a long, b long")
+    # One key for a cell: grouping by all three would be content with rows dealt by component alone.
+    cells = first.unionByName(second).withColumn("cell", F.xxhash64("component", "block", "piece"))
+    met = cells.groupBy("cell").applyInArrow(_cross(s.percent), "a long, b long")
     return met.filter("a <> b")
 
 
