@@ -1,6 +1,6 @@
 """Queries over the driver's tables, by family."""
 
-from . import catalog, extras, missions, models, reports, scoring, streams
+from . import catalog, extras, missions, models, reports, scoring, streams, summary
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "extras", "missions", "models", "reports", "scoring", "streams"]
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "extras", "missions", "models", "reports", "scoring", "streams", "summary"]
