@@ -1,18 +1,14 @@
-"""Line dedup by winnowing, in DataFrame functions alone.
-
-A text's lines that hold a word are hashed; every ``gram`` lines after one another make a gram, and of every
-``window`` grams the least is a fingerprint (the last of equals). Any run of gram + window - 1 lines that
-occurs twice therefore shares a fingerprint. A fingerprint stands for its gram and for each run of
-gram + window - 1 lines around it, and the occurrences of each of these are tied to the first one (by
-identifier, then place), never to one another; so every run of that length that stands earlier anywhere is
-found, however common its gram is. A tie names a diagonal: two texts and the offset between
-them. The texts' line hashes are compared along each diagonal in both directions, and every run of at least
-``gram`` equal lines is deleted from the later text, blank lines between included. What is deleted always
-stands somewhere earlier, and the first copy stays.
-
-Lines are compared by 64-bit hashes, ``gram`` of them in a row at least. First occurrences combine before
-their shuffle; ties join a table with one row a key, so a very common fingerprint or text is a skew that
-adaptive execution splits.
+"""Line dedup by hashed grams of lines, in DataFrame functions alone.
+
+A text's lines that hold a word are hashed; every ``gram`` lines after one another make a gram. All grams are
+compared, and each is tied to its first occurrence (by identifier, then place), never to other ones. A gram that
+stands earlier goes, blank lines between included. Any run of at least ``gram`` lines that stands earlier anywhere
+consists of such grams, so all of it goes, whatever its length and wherever its parts stand first. What is deleted
+always stands somewhere earlier, and the first occurrence of every line stays.
+
+Lines are compared by 64-bit hashes, ``gram`` of them in a row at least: a line that is repeated alone stays,
+whatever its length. First occurrences combine before their shuffle; grams join a table with one row a key, so a
+very common gram is a skew that adaptive execution splits.
 
 Defined cases: null texts stay null, empty ones empty; lines without a word are no part of a run; texts with
 fewer lines than a gram keep all; rows of one identifier with different texts are documents of their own,
@@ -33,9 +29,8 @@ NO_ID = -(1 << 63)
 
 
 @dataclass(frozen=True)
-class Winnow:
-    gram: int = 2
-    window: int = 3
+class Lines:
+    gram: int = 2  # lines of the shortest run that goes
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -50,47 +45,28 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     return hashed.dropDuplicates(["id", "text_hash"])
 
 
-def fingerprints(lines: DataFrame, p: Winnow) -> DataFrame:
-    """id, text_hash, gram (hash of a fingerprint's gram, or of a run around it), place where it begins."""
+def grams(lines: DataFrame, p: Lines) -> DataFrame:
+    """id, text_hash, gram (hash of ``gram`` lines after one another), place where it begins, its first and last line numbers."""
     many = F.size("h") - (p.gram - 1)
-    grams = lines.filter(many > 0).select("id", "text_hash", "h", F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct(F.xxhash64(*[F.get("h", i + j) for j in range(p.gram)]).alias("gram"), (-i).alias("back"))).alias("g"))
-    least = F.transform(F.sequence(F.lit(1), F.greatest(F.size("g") - (p.window - 1), F.lit(1))), lambda s: F.array_min(F.slice("g", s, p.window)))
-    chosen = grams.select("id", "text_hash", "h", F.explode(F.array_distinct(least)).alias("f")).select("id", "text_hash", "h", F.col("f.gram").alias("gram"), (-F.col("f.back")).alias("place"))
-    span = p.gram + p.window - 1
-    whole = [
-        F.when((F.col("place") >= o) & (F.col("place") - o + span <= F.size("h")), F.struct(F.xxhash64(F.lit(span), *[F.get("h", F.col("place") - o + j) for j in range(span)]).alias("gram"), (F.col("place") - o).alias("place")))
-        for o in range(p.window)
-    ]
-    keys = F.array_compact(F.array(F.struct("gram", "place"), *whole))
-    return chosen.select("id", "text_hash", F.explode(keys).alias("k")).select("id", "text_hash", "k.gram", "k.place")
-
-
-def diagonals(prints: DataFrame) -> DataFrame:
-    """Pairs of a text and an earlier one (or itself), with the offset at which they share a fingerprint."""
-    first = prints.groupBy("gram").agg(F.min(F.struct("id", "text_hash", "place")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("gram", "f")
-    tied = prints.join(first, "gram").filter(F.struct("id", "text_hash", "place") != F.col("f"))
-    return tied.select("id", "text_hash", F.col("f.id").alias("first_id"), F.col("f.text_hash").alias("first_hash"), (F.col("place") - F.col("f.place")).alias("shift")).distinct()
-
-
-def repeated_runs(lines: DataFrame, pairs: DataFrame, p: Winnow) -> DataFrame:
-    """id, text_hash, runs of line numbers [from, to] that stand earlier."""
-    earlier = lines.select(F.col("id").alias("first_id"), F.col("text_hash").alias("first_hash"), F.col("h").alias("first_h"))
-    both = pairs.join(lines, ["id", "text_hash"]).join(earlier, ["first_id", "first_hash"])
-    low = F.greatest(F.col("shift"), F.lit(0))
-    high = F.least(F.size("h"), F.size("first_h") + F.col("shift")) - 1
-    unlike = F.filter(F.sequence(low, high), lambda i: F.get("h", i) != F.get("first_h", i - F.col("shift")))
-    ends = both.select("id", "text_hash", "at", F.concat(F.array(low - 1), unlike, F.array(high + 1)).alias("ends"))
-    runs = F.filter(F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda j: F.struct((F.get("ends", j - 1) + 1).alias("a"), (F.get("ends", j) - 1).alias("b"))), lambda r: r.b - r.a >= p.gram - 1)
-    lines_of = F.transform(runs, lambda r: F.struct(F.get("at", r.a).alias("from"), F.get("at", r.b).alias("to")))
-    return ends.select("id", "text_hash", lines_of.alias("runs"))
-
-
-def line_dedup(docs: DataFrame, p: Winnow = Winnow(), row: bool = False) -> DataFrame:
+
+    def gram(i):
+        return F.struct(F.xxhash64(*[F.get("h", i + j) for j in range(p.gram)]).alias("gram"), i.alias("place"), F.get("at", i).alias("from"), F.get("at", i + (p.gram - 1)).alias("to"))
+
+    each = lines.filter(many > 0).select("id", "text_hash", F.explode(F.transform(F.sequence(F.lit(0), many - 1), gram)).alias("g"))
+    return each.select("id", "text_hash", "g.*")
+
+
+def repeated_runs(found: DataFrame) -> DataFrame:
+    """id, text_hash, runs of line numbers [from, to] of the grams that stand earlier."""
+    first = found.groupBy("gram").agg(F.min(F.struct("id", "text_hash", "place")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("gram", "f")
+    again = found.join(first, "gram").filter(F.struct("id", "text_hash", "place") != F.col("f"))
+    return again.groupBy("id", "text_hash").agg(F.collect_list(F.struct("from", "to")).alias("runs"))
+
+
+def line_dedup(docs: DataFrame, p: Lines = Lines(), row: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, text without later repeated runs, for every document; with ``row`` its other columns."""
     lines = stored(hashed_lines(docs), "lines")
-    runs = repeated_runs(lines, diagonals(fingerprints(lines, p)), p)
-    gone = runs.groupBy("id", "text_hash").agg(F.collect_set("runs").alias("runs"))
-    gone = gone.select("id", "text_hash", F.flatten("runs").alias("runs"))
+    gone = repeated_runs(grams(lines, p))
     source = _identified(docs)
     if row:
         source = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))

@@ -490,6 +490,31 @@ def test_op10_exact_case(spark):
     assert got == [(1, 0, rows[0][1]), (2, 4, "x\ny"), (3, 5, ""), (4, 0, "q\nc c\nz"), (5, 4, "m\nn\no\np\n")]
 
 
+def test_op10_every_run_of_two(spark, sf_dir, documents):
+    """All lines in runs of two or more that stand earlier go, and no others."""
+    seqs, _, may = line_runs(documents)
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    assert any(may.values())
+    for d, (raw, _, _) in seqs.items():
+        assert got[d].n_removed == len(may[d])
+        assert got[d].kept_text == "\n".join(x for i, x in enumerate(raw) if i not in may[d])
+
+
+def test_op10_short_runs(spark):
+    """Runs of two and three lines go from anywhere in a text, and where their parts stand first in different texts."""
+    first = [f"first line {i}" for i in range(40)]
+    rows = [(1, "\n".join(first)), (2, "p\nq\nfirst line 39\nfirst line 0"), (3, "q\nfirst line 39")]
+    want = {1: 0, 2: 0, 3: 2}
+    for i in range(38):
+        rows.append((100 + i, "\n".join([f"a {i}", first[i], "", first[i + 1], f"b {i}"])))
+        rows.append((200 + i, "\n".join([f"c {i}", *first[i : i + 3], f"d {i}"])))
+        want |= {100 + i: 3, 200 + i: 3}
+    rows.append((300, "x\nfirst line 38\nfirst line 39\nfirst line 0\ny"))
+    want[300] = 3
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_op10_odd(odd, odd_rows, empty):
     got = line_dedup.line_dedup(clashing(odd), row=True).collect()
     assert len(got) == len(odd_rows) and all((r.kept_text is None) == (r.row.text is None) for r in got)
