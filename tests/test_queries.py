@@ -43,3 +43,14 @@ def test_query(name, spark, sf_dir, duck):
     for a, b in zip(got, want, strict=True):
         for x, y in zip(a, b, strict=True):
             assert x == y or isinstance(x, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=2e-6), (a, b)
+
+
+def test_windows_of_every_user(spark, sf_dir, duck):
+    """Against simple loops over each user's days."""
+    want, first = [], {}
+    for u, sol in duck.sql("SELECT DISTINCT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS sol FROM events ORDER BY ALL").fetchall():
+        if u not in first or sol >= first[u][1] + 4:
+            first[u] = (first[u][0] + 1 if u in first else 0, sol)
+            want.append((u, *first[u]))
+    assert [(len(first),)] == duck.sql("SELECT count(DISTINCT user_id) FROM events").fetchall()
+    assert sorted(map(tuple, plans.QUERIES["anchored_windows_by_every_user"](spark, sf_dir).collect())) == want
