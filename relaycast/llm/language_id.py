@@ -7,8 +7,9 @@ runner-up is nearly as near, the answer is flagged as ambiguous. Up to six langu
 (every way to split them in two), more get the best of seeded random codes.
 
 Training: texts with a lang whose crc32(doc_id as text) mod 3 is not 1, at most ``train_rows`` of them and
-at most an equal share of each language, chosen by the smallest hash of their identifier. lang, source and
-doc_id are never inputs of a prediction. Scoring: one Arrow pass over whole texts; n-grams are looked up
+at most an equal share of each language, chosen by the smallest hash of their identifier. Their n-grams are
+counted on executors over whole texts, and only these counts reach the driver. lang, source and doc_id are
+never inputs of a prediction. Scoring: one Arrow pass over whole texts; n-grams are looked up
 once for each distinct word of a chunk.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without training rows every
@@ -18,6 +19,7 @@ to the first language by name; repeated rows are judged one by one; other column
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +35,6 @@ from . import _text as X
 class Params:
     bits: int = 13  # of hashed n-grams
     train_rows: int = 4000  # bound of the training sample
-    train_bytes: int = 4000  # of a training text; predictions use whole texts
     max_langs: int = 512
     epochs: int = 25
     rate: float = 0.05
@@ -87,6 +88,30 @@ def _distinct(words: X.Words) -> tuple[list[bytes], np.ndarray]:
     return [words.data[s:e].tobytes() for s, e in zip(words.starts[at], words.ends[at], strict=True)], back
 
 
+def gram_counts(words: X.Words, bits: int):
+    """Yields how often each hashed n-gram stands in each text."""
+    distinct, back = _distinct(words)
+    gram, of = word_grams(distinct, bits) if distinct else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    order = np.argsort(of, kind="stable")
+    gram, start = gram[order], np.searchsorted(of[order], np.arange(len(distinct) + 1))
+    for a, b in zip(words.offs[:-1], words.offs[1:], strict=True):
+        own = back[a:b]
+        many = start[own + 1] - start[own]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[own], many)
+        yield np.bincount(gram[at], minlength=1 << bits)
+
+
+def pack(counts: np.ndarray) -> bytes:
+    """Places and values of the counts that are not 0, compressed."""
+    at = np.flatnonzero(counts)
+    return zlib.compress(np.concatenate([at, counts[at]]).astype("<i4").tobytes(), 1)
+
+
+def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(raw), "<i4")
+    return both[: len(both) // 2], both[len(both) // 2 :].astype(np.int64)
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -130,24 +155,22 @@ def train(docs: DataFrame, p: Params = Params()) -> Model | None:
     some = known.filter(F.col("lang").isin(langs)).withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
     shares = {r.lang: min(1.0, 2.0 * each / r.n + 100 / r.n) for r in counts}
     limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(-(1 << 63) + v * ((1 << 64) - 1)) if v < 1 else (1 << 63) - 1)) for k, v in shares.items()])
-    some = some.filter(F.col("h") <= limit).select("h", "lang", F.substring("text", 1, p.train_bytes).alias("text"))
-    ranked = some.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= each)
-    rows = sorted(ranked.collect(), key=lambda r: (r.h, r.lang, r.text))  # at most train_rows rows of train_bytes
+    some = some.filter(F.col("h") <= limit).select("doc_id", "h", "lang", F.xxhash64("text").alias("tie"), "text")
+
+    def counted(part):
+        words = X.find_words(X.text_bytes(part.column("text")), X.ALNUM, lower=True)
+        return [part.column("h"), part.column("lang"), part.column("tie"), pa.array([pack(c) for c in gram_counts(words, p.bits)], pa.binary())]
+
+    found = X.map_texts(some, lambda: counted, "h long, lang string, tie long, grams binary", ("text", "h", "lang", "tie"))
+    ranked = found.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "tie"))).filter(F.col("r") <= each)
+    rows = sorted(ranked.select("h", "lang", "tie", "grams").collect(), key=lambda r: (r.h, r.lang, r.tie))  # counts of at most train_rows rows
     code = codes(len(langs), p.seed)
     dim = 1 << p.bits
-    words = X.find_words(X.text_bytes(pa.array([r.text for r in rows], pa.string())), X.ALNUM, lower=True)
     x = np.zeros((len(rows), dim), np.float32)
-    if len(words.starts):
-        distinct, back = _distinct(words)
-        gram, of = word_grams(distinct, p.bits)
-        order = np.argsort(of, kind="stable")
-        gram, start = gram[order], np.searchsorted(of[order], np.arange(len(distinct) + 1))
-        for i in range(len(rows)):
-            own = back[words.offs[i] : words.offs[i + 1]]
-            if len(own):
-                many = start[own + 1] - start[own]
-                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[own], many)
-                x[i] = np.bincount(gram[at], minlength=dim) * (p.scale / len(at))
+    for i, r in enumerate(rows):
+        gram, many = unpack(r.grams)
+        if len(gram):
+            x[i, gram] = many * (p.scale / many.sum())
     y = code[[langs.index(r.lang) for r in rows]]
     weight, bias, rng = np.zeros((dim, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32), np.random.default_rng(p.seed)
     speed, speed_bias = np.full_like(weight, 1e-8), np.full_like(bias, 1e-8)

@@ -407,6 +407,16 @@ def test_op8_odd(odd, odd_rows, empty, spark):
     assert language_id.language_id(many, language_id.Params(bits=10)).filter("lang_pred = 'und'").count() == 0
 
 
+def test_op8_learns_from_whole_texts(spark):
+    """Texts whose languages differ only after a long opening that they share."""
+    opening = "lorem ipsum dolor sit amet " * 200
+    word = {"aa": "kaka tata papa", "bb": "zizi vivi nini"}
+    rows = [(i, opening + f"{word[lang]} " * 300, lang, None, None) for i in range(60) for lang in ("ab"[i % 2] * 2,)]
+    rows += [(100 + i, f"{word[lang]} {i}", None, None, None) for i in range(20) for lang in ("ab"[i % 2] * 2,)]
+    got = {r.doc_id: r.lang_pred for r in language_id.language_id(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[100 + i] == "ab"[i % 2] * 2 for i in range(20))
+
+
 def test_op8_codes_are_apart():
     for k in (2, 4, 6, 9, 40):
         c = language_id.codes(k, 1)
