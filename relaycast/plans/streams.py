@@ -6,10 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import with_workers
+from ..session import table, with_workers
 from ..streaming import replay as S
 from .registry import query
 
+#: Past every day: an event there ends a run.
+FLUSH = 10_000
+
 
 def event_stream(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -20,15 +23,19 @@ def event_stream(spark, sf_dir):
 def stream_replay(spark, sf_dir):
     with_workers(spark)
     e = F.col("event_type")
-    events = event_stream(spark, sf_dir).select(
-        (F.col("user_id") % 4).cast("string").alias("run"),
-        F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("sol"),
-        F.col("event_id").alias("idx"),
-        (e == "purchase").alias("natural"),
-        (F.char_length("props") * 8).cast("double").alias("bits"),
-        F.col("value").alias("score"),
-    )
-    return S.run_once(S.replay_stream(events, 4, 10, 6000.0, 10_000), f"replay_{uuid.uuid4().hex[:8]}")
+
+    def frames(events):
+        return events.select(
+            (F.col("user_id") % 4).cast("string").alias("run"),
+            F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("sol"),
+            F.col("event_id").alias("idx"),
+            (e == "purchase").alias("natural"),
+            (F.char_length("props") * 8).cast("double").alias("bits"),
+            F.col("value").alias("score"),
+        )
+
+    ends = frames(table(spark, sf_dir, "events")).groupBy("run").agg(F.max(F.struct("sol", "idx")).alias("end"))
+    return S.run_once(S.replay_stream(S.flushed(frames(event_stream(spark, sf_dir)), ends, FLUSH), 4, 10, 6000.0, FLUSH), f"replay_{uuid.uuid4().hex[:8]}")
 
 
 @query("""SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type AS class, count(*) AS n, round(sum(value), 4) AS value FROM events WHERE ts < (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY 1, 2""")

@@ -71,6 +71,15 @@ def replay_stream(events: DataFrame, length: int, max_age: int, budget: float, f
     return events.groupBy("run").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def flushed(events: DataFrame, ends: DataFrame, flush_sol: int) -> DataFrame:
+    """Events with one more after each run's last, at ``flush_sol``; ``ends`` has (run, end: sol and idx), a row a run."""
+    last = ends.select(F.col("run").alias("_run"), "end")
+    both = events.join(F.broadcast(last), F.col("run").eqNullSafe(F.col("_run")), "left")
+    ended = (F.col("sol") == F.col("end.sol")) & (F.col("idx") == F.col("end.idx"))
+    sols = F.when(ended, F.array("sol", F.lit(flush_sol).cast("long"))).otherwise(F.array("sol"))
+    return both.withColumn("sol", F.explode(sols)).select(*events.columns)
+
+
 def windowed_counts(events: DataFrame, at: str, every: str, late: str) -> DataFrame:
     """Counts by tumbling event-time window and class; rows later than the watermark are dropped."""
     return events.withWatermark(at, late).groupBy(F.window(at, every).alias("w"), "class").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "class", "n", "value")

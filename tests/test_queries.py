@@ -54,3 +54,26 @@ def test_windows_of_every_user(spark, sf_dir, duck):
             want.append((u, *first[u]))
     assert [(len(first),)] == duck.sql("SELECT count(DISTINCT user_id) FROM events").fetchall()
     assert sorted(map(tuple, plans.QUERIES["anchored_windows_by_every_user"](spark, sf_dir).collect())) == want
+
+
+def test_stream_replay_returns_the_last_window(spark, sf_dir, duck):
+    """Against a simple replay of each run, its last window included."""
+    want = []
+    frames = duck.sql("""SELECT CAST(user_id % 4 AS VARCHAR), date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS sol, event_id, event_type = 'purchase', length(props) * 8.0::DOUBLE, value FROM events ORDER BY 1, 2, 3""").fetchall()
+    for run in sorted({f[0] for f in frames}):
+        own, held, window = [f for f in frames if f[0] == run], [], 0
+        while own:
+            first = own[0][1]
+            new = [f for f in own if f[1] < first + 4]
+            own, last = own[len(new) :], new[-1][1]
+            fresh = [f for f in held + new if last - f[1] <= 10]
+            expired, used, sent = len(held) + len(new) - len(fresh), 0.0, []
+            for f in sorted(fresh, key=lambda f: (-f[5], f[2])):
+                if used + f[4] <= 6000.0:
+                    used += f[4]
+                    sent.append(f)
+            held = [f for f in fresh if f not in sent]
+            want.append((run, window, first, last, len(new), len(fresh), len(sent), expired, used, sum(f[3] for f in sent), 0))
+            window += 1
+    got = sorted(map(tuple, plans.QUERIES["stream_replay"](spark, sf_dir).collect()))
+    assert got == want and sum(r[4] for r in got) == len(frames)
