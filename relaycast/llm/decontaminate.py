@@ -9,7 +9,8 @@ The benchmark is a query set: it is taken in blocks of at most ``block_bytes`` o
 larger), one Arrow pass a block in the same stage, with no shuffle. All documents meet all phrases.
 
 Defined cases: null or empty texts have no words, no spans and are clean; an item without words matches
-nothing; an item with fewer words than a window is one window; items with equal windows are all reported;
+nothing; an item with fewer words than a window is one window; items with equal windows are all reported; one
+with a null identifier counts in spans and n_hit like any other and is only left out of the list of items;
 repeated rows are judged one by one; without items or documents nothing is contaminated; other columns of
 either table are not looked at.
 """
@@ -38,7 +39,7 @@ class Contamination:
 class Phrases:
     """A block of the benchmark: vocabulary, windows by length, and whose they are."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         text = X.text_bytes(pa.array([t for _, t in items], pa.string()))
         words = X.find_words(text, X.ALNUM, lower=True)
         h = X.hash_words(words)
@@ -48,7 +49,7 @@ class Phrases:
         for k, (item, _) in enumerate(items):
             own = tuple(symbol[words.offs[k] : words.offs[k + 1]].tolist())
             for i in range(max(1, len(own) - window + 1) if own else 0):
-                owners.setdefault(own[i : i + window], set()).add(str(item))
+                owners.setdefault(own[i : i + window], set()).update(() if item is None else (str(item),))
         self.by_length = {}
         for n in sorted({len(p) for p in owners}):
             same = sorted(p for p in owners if len(p) == n)
@@ -100,7 +101,7 @@ class Phrases:
 
 def blocks(benchmark: DataFrame, rules: Contamination):
     """The benchmark's items in parts of a bounded size, one after the other."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // rules.block_bytes) or 1
     for k in range(n):

@@ -184,6 +184,16 @@ def start_key(r):
     return (r[0] is not None, r[0] or 0)
 
 
+def test_op2_items_without_identifier(spark):
+    """Their text is found like any other; only the list of items leaves them out."""
+    words = [f"w{i}" for i in range(20)]
+    docs = spark.createDataFrame([(1, "x " + " ".join(words) + " y"), (2, "p q r"), (3, "known item")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, " ".join(words)), ("k", "known item"), (None, "known item"), (None, None)], "item_id string, text string")
+    for rules in (decontaminate.Contamination(), decontaminate.Contamination(block_bytes=10)):
+        got = {r.doc_id: (r.n_hit, r.items, r.contaminated) for r in decontaminate.decontaminate(docs, bench, rules).collect()}
+        assert got == {1: (20, [], True), 2: (0, [], False), 3: (2, ["k"], True)}
+
+
 def test_op3(spark, sf_dir, documents, library):
     at, want = 0, []
     for d, t in sorted(documents):
