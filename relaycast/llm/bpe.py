@@ -53,12 +53,10 @@ class Bpe:
         self.made = np.array([known[k] for k in self.keys.tolist()], np.int64)
         self.id_of = self._ids(order, vocab)
         self.by_bytes = {bytes(back[c] for c in t): i for t, i in order.items()}
-        self.longest = max(map(len, self.by_bytes))
-        self.special = P.special_strings(self.tokenizer)
-        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.alphabet = back
+        self._trie()
+        self.added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.token_bytes = P.bytes_of_tokens(self.tokenizer)
-        self.cache = P.PieceCache(self.encode_pieces)
+        self.cutter, self.cache = P.Cutter(self.tokenizer), P.PieceCache(self.encode_pieces)
 
     @staticmethod
     def _ids(order: dict[str, int], vocab: dict[str, int]) -> np.ndarray:
@@ -67,17 +65,46 @@ class Bpe:
             out[i] = vocab[token]
         return out
 
-    def propose(self, piece: bytes) -> list[int]:
-        """Longest vocabulary entries from left to right."""
-        get, at, n, out = self.by_bytes.get, 0, len(piece), []
-        while at < n:
-            for to in range(min(n, at + self.longest), at, -1):
-                token = get(piece[at:to])
-                if token is not None:
-                    out.append(token)
-                    at = to
-                    break
-        return out
+    def _trie(self):
+        """All tokens' bytes as a trie: sorted edges (node, byte), where they lead, and the token that ends there."""
+        edges: dict[int, int] = {}
+        token = [-1]
+        for string, t in self.by_bytes.items():
+            node = 0
+            for byte in string:
+                to = edges.setdefault(node << 8 | byte, len(token))
+                if to == len(token):
+                    token.append(-1)
+                node = to
+            token[node] = t
+        self.edge = np.array(sorted(edges), np.int64)
+        self.leads = np.array([edges[k] for k in self.edge.tolist()], np.int64)
+        self.ends = np.array(token, np.int64)
+
+    def propose(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Longest vocabulary entries from left to right, a token of every piece at a time: tokens, pieces' counts."""
+        who, begin, end = np.arange(len(at)), at.copy(), at + size
+        owner, found = [], []
+        while len(who):
+            node, pos, stop = np.zeros(len(who), np.int64), begin[who], end[who]
+            best, to, live = np.zeros(len(who), np.int64), pos.copy(), np.arange(len(who))
+            while len(live):
+                key = node[live] << 8 | data[pos[live]]
+                place = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+                ok = self.edge[place] == key
+                live, below = live[ok], self.leads[place[ok]]
+                node[live] = below
+                pos[live] += 1
+                token = self.ends[below]
+                whole = live[token >= 0]
+                best[whole], to[whole] = token[token >= 0], pos[whole]
+                live = live[pos[live] < stop[live]]
+            owner.append(who)
+            found.append(best)
+            begin[who] = to
+            who = who[to < stop]
+        of = np.concatenate(owner)
+        return np.concatenate(found)[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(at))
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the bytes of a + b gives exactly a, b."""
@@ -129,11 +156,11 @@ class Bpe:
             right = np.flatnonzero(best < w - 2)
             rank[right, best[right]] = self.ranks(token[right, best[right]], token[right, best[right] + 1])
 
-    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        proposals = [self.propose(p) for p in pieces]
-        sizes = np.array([len(p) for p in proposals], np.int64)
-        flat = np.array([t for p in proposals for t in p], np.int64)
+    def encode_pieces(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces data[at : at + size] after one another, and how many each has."""
+        flat, sizes = self.propose(data, at, size)
         ends = np.cumsum(sizes)
+        start = ends - sizes
         inner = np.ones(len(flat), bool)
         inner[ends - 1] = False
         first = np.flatnonzero(inner)
@@ -141,12 +168,24 @@ class Bpe:
         wrong = first[~self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]]
         by_length: dict[int, list[int]] = {}
         for i in np.unique(np.searchsorted(ends, wrong, "right")).tolist():
-            by_length.setdefault(len(pieces[i]), []).append(i)
+            by_length.setdefault(int(size[i]), []).append(i)
+        more, base = [flat], len(flat)
         for n, those in by_length.items():
-            merged = self.merge_all([pieces[i] for i in those]) if n <= 64 else [self.merge(pieces[i]) for i in those]
-            for i, tokens in zip(those, merged, strict=True):
-                proposals[i], sizes[i] = tokens, len(tokens)
-        return self.id_of[np.array([t for p in proposals for t in p], np.int64)], sizes.astype(np.int32)
+            strings = [data[at[i] : at[i] + n].tobytes() for i in those]
+            merged = self.merge_all(strings) if n <= 64 else [self.merge(x) for x in strings]
+            sizes[those] = [len(t) for t in merged]
+            start[those] = base + np.cumsum(sizes[those]) - sizes[those]
+            more.append(np.array([t for m in merged for t in m], np.int64))
+            base += len(more[-1])
+        ids = self.id_of[P.gather(np.concatenate(more), start, sizes)]
+        for string, i in self.added.items():  # such a piece is the special token
+            same = np.flatnonzero(size == len(string))
+            same = [k for k in same.tolist() if data[at[k] : at[k] + len(string)].tobytes() == string] if len(same) else []
+            for k in same:
+                own = int(np.cumsum(sizes)[k] - sizes[k])
+                ids = np.concatenate([ids[:own], np.array([i], ids.dtype), ids[own + sizes[k] :]])
+                sizes[k] = 1
+        return ids, sizes.astype(np.int32)
 
     def merge(self, piece: bytes) -> list[int]:
         """The same for one long piece, with a heap."""
@@ -167,23 +206,8 @@ class Bpe:
                     heapq.heappush(heap, (r, p, token[p], token[q]))
         return [t for t, a in zip(token, alive, strict=True) if a]
 
-    def slow_ids(self, text: str) -> list[int]:
-        """Texts with special tokens or rare characters: the library cuts, this class encodes."""
-        out: list[int] = []
-        while text:
-            found = min(((at, -len(s), s) for s in self.added if (at := text.find(s)) >= 0), default=None)
-            head = text[: found[0]] if found else text
-            cut = [bytes(self.alphabet[c] for c in p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(head)] if head else []
-            if cut:
-                out += self.encode_pieces(cut)[0].tolist()
-            if not found:
-                break
-            out.append(self.added[found[2]])
-            text = text[found[0] + len(found[2]) :]
-        return out
-
     def encode(self, text: X.Bytes) -> tuple[np.ndarray, np.ndarray]:
-        return P.encode_chunk(text, self.cache, self.special, self.slow_ids)
+        return P.encode_chunk(text, self.cache, self.cutter)
 
 
 @lru_cache(maxsize=2)

@@ -5,39 +5,43 @@ File layout (little-endian; every section ends with the byte 0x0A, which the lin
 * data blocks: entries ``varint shared | varint unshared | varint value bytes | key suffix | value``; the key
   shares its first ``shared`` bytes with the entry before; every 16th entry is a restart (shared = 0). Then
   the restarts' offsets and their number (uint32), and the block's crc32.
-* index: per block ``varint key bytes | first key | uint64 offset | uint32 length``.
+* index: per block ``varint key bytes | first key | uint64 offset | uint32 length``, then the entries' offsets
+  and their number (uint32), so that a reader can bisect it in place.
 * Bloom filter over the keys: bits, about 10 a key, 7 probes by double hashing.
 * footer, 64 bytes with its 0x0A: offsets and lengths of index and filter, documents, ids, shard number, id
   width (2 or 4 bytes), probes, magic.
 
 A value is a document's ids in 2 or 4 bytes each, whichever the vocabulary needs. Keys sort as their
 documents do: integers as 8 big-endian bytes with the sign bit flipped, strings as UTF-8, null first as the
-empty key. Files are written and read with Spark's own text and binaryFile sources, so any store it knows
-will do, and a task's commit makes a whole shard appear or nothing. A writer holds one block and its keys'
-index at a time. Shards are ranges of identifiers of about ``shard_bytes`` of text; an identifier that
-holds more than that is spread over shards by a hash of the text.
+empty key. Texts are dealt to shards by ranges of (identifier, hash of the text), about ``shard_bytes`` of text
+each, and encoded by the task that writes their shard, chunk by chunk: a writer holds a chunk, one block and its
+keys. An identifier that holds more than a shard is spread over several. Files are written and read with
+Spark's own text and binaryFile sources, so any store it knows will do, and a task's commit makes a whole shard
+appear or nothing. Readers parse every file once; starts are running sums in DataFrame functions.
 
 Defined cases: null and empty texts have only the end id; repeated identifiers are kept as entries of their
-own, ordered by their ids; an empty table gives one empty shard; other columns are ignored.
+own, ordered by a hash of their texts; an empty string as an identifier shares the empty key with null and
+sorts with it; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import _text as X
 from . import pieces as P
-from ._store import new_path
+from ._store import new_path, stored
 
 MAGIC = b"RLYSST1"
 FOOTER = struct.Struct("<QIQIQQIBB")
@@ -61,7 +65,7 @@ def key_bytes(doc_id) -> bytes:
 
 
 def key_value(key: bytes, integer: bool):
-    if not key and integer:
+    if not key:
         return None
     return int.from_bytes(key, "big") - (1 << 63) if integer else key.decode()
 
@@ -138,7 +142,9 @@ class Writer:
         if self.count:
             yield self._close()
         index_at = self.offset
-        index = b"".join(_varint(len(k)) + k + struct.pack("<QI", o, n) for k, o, n in self.index)
+        entries = [_varint(len(k)) + k + struct.pack("<QI", o, n) for k, o, n in self.index]
+        starts = np.concatenate([[0], np.cumsum([len(e) for e in entries])])[: len(entries)].astype("<u4")
+        index = b"".join(entries) + starts.tobytes() + struct.pack("<I", len(entries))
         yield self._emit(index)
         bits = max(64, 10 * len(self.keys)) + 7 & ~7
         bloom = np.zeros(bits // 8, np.uint8)
@@ -161,34 +167,46 @@ class Reader:
             raise ValueError("not a complete shard")
         self.index_at, self.index_len, self.bloom_at, self.bloom_len, self.n_docs, self.n_ids, self.shard, self.width, _ = FOOTER.unpack_from(tail)
 
-    def blocks(self) -> list[tuple[bytes, int, int]]:
-        at, end, out = self.index_at, self.index_at + self.index_len, []
-        while at < end:
-            n, at = _read_varint(self.data, at)
-            key = self.data[at : at + n]
-            offset, length = struct.unpack_from("<QI", self.data, at + n)
-            out.append((key, offset, length))
-            at += n + 12
-        return out
-
-    def entries(self, offset: int, length: int):
+        end = self.index_at + self.index_len
+        self.n_blocks = struct.unpack_from("<I", data, end - 4)[0]
+        self.entry_at = np.frombuffer(data, "<u4", self.n_blocks, end - 4 - 4 * self.n_blocks)
+
+    def block(self, i: int) -> tuple[bytes, int, int]:
+        """First key, offset and length of the i-th block."""
+        n, at = _read_varint(self.data, self.index_at + int(self.entry_at[i]))
+        return self.data[at : at + n], *struct.unpack_from("<QI", self.data, at + n)
+
+    def entries(self, offset: int, length: int, key: bytes = b""):
+        """Entries of a block; with ``key``, from the last restart before it on."""
         data = memoryview(self.data)[offset : offset + length]
         if zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
             raise ValueError(f"block at {offset} is damaged")
-        end = length - 8 - 4 * struct.unpack("<I", data[-8:-4])[0]
-        at, key = 0, b""
+        n = struct.unpack("<I", data[-8:-4])[0]
+        end = length - 8 - 4 * n
+        restarts = np.frombuffer(data, "<u4", n, end)
+        low, high = 0, n - 1
+        while key and low < high:
+            mid = (low + high + 1) // 2
+            at = _read_varint(data, int(restarts[mid]))[1]
+            unshared, at = _read_varint(data, at)
+            at = _read_varint(data, at)[1]
+            if bytes(data[at : at + unshared]) < key:
+                low = mid
+            else:
+                high = mid - 1
+        at, last = int(restarts[low]) if n else 0, b""
         while at < end:
             shared, at = _read_varint(data, at)
             unshared, at = _read_varint(data, at)
             size, at = _read_varint(data, at)
-            key = key[:shared] + bytes(data[at : at + unshared])
+            last = last[:shared] + bytes(data[at : at + unshared])
             at += unshared
-            yield key, data[at : at + size]
+            yield last, data[at : at + size]
             at += size
 
     def scan(self):
-        for _, offset, length in self.blocks():
-            yield from self.entries(offset, length)
+        for i in range(self.n_blocks):
+            yield from self.entries(*self.block(i)[1:])
 
     def ids(self, value) -> np.ndarray:
         return np.frombuffer(value, "<u2" if self.width == 2 else "<u4").astype("<u4")
@@ -198,16 +216,16 @@ class Reader:
         return all(self.data[self.bloom_at + (p >> 3)] >> (p & 7) & 1 for p in _probes(key, bits))
 
     def lookup(self, doc_id) -> np.ndarray | None:
-        """Bloom filter, binary search over the sparse index, then one block."""
+        """Bloom filter, binary search over the sparse index and over a block's restarts, then a short scan."""
         key = key_bytes(doc_id)
-        if not self.may_hold(key):
+        if not self.n_blocks or not self.may_hold(key):
             return None
-        blocks = self.blocks()
-        at = max(0, bisect_right([b[0] for b in blocks], key) - 1)
-        while at > 0 and blocks[at][0] == key:  # repeated keys may begin in an earlier block
-            at -= 1
-        for _, offset, length in blocks[at:]:
-            for k, v in self.entries(offset, length):
+        low, high = 0, self.n_blocks - 1
+        while low < high:  # the last block that begins before the key: repeated keys may begin in it
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if self.block(mid)[0] < key else (low, mid - 1)
+        for i in range(low, self.n_blocks):
+            for k, v in self.entries(*self.block(i)[1:], key):
                 if k == key:
                     return self.ids(v)
                 if k > key:
@@ -216,92 +234,55 @@ class Reader:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str):
+def _encoder(path: str) -> tuple[P.PieceCache, P.Cutter]:
     """The library's tokenizer behind a cache of pieces, one for each worker process."""
     tokenizer = P.plain_tokenizer(path)
-    cache = P.PieceCache(P.library_encoder(tokenizer, P.bytes_of_tokens(tokenizer)))
-    return tokenizer, cache, P.special_strings(tokenizer)
+    return P.PieceCache(P.library_encoder(tokenizer, P.bytes_of_tokens(tokenizer))), P.Cutter(tokenizer)
 
 
-def _ranges(docs: DataFrame, layout: Layout) -> tuple[int, list]:
-    """Number of shards, and the identifiers that bound them."""
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(1, -(-total // layout.shard_bytes), min(parts, total // layout.least_shard_bytes))
-    if n == 1:
-        return 1, []
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    if id_type == "string":
-        raise NotImplementedError("string identifiers: bounds need integer keys")
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("q")).first().q
-    return n, list(cuts or [])
+def with_end(ids: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every document's ids followed by ``end_id``."""
+    many = len(offs) - 1
+    out, last = np.empty(len(ids) + many, ids.dtype), offs[1:] + np.arange(many)
+    inside = np.ones(len(out), bool)
+    inside[last] = False
+    out[inside], out[last] = ids, end_id
+    return out, offs + np.arange(many + 1)
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str, layout: Layout = Layout()) -> None:
     """Encodes all texts and writes one file for each range of identifiers under ``path``."""
-    n, cuts = _ranges(docs, layout)
-    bounds = np.array(cuts, np.int64)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, -(-total // layout.shard_bytes), min(parts, total // layout.least_shard_bytes))
     wide = len(P.bytes_of_tokens(P.plain_tokenizer(tokenizer_path)))
     width = 2 if max(wide, layout.end_id + 1) <= 1 << 16 else 4
-    kind = np.dtype("<u2" if width == 2 else "<u4")
-
-    def make():
-        tokenizer, cache, special = _encoder(tokenizer_path)
-
-        def slow(text):
-            return tokenizer.encode(text, add_special_tokens=False).ids
-
-        def run(part):
-            ids, offs = P.encode_chunk(X.text_bytes(part.column("text")), cache, special, slow)
-            m = len(offs) - 1
-            packed = np.insert(ids, offs[1:], layout.end_id).astype(kind)
-            at = (offs + np.arange(m + 1)) * width
-            values = pa.BinaryArray.from_buffers(pa.binary(), m, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(packed)])
-            key = pc.fill_null(part.column("doc_id").cast(pa.int64()), -(1 << 63)).to_numpy(zero_copy_only=False)
-            lo, hi = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
-            shard = lo
-            for i in np.flatnonzero(hi - lo > 1):  # an identifier that fills shards
-                shard[i] = lo[i] + zlib.crc32(values[int(i)].as_py()) % (hi[i] - lo[i])
-            return [values, pa.array(shard.astype(np.int32))]
-
-        return run
-
-    encoded = X.map_texts(docs, make, "ids binary, shard int", limit=P.CHUNK_BYTES)
-    placed = encoded.repartitionById(n, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
+    own = F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, IntegralType) else F.col("doc_id").cast("string")
+    placed = docs.select(own.alias("doc_id"), "text", F.xxhash64("text").alias("tie")).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 
     def build(batches):
-        writer = None
+        cache, cutter = _encoder(tokenizer_path)
+        writer = Writer(TaskContext.get().partitionId(), width, layout.block_bytes)
         for batch in batches:
-            shards, keys, values = batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")
-            sections = []
-            for i, key in enumerate(keys):
-                if writer is None:
-                    writer = Writer(shards[i], width, layout.block_bytes)
-                sections += writer.add(key_bytes(key), values[i].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(sections, pa.binary())], names=["section"])
-        if writer is not None:
+            for part in X.chunks(batch, limit=P.CHUNK_BYTES):
+                ids, at = with_end(*P.encode_chunk(X.text_bytes(part.column("text")), cache, cutter), layout.end_id)
+                values, at = memoryview(ids.astype("<u2" if width == 2 else "<u4").tobytes()), (at * width).tolist()
+                sections = []
+                for key, a, b in zip(part.column("doc_id").to_pylist(), at[:-1], at[1:], strict=True):
+                    sections += writer.add(key_bytes(key), bytes(values[a:b]))
+                if sections:
+                    yield pa.RecordBatch.from_arrays([pa.array(sections, pa.binary())], names=["section"])
+        if writer.keys:
             for section in writer.finish():
                 yield pa.RecordBatch.from_arrays([pa.array([section], pa.binary())], names=["section"])
 
-    placed.mapInArrow(build, "section binary").select(F.col("section").cast("string")).write.option("compression", "none").option("maxRecordsPerFile", 0).text(path)
-
-
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0")
+    sections = placed.select("doc_id", "text").mapInArrow(build, "section binary")
+    sections.select(F.col("section").cast("string")).write.option("compression", "none").option("maxRecordsPerFile", 0).text(path)
 
 
 def read_shards(spark: SparkSession, path: str, integer_keys: bool = True, with_ids: bool = False) -> DataFrame:
-    """Every document in the files under ``path``: doc_id, start (ids of all before it), n_tokens, ids_crc32.
-
-    A first look at the footers alone gives each shard's number of ids; their running sum (one number a
-    shard) is what a shard's documents start from.
-    """
-
-    def totals(batches):
-        for batch in batches:
-            heads = [Reader(c.as_py()) for c in batch.column("content")]
-            yield pa.RecordBatch.from_arrays([pa.array([h.shard for h in heads], pa.int32()), pa.array([h.n_ids for h in heads], pa.int64())], names=["shard", "n_ids"])
+    """Every document in the files under ``path``: doc_id, start (ids of all before it), n_tokens, ids_crc32."""
 
     def parse(batches):
         for batch in batches:
@@ -318,17 +299,19 @@ def read_shards(spark: SparkSession, path: str, integer_keys: bool = True, with_
                     place += len(ids)
                     if with_ids:
                         all_ids.append(ids)
+                if (len(keys), place) != (shard.n_docs, shard.n_ids):
+                    raise ValueError(f"shard {shard.shard} does not hold what its footer says")
                 arrays = [pa.array([shard.shard] * len(keys), pa.int32()), pa.array(keys, pa.int64() if integer_keys else pa.string()), pa.array(at, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays + ([pa.array(all_ids, pa.list_(pa.int64()))] if with_ids else []), names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
-    rows = _files(spark, path).select("content").mapInArrow(totals, "shard int, n_ids long").collect()  # one small row a shard
-    base, sum_so_far = [], 0
-    for r in sorted(rows, key=lambda r: r.shard):
-        base.append((r.shard, sum_so_far))
-        sum_so_far += r.n_ids
     schema = f"shard int, doc_id {'long' if integer_keys else 'string'}, at long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    docs = _files(spark, path).select("content").mapInArrow(parse, schema)
-    starts = spark.createDataFrame(base, "shard int, base long")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0")
+    docs = stored(files.select("content").mapInArrow(parse, schema), "parsed-shards")
+    # Running sums in two steps, so that only one row for every 1024 shards meets in one task.
+    totals = docs.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("block", F.floor(F.col("shard") / 1024))
+    inside = totals.withColumn("before", F.sum("n").over(W.partitionBy("block").orderBy("shard")) - F.col("n"))
+    blocks = totals.groupBy("block").agg(F.sum("n").alias("n")).select("block", (F.sum("n").over(W.orderBy("block")) - F.col("n")).alias("base"))
+    starts = inside.join(blocks, "block").select("shard", (F.col("base") + F.col("before")).alias("base"))
     return docs.join(starts, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
@@ -336,4 +319,4 @@ def token_shards(docs: DataFrame, tokenizer_path: str, layout: Layout = Layout()
     """Writes the shards to a new folder of the shared store and reads them back."""
     path = new_path(docs.sparkSession, "token-shards")
     write_shards(docs, path, tokenizer_path, layout)
-    return read_shards(docs.sparkSession, path)
+    return read_shards(docs.sparkSession, path, isinstance(docs.schema["doc_id"].dataType, IntegralType))

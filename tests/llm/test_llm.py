@@ -217,11 +217,27 @@ def test_op3_odd(spark, odd, odd_rows, empty, library, tmp_path):
     for d, ids in by.items():
         assert [x.tolist() for f in files if (x := f.lookup(d)) is not None] == [ids]
     assert all(f.lookup(999_999) is None for f in files)
+    assert all(f.block(i)[0] <= f.block(i + 1)[0] for f in files for i in range(f.n_blocks - 1))
     with pytest.raises(ValueError):
         sstable.Reader(b"short")
     assert sstable.token_shards(empty, queries.tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("least", [4 << 20, 2000])
+def test_op3_string_identifiers(spark, library, tmp_path, least):
+    rows = [(None if i == 5 else f"k{i * 7919 % 400:03d}", f"text {i} " * (i % 9)) for i in range(300)]
+    path, docs = f"file://{tmp_path}/strings", spark.createDataFrame(rows, "doc_id string, text string")
+    sstable.write_shards(docs, path, queries.tokenizer_path(), sstable.Layout(least_shard_bytes=least, block_bytes=300))
+    got = sorted(sstable.read_shards(spark, path, integer_keys=False, with_ids=True).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: d or "")
+    want = {d: [*library.encode(t, add_special_tokens=False).ids, 2] for d, t in rows}
+    assert all(r.ids == want[r.doc_id] for r in got)
+    files = [sstable.Reader(f.read_bytes()) for f in (tmp_path / "strings").glob("part-*") if f.stat().st_size]
+    assert (len(files) > 1) == (least < 4 << 20)
+    for d, ids in want.items():
+        assert [x.tolist() for f in files if (x := f.lookup(d)) is not None] == [ids]
+
+
 def near_components(docs, k, percent):
     sets = {}
     for d, t in docs:
@@ -454,11 +470,34 @@ def test_op9_matches_the_library_on_random_texts(library):
     rng = random.Random(1)
     al = [*"  \n\t\r\x0b\x1c'''sdmtrevlLl.,!?-09aZé²½ñ", "'s", "'re", " 's", "'ll", "  ", "<|endoftext|>", "…", "—", "\xa0", "中", "😀", "ß", "ж", "٣", "<|"]
     texts = ["".join(rng.choices(al, k=rng.randint(0, 40))) for _ in range(2000)] + ["ab" * 3000, " " * 700, "'" * 90]
+    texts += ["".join(chr(c) for c in rng.choices([*range(32, 0xD800), *range(0xE000, 0x20000), 0x20000, 0x30000, 0x10FFFF], k=30)) for _ in range(300)]
+    texts += ["a<|endoftext|>b", "<|endoftext|><|endoftext|> c", "<|endof", "text|>", "\u3000 \xa0x", " \u2003"]
     own = bpe.load(queries.tokenizer_path())
-    lib = pieces.PieceCache(pieces.library_encoder(library, own.token_bytes), limit=50)
-    for cache, slow in ((own.cache, own.slow_ids), (lib, lambda t: library.encode(t, add_special_tokens=False).ids)):
-        ids, offs = pieces.encode_chunk(X.text_bytes(pa.array(texts)), cache, own.special, slow)
-        assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    small = pieces.PieceCache(own.encode_pieces, limit=400)  # generations change all the time
+    lib = pieces.PieceCache(pieces.library_encoder(library, own.token_bytes), limit=400)
+    for cache in (own.cache, small, lib, lib):
+        for a in range(0, len(texts), 300):
+            part = texts[a : a + 300]
+            ids, offs = pieces.encode_chunk(X.text_bytes(pa.array(part)), cache, own.cutter)
+            assert [ids[x:y].tolist() for x, y in zip(offs[:-1], offs[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in part]
+
+
+def test_piece_cache_verifies_bytes(monkeypatch):
+    """Pieces with equal hashes keep their own ids."""
+    cache = pieces.PieceCache(lambda data, at, size: (data[at].astype(np.int32), np.ones(len(at), np.int32)))
+    monkeypatch.setattr(pieces.X, "hash_words", lambda words: np.zeros(len(words.starts), np.uint64))
+    for _ in range(2):
+        flat, start, size = cache.ids(np.frombuffer(b"abc", np.uint8), np.arange(3), np.ones(3, np.int64))
+        assert flat[start].tolist() == [97, 98, 99] and size.tolist() == [1, 1, 1]
+
+
+def test_speculation_equals_merging():
+    own, rng = bpe.load(queries.tokenizer_path()), random.Random(4)
+    strings = [bytes(rng.choices(b"abcdehinorst ", k=rng.randint(1, 30))) for _ in range(3000)]
+    at = np.cumsum([0, *map(len, strings)])
+    ids, sizes = own.encode_pieces(np.frombuffer(b"".join(strings), np.uint8), at[:-1], np.diff(at))
+    ends = np.cumsum(sizes)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)] == [own.id_of[own.merge(x)].tolist() for x in strings]
 
 
 def line_runs(docs, gram=2, window=3):
