@@ -158,14 +158,32 @@ def windows(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def combine(h: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` word hashes from each place in ``first``; order counts."""
-    out = np.zeros(len(first), np.uint64)
+    """Hash of the ``size`` word hashes from each place in ``first``; order counts. Long runs come from prefix sums."""
     with np.errstate(over="ignore"):
+        if size > 8:
+            return mix(_rolling(h, size)[first]) if len(first) else np.zeros(0, np.uint64)
+        out = np.zeros(len(first), np.uint64)
         for j in range(size):
             out = (out * np.uint64(0xD6E8FEB86659FD93)) + h[first + j]
         return mix(out)
 
 
+def _rolling(h: np.ndarray, size: int) -> np.ndarray:
+    """Polynomial hashes of all runs of ``size`` values (h's values are random 64-bit ones)."""
+    power, inverse = _power_tables()
+    n, step = len(h) - size + 1, _BLOCK - size
+    out = np.empty(max(n, 0), np.uint64)
+    if size > step:
+        raise ValueError("too long a run")
+    for a in range(0, n, step):
+        part = h[a : a + step + size - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * power[: len(part)], out=sums[1:])
+        k = len(part) - size + 1
+        out[a : a + k] = (sums[size:] - sums[:k]) * inverse[:k]
+    return out
+
+
 def cover(offs: np.ndarray, first: np.ndarray, size: int | np.ndarray, total: int) -> np.ndarray:
     """Mask of the words inside any window that starts at ``first``."""
     change = np.zeros(total + 1, np.int32)

@@ -8,11 +8,13 @@
    tied to the smallest one under its key (not to all), and the ties' components are candidate groups: all
    pairs that share a key lie inside one. At a similarity of exactly 0.85, 25 bands of 5 miss a pair with
    probability 5e-7.
-3. Groups are cut into parts of at most ``part`` sets. Inside a part all pairs are decided exactly from an
-   inverted index over the full sets, and only a spanning forest of the links leaves it.
-4. For a group of several parts, sets that cannot link to any other (too many shingles that nobody else in
-   the group has) rest; of the others, those outside the group's largest linked component meet all others
-   in blocks of parts, again exactly. No pair is emitted that isn't a link, and none is lost.
+3. Groups are cut into parts of at most ``part`` sets and ``part_bytes``. Inside a part all pairs are decided
+   exactly from an inverted index over the full sets, and only a spanning forest of the links leaves it.
+4. A group of several parts is cut a second time, otherwise: as a dense group's parts mix, its links meet. Then
+   only pairs that share a band key and are not connected yet are open. Sets that cannot link to any other (too
+   many shingles that nobody else in the group has) rest, keys whose sets are all connected are done, and under
+   each remaining key the sets outside its largest connected class meet all others in blocks, again exactly. No
+   pair is emitted that isn't a link, and none is lost.
 5. Links' components give each document the smallest identifier that it can reach.
 
 Disk and shuffle: sketches' keys twice, texts once (only those of candidate groups go on as sets).
@@ -43,7 +45,8 @@ class Similar:
     percent: int = 80  # link: 100 * intersection >= percent * union
     bands: int = 25
     rows: int = 5
-    part: int = 512  # sets that meet in one place
+    part: int = 128  # sets that meet in one place
+    part_bytes: int = 2 << 20  # and what they hold, unless one holds more
     group_bytes: int = 24 << 20  # of sets in one task's group
 
     @property
@@ -176,11 +179,10 @@ def _verify(percent: int):
     """Links inside each part of a task's group."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("component", "ascending"), ("piece", "ascending")]).combine_chunks()
+        table = table.sort_by("place").combine_chunks()
         keys, offs = _sets(table)
-        rep = table.column("rep").to_numpy()
-        where = np.stack([table.column("component").to_numpy(), table.column("piece").to_numpy()])
-        edge = np.concatenate([[0], np.flatnonzero((where[:, 1:] != where[:, :-1]).any(0)) + 1, [len(rep)]])
+        rep, place = table.column("rep").to_numpy(), table.column("place").to_numpy()
+        edge = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(rep)]])
         a, b = [], []
         for x, y in zip(edge[:-1], edge[1:], strict=True):
             if y - x > 1:
@@ -206,8 +208,9 @@ def _cross(percent: int):
 
 
 def representatives(found: DataFrame) -> DataFrame:
-    """One document for each set digest: rep, its band keys. Equal sets combine before the shuffle."""
-    return found.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands"))
+    """One document for each set digest: rep, its set's size and band keys. Equal sets combine before the shuffle."""
+    first = found.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands", "n_shingles")).alias("m"))
+    return first.select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n_shingles"), F.col("m.bands").alias("bands"))
 
 
 def candidate_groups(reps: DataFrame) -> DataFrame:
@@ -218,35 +221,40 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
     return components(ties).select(F.col("node").alias("rep"), "component")
 
 
-def verified_links(docs: DataFrame, groups: DataFrame, s: Similar) -> DataFrame:
+def _in_parts(sets: DataFrame, tasks: int, salt: int, s: Similar) -> DataFrame:
+    """Links inside the parts into which ``salt`` deals each group."""
+    place = F.xxhash64("component", F.pmod(F.xxhash64("rep", F.lit(salt)), F.col("parts")))
+    dealt = sets.select("rep", "shingles", place.alias("place")).withColumn("task", F.pmod(F.xxhash64("place"), F.lit(tasks)))
+    return dealt.groupBy("task").applyInArrow(_verify(s.percent), "a long, b long")
+
+
+def verified_links(docs: DataFrame, reps: DataFrame, groups: DataFrame, s: Similar) -> DataFrame:
     """a, b: links that connect whatever is connected."""
     spark = docs.sparkSession
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    placed = groups.join(sizes, "component").withColumn("piece", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / s.part)).cast("int"))
+    members = groups.join(reps.select("rep", "n_shingles"), "rep")
+    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / s.part), F.ceil(F.sum("n_shingles") * 8 / s.part_bytes)).cast("int").alias("parts"))
+    placed = groups.join(sizes, "component")
     # A merge join at every size: the groups grow with the input, so a broadcast would only flatter small runs.
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(placed.hint("merge"), "rep").select(F.col("rep").alias("doc_id"), "text", "component", "piece", "n")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(placed.hint("merge"), "rep").select(F.col("rep").alias("doc_id"), "text", "component", "parts")
 
     def run(part):
         keys, offs = shingle_sets(part, s.shingle)
         blobs = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((offs * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(keys))])
-        return [blobs, part.column("component"), part.column("piece"), part.column("n")]
+        return [blobs, part.column("component"), part.column("parts")]
 
-    sets = X.map_texts(texts, lambda: run, "shingles binary, component long, piece int, n long", ("text", "component", "piece", "n")).withColumnRenamed("doc_id", "rep")
-    sets = stored(sets, "sets")
+    sets = stored(X.map_texts(texts, lambda: run, "shingles binary, component long, parts int", ("text", "component", "parts")).withColumnRenamed("doc_id", "rep"), "sets")
     total = sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // s.group_bytes))
-    inside = sets.withColumn("task", F.pmod(F.xxhash64("component", "piece"), F.lit(tasks))).groupBy("task").applyInArrow(_verify(s.percent), "a long, b long")
-    edges = stored(inside, "links")
-    large = sets.filter(F.col("n") > s.part)
+    edges = stored(_in_parts(sets, tasks, 0, s), "links")
+    large = sets.filter("parts > 1")
     if not large.take(1):
         return edges
-    return edges.unionByName(_between_parts(large, edges, s))
+    edges = stored(edges.unionByName(_in_parts(large, tasks, 1, s)), "links")
+    return edges.unionByName(_under_keys(large, reps, edges, s))
 
 
-def _between_parts(large: DataFrame, edges: DataFrame, s: Similar) -> DataFrame:
-    """Links across the parts of groups too large for one part."""
-    linked = components(edges)
-    now = large.join(linked.withColumnRenamed("node", "rep").withColumnRenamed("component", "linked"), "rep", "left").withColumn("linked", F.coalesce("linked", "rep"))
+def _under_keys(large: DataFrame, reps: DataFrame, edges: DataFrame, s: Similar) -> DataFrame:
+    """Links between sets that share a band key, lie in a group of several parts and are not connected yet."""
 
     def spread(batches):
         for batch in batches:
@@ -260,24 +268,27 @@ def _between_parts(large: DataFrame, edges: DataFrame, s: Similar) -> DataFrame:
 
     each = large.select("component", "rep", "shingles").mapInArrow(spread, "component long, rep long, shingle long")
     alone = each.groupBy("component", "shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).filter("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
-    size = F.octet_length("shingles") / 8
-    can = now.join(alone, "rep", "left").filter((size - F.coalesce("own", F.lit(0))) * 100 >= size * s.percent)
-    can = stored(can.select("component", "rep", "linked", "shingles"), "open-sets")
-    by_link = can.groupBy("component", "linked").agg(F.count("*").alias("n"))
-    main = by_link.groupBy("component").agg(F.max(F.struct("n", F.col("linked"))).alias("m"), F.sum("n").alias("all")).select("component", F.col("m.linked").alias("main"), "all", (F.col("all") - F.col("m.n")).alias("minors"))
-    main = main.filter("minors > 0")
-    sided = can.join(main, "component").withColumn("minor", F.col("linked") != F.col("main"))
-    half = s.part // 2
-    blocks, parts = F.ceil(F.col("minors") / half).cast("int"), F.ceil(F.col("all") / half).cast("int")
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("minors") / half)).cast("int")
-    piece = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("all") / half)).cast("int")
-    cols = ["component", "rep", "shingles"]
+    linked = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("class"))
+    bytes_ = F.octet_length("shingles").cast("long")
+    open_ = large.select("rep", bytes_.alias("bytes")).join(alone, "rep", "left").filter((F.col("bytes") / 8 - F.coalesce("own", F.lit(0))) * 100 >= F.col("bytes") / 8 * s.percent)
+    classed = open_.join(linked, "rep", "left").select("rep", "bytes", F.coalesce("class", "rep").alias("class"))
+    keyed = stored(reps.select("rep", F.explode("bands").alias("key")).join(classed, "rep"), "open-keys")
+    # By key and class first: a class of any size is one row when a key is judged.
+    of_class = keyed.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    judged = of_class.groupBy("key").agg(F.max(F.struct("n", "class", "bytes")).alias("m"), F.count("*").alias("classes"), F.sum("n").alias("all"), F.sum("bytes").alias("all_bytes")).filter("classes > 1")
+    half, half_bytes = s.part / 2, s.part_bytes / 2
+
+    def parts(n, size):
+        return F.greatest(F.ceil(n / half), F.ceil(size / half_bytes)).cast("int")
+
+    judged = judged.select("key", F.col("m.class").alias("main"), parts(F.col("all") - F.col("m.n"), F.col("all_bytes") - F.col("m.bytes")).alias("blocks"), parts(F.col("all"), F.col("all_bytes")).alias("pieces"))
+    sided = keyed.join(judged, "key").select("key", "rep", "blocks", "pieces", (F.col("class") != F.col("main")).alias("minor"))
     # Every block of minors meets every part of all; a minor is on either side, so minors meet one another too.
-    first = sided.filter("minor").select(*cols, F.lit(True).alias("minor"), block.alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("piece"))
-    second = sided.select(*cols, F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), piece.alias("piece"))
-    # One key for a cell: grouping by all three would be content with rows dealt by component alone.
-    cells = first.unionByName(second).withColumn("cell", F.xxhash64("component", "block", "piece"))
-    met = cells.groupBy("cell").applyInArrow(_cross(s.percent), "a long, b long")
+    first = sided.filter("minor").select("key", "rep", F.lit(True).alias("minor"), F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces").cast("long") - 1)).alias("piece"))
+    second = sided.select("key", "rep", F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("pieces")).alias("piece"))
+    # One column for a cell: grouping by all three would be content with rows dealt by key alone.
+    cells = first.unionByName(second).select("rep", "minor", F.xxhash64("key", "block", "piece").alias("cell"))
+    met = cells.join(large.select("rep", "shingles"), "rep").groupBy("cell").applyInArrow(_cross(s.percent), "a long, b long")
     return met.filter("a <> b")
 
 
@@ -286,7 +297,7 @@ def near_dedup(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
     found = stored(sketches(docs, s), "sketches")
     reps = stored(representatives(found), "reps")
     groups = stored(candidate_groups(reps), "groups")
-    labels = components(verified_links(docs, groups, s)).withColumnRenamed("node", "rep")
+    labels = components(verified_links(docs, reps, groups, s)).withColumnRenamed("node", "rep")
     of_set = reps.select("h1", "h2", "rep").join(labels, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     return found.drop("bands").join(of_set, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn(
         "kept", F.col("component_id").eqNullSafe(F.col("doc_id"))

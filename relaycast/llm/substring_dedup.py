@@ -7,10 +7,12 @@ sorted and counted, and every window but the first (by document, then place) bec
 
 * Pre-aggregation: within a chunk (8 MB of a task's texts) equal packed strings are sent once, for their
   first occurrence; all others there are known to be repeats at once and only their ranges travel.
-* Hot minimisers: a bounded sample of documents names minimisers that head more than ``hot_share`` of its
-  packed strings; their windows travel one by one, dealt by the window's own hash. This decides only where
-  a window is counted, not whether.
+* Hot minimisers: a sample of documents, whose size follows the input, names minimisers that would fill a good
+  part of a bucket by themselves; their windows travel one by one, dealt by the window's own hash. This decides
+  only where a window is counted, not whether.
 * Packed strings go in zstd blobs, one for each chunk and bucket; the number of buckets follows the input.
+  A bucket is counted from its blobs in as many passes over hashes of windows as its size needs, so a bucket
+  that the sample did not foresee takes longer, not more memory.
 
 Windows are compared by 128 bits of hash. Defined cases: null or empty texts have no words; texts with fewer
 words than a window keep all; rows of one identifier with different texts count as documents of their own,
@@ -39,10 +41,12 @@ class Params:
     window: int = 20
     minimiser: int = 3
     chunk_bytes: int = 8 << 20  # of a task's texts, deduplicated and packed together
-    bucket_bytes: int = 16 << 20  # of text
-    sample_docs: int = 20_000
-    hot_share: float = 0.001
-    hot_limit: int = 4096  # minimisers
+    bucket_bytes: int = 8 << 20  # of text
+    partitions: int = 20_000  # of the shuffle at most; each then holds several buckets, counted one after the other
+    sample_docs: int = 20_000  # at least, and one in ``sample_every`` of all
+    sample_every: int = 64
+    windows: int = 2 << 20  # hashes that are sorted at once
+    hot_limit: int = 1 << 20  # minimisers that are dealt by window (8 bytes each in every task)
 
 
 def slide_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -140,7 +144,7 @@ def _deal(p: Params, buckets: int, hot: np.ndarray):
                 if len(rest):
                     doc, own, hashes = _documents(runs.doc[rest], ids, text_hash)
                     ranges = _pack(doc, start[rest].astype(np.uint32), (start[rest] + runs.count[rest] + p.window - 1).astype(np.uint32), own, hashes)
-                    rows.append((int(text_hash[0]) % buckets, None, ranges))
+                    rows.append((int(text_hash[0]) % buckets, None, ranges, 0))
                 bucket = (X.mix(runs.key[head]) % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 head, bucket = head[by], bucket[by]
@@ -153,10 +157,10 @@ def _deal(p: Params, buckets: int, hot: np.ndarray):
                     at = which[mine]
                     size = offs[at + 1] - offs[at]
                     doc, own, hashes = _documents(runs.doc[mine], ids, text_hash)
-                    rows.append((int(bucket[a]), _pack(P.gather(raw, offs[at], size), size.astype(np.uint32), doc, start[mine].astype(np.uint32), own, hashes), None))
+                    rows.append((int(bucket[a]), _pack(P.gather(raw, offs[at], size), size.astype(np.uint32), doc, start[mine].astype(np.uint32), own, hashes), None, int(runs.count[mine].sum())))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-                    names=["bucket", "strings", "ranges"],
+                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.int64())],
+                    names=["bucket", "strings", "ranges", "n"],
                 )
 
     return deal
@@ -187,86 +191,122 @@ def _merge(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return doc[begin], a[begin], reach[last] - shift[begin]
 
 
-def repeats(words: X.Words, h: np.ndarray, window: int, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Document rank and start of every window of the packed strings that is not its first occurrence."""
-    first, string = X.windows(words.counts, window)
-    key = X.combine(h, first, window)
+def _windows(blobs: list[bytes], p: Params, passes: int, k: int):
+    """Two hashes, document (place among all blobs') and start of the windows whose hash falls to pass ``k``."""
+    out, base, todo, size_so_far = [], 0, [], 0
+
+    def hashed():
+        size = np.concatenate([x[1] for x in todo]).astype(np.int64)
+        words = X.find_words(X.Bytes(np.concatenate([x[0] for x in todo]), np.concatenate([[0], np.cumsum(size)])))
+        h = X.hash_words(words)
+        first, string = X.windows(words.counts, p.window)
+        key = X.combine(h, first, p.window)
+        if passes > 1:
+            mine = np.flatnonzero((key >> np.uint64(20)) % np.uint64(passes) == k)
+            first, string, key = first[mine], string[mine], key[mine]
+        second = X.combine(X.mix(h + np.uint64(0xA5A5A5A5)), first, p.window)
+        owner, start = np.concatenate([x[2] for x in todo]), np.concatenate([x[3] for x in todo]).astype(np.int64)
+        out.append((key, second, owner[string].astype(np.int32), (start[string] + first - words.offs[string]).astype(np.int32)))
+
+    for blob in blobs:
+        raw, size, d, s, own, _ = _unpack(blob, _STRINGS)
+        todo.append((raw, size, d.astype(np.int64) + base, s))
+        base += len(own)
+        size_so_far += len(raw)
+        if size_so_far > 2 << 20:
+            hashed()
+            todo, size_so_far = [], 0
+    if todo:
+        hashed()
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def repeats(key, second, owner, at) -> tuple[np.ndarray, np.ndarray]:
+    """Document rank and start of every window that is not its first occurrence."""
     order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     twice = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(order) else order
-    if not len(twice):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first, string, key = first[twice], string[twice], key[twice]
-    second = X.combine(X.mix(h + np.uint64(0xA5A5A5A5)), first, window)
-    owner, at = doc[string], start[string] + first - words.offs[string]
+    key, second, owner, at = key[twice], second[twice], owner[twice], at[twice]
     order = np.lexsort((at, owner, second, key))
     key, second, owner, at = key[order], second[order], owner[order], at[order]
     lead = np.ones(len(key), bool)
     lead[1:] = (key[1:] != key[:-1]) | (second[1:] != second[:-1])
     head = np.maximum.accumulate(np.where(lead, np.arange(len(key)), 0))
     later = (owner != owner[head]) | (at != at[head])
-    return owner[later], at[later]
+    return owner[later].astype(np.int64), at[later].astype(np.int64)
+
+
+def _counted(blobs: list[bytes], ranges: list[bytes], n: int, p: Params) -> pa.RecordBatch:
+    """Removal ranges of one bucket."""
+    ids, hashes, doc, a, b, base = [], [], [], [], [], 0
+    for blob in blobs:
+        *_, own, own_hash = _unpack(blob, _STRINGS)
+        ids.append(own)
+        hashes.append(own_hash)
+        base += len(own)
+    for blob in ranges:
+        d, f, t, own, own_hash = _unpack(blob, _RANGES)
+        doc.append(d.astype(np.int64) + base)
+        a.append(f.astype(np.int64))
+        b.append(t.astype(np.int64))
+        ids.append(own)
+        hashes.append(own_hash)
+        base += len(own)
+    rank, ids, hashes = _rank(np.concatenate(ids), np.concatenate(hashes))
+    doc = [rank[d] for d in doc]
+    passes = -(-n // p.windows)
+    for k in range(passes):
+        key, second, owner, at = _windows(blobs, p, passes, k)
+        owner, at = repeats(key, second, rank[owner], at)
+        merged = _merge(owner, at, at + p.window)
+        for to, found in zip((doc, a, b), merged, strict=True):
+            to.append(found)
+    none = np.zeros(0, np.int64)
+    d, f, t = _merge(np.concatenate([none, *doc]), np.concatenate([none, *a]), np.concatenate([none, *b]))
+    begin = np.append(np.flatnonzero(np.diff(d, prepend=-1)), len(d))
+    packed_ranges = [np.stack([f[i:j], t[i:j]], 1).astype(np.uint32).tobytes() for i, j in zip(begin[:-1], begin[1:], strict=True)]
+    of = d[begin[:-1]] if len(d) else d
+    return pa.RecordBatch.from_arrays([pa.array(ids[of], pa.int64()), pa.array(hashes[of], pa.int64()), pa.array(packed_ranges, pa.binary())], names=["id", "text_hash", "ranges"])
 
 
 def _count(p: Params):
-    def count(table: pa.Table) -> pa.Table:
-        doc, a, b, ids, hashes, strings = [], [], [], [], [], []
-        base = 0
-        for blob in table.column("strings").to_pylist():
-            if blob is not None:
-                raw, size, d, s, own, own_hash = _unpack(blob, _STRINGS)
-                strings.append((raw, size, d.astype(np.int64) + base, s.astype(np.int64)))
-                ids.append(own)
-                hashes.append(own_hash)
-                base += len(own)
-        for blob in table.column("ranges").to_pylist():
-            if blob is not None:
-                d, f, t, own, own_hash = _unpack(blob, _RANGES)
-                doc.append(d.astype(np.int64) + base)
-                a.append(f.astype(np.int64))
-                b.append(t.astype(np.int64))
-                ids.append(own)
-                hashes.append(own_hash)
-                base += len(own)
-        rank, ids, hashes = _rank(np.concatenate(ids), np.concatenate(hashes))
-        doc = [rank[d] for d in doc]
-        if strings:
-            size = np.concatenate([x[1] for x in strings]).astype(np.int64)
-            words = X.find_words(X.Bytes(np.concatenate([x[0] for x in strings]), np.concatenate([[0], np.cumsum(size)])))
-            owner, at = repeats(words, X.hash_words(words), p.window, rank[np.concatenate([x[2] for x in strings])], np.concatenate([x[3] for x in strings]))
-            doc.append(owner)
-            a.append(at)
-            b.append(at + p.window)
-        d, f, t = _merge(np.concatenate(doc), np.concatenate(a), np.concatenate(b))
-        begin = np.append(np.flatnonzero(np.diff(d, prepend=-1)), len(d))
-        packed_ranges = [np.stack([f[i:j], t[i:j]], 1).astype(np.uint32).tobytes() for i, j in zip(begin[:-1], begin[1:], strict=True)]
-        of = d[begin[:-1]] if len(d) else d
-        return pa.table([pa.array(ids[of], pa.int64()), pa.array(hashes[of], pa.int64()), pa.array(packed_ranges, pa.binary())], names=["id", "text_hash", "ranges"])
+    def count(batches):
+        """Rows come bucket by bucket; only one bucket's blobs are held."""
+        bucket, blobs, ranges, n = None, [], [], 0
+        for batch in batches:
+            for own, blob, range_, many in zip(*(batch.column(i) for i in range(4)), strict=True):
+                if own.as_py() != bucket:
+                    if bucket is not None:
+                        yield _counted(blobs, ranges, n, p)
+                    bucket, blobs, ranges, n = own.as_py(), [], [], 0
+                if blob.is_valid:
+                    blobs.append(blob.as_py())
+                else:
+                    ranges.append(range_.as_py())
+                n += many.as_py()
+        if bucket is not None:
+            yield _counted(blobs, ranges, n, p)
 
     return count
 
 
 def hot_minimisers(docs: DataFrame, p: Params) -> np.ndarray:
-    """Minimisers that head many of the packed strings of a bounded sample, sorted."""
-    total = docs.count()
-    every = max(1, -(-total // p.sample_docs))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").limit(2 * p.sample_docs)
+    """Minimisers that would fill a quarter of what is sorted at once by themselves, by a sample; sorted."""
+    every = max(1, min(docs.count() // p.sample_docs, p.sample_every))
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text") if every > 1 else docs.select("text")
 
     def count(batches):
         for batch in batches:
             for part in X.chunks(batch):
                 words = X.find_words(X.text_bytes(part.column("text")))
                 runs = Runs(words, X.hash_words(words), p, np.zeros(0, np.uint64))
-                keys, n = np.unique(runs.key, return_counts=True)
-                big = n > 1
-                keys, n = np.append(keys[big], np.uint64(0)), np.append(n[big], len(runs.key))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+                keys, back = np.unique(runs.key, return_inverse=True)
+                n = np.bincount(back, runs.count, len(keys)) if len(keys) else np.zeros(0)
+                big = n >= 2 * p.window
+                yield pa.RecordBatch.from_arrays([pa.array(keys[big].view(np.int64)), pa.array(n[big].astype(np.int64))], names=["key", "n"])
 
     counts = sample.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    all_ = counts.filter("key = 0").first()
-    if not all_ or not all_.n:
-        return np.zeros(0, np.uint64)
-    rows = counts.filter((F.col("key") != 0) & (F.col("n") > max(50, p.hot_share * all_.n))).orderBy(F.desc("n"), "key").limit(p.hot_limit).collect()
+    rows = counts.filter(F.col("n") * every >= p.windows // 4).orderBy(F.desc("n"), "key").limit(p.hot_limit).collect()
     return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
 
 
@@ -275,9 +315,11 @@ def removal_ranges(docs: DataFrame, p: Params = Params()) -> DataFrame:
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // p.bucket_bytes))
+    parts = min(buckets, p.partitions)
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    dealt = source.mapInArrow(_deal(p, buckets, hot_minimisers(docs, p)), "bucket int, strings binary, ranges binary")
-    found = dealt.groupBy("bucket").applyInArrow(_count(p), "id long, text_hash long, ranges binary")
+    dealt = source.mapInArrow(_deal(p, buckets, hot_minimisers(docs, p)), "bucket int, strings binary, ranges binary, n long")
+    placed = dealt.repartitionById(parts, (F.col("bucket") % parts).cast("int")).sortWithinPartitions("bucket")
+    found = placed.mapInArrow(_count(p), "id long, text_hash long, ranges binary")
     return found.groupBy("id", "text_hash").agg(F.collect_list("ranges").alias("ranges"))
 
 

@@ -266,18 +266,21 @@ def test_op4(spark, sf_dir, documents):
     assert any(not r[3] for r in want)
 
 
-def test_op4_across_parts(spark):
-    """A dense group of near copies, cut into parts of four: links across parts are found, chains included."""
-    rng = random.Random(2)
+@pytest.mark.parametrize(("count", "least", "most"), [(40, 0, 5), (150, 0, 9), (60, 4, 9)])
+def test_op4_across_parts(spark, count, least, most):
+    """Groups of near copies, dense or barely linked, cut into parts of four: links across parts are found, chains included."""
+    rng = random.Random(count + least)
     base = [f"w{i}" for i in range(60)]
     docs = []
-    for d in range(40):
+    for d in range(count):
         w = base.copy()
-        for _ in range(rng.randint(0, 5)):
-            w[rng.randrange(60)] = f"x{d}_{rng.random()}"
+        for _ in range(rng.randint(least, most)):
+            w[rng.randrange(60)] = f"x{rng.randrange(30)}"
         docs.append((d, " ".join(w)))
-    got = near_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string"), near_dedup.Similar(shingle=3, percent=85, part=4))
-    assert sorted(map(tuple, got.collect())) == near_components(docs, 3, 85)
+    want = near_components(docs, 3, 85)
+    for s in (near_dedup.Similar(shingle=3, percent=85, part=4), near_dedup.Similar(shingle=3, percent=85, part_bytes=1500)):
+        got = near_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string"), s)
+        assert sorted(map(tuple, got.collect())) == want
 
 
 def test_op4_odd(odd, odd_rows, empty):
@@ -361,10 +364,12 @@ def test_op6(spark, sf_dir, documents):
     assert got == want and sum(g for _, g, _ in want.values())
 
 
-def test_op6_hot_minimisers_change_nothing(spark, sf_dir):
+def test_op6_hot_minimisers_and_passes_change_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    all_hot = substring_dedup.Params(hot_share=0.0, sample_docs=50)
-    assert sorted(map(tuple, substring_dedup.substring_dedup(docs, all_hot).collect())) == sorted(map(tuple, substring_dedup.substring_dedup(docs).collect()))
+    want = sorted(map(tuple, substring_dedup.substring_dedup(docs).collect()))
+    for p in (substring_dedup.Params(windows=100), substring_dedup.Params(windows=5000, partitions=2), substring_dedup.Params(windows=3000, sample_docs=20, sample_every=4)):
+        assert sorted(map(tuple, substring_dedup.substring_dedup(docs, p).collect())) == want
+    assert len(substring_dedup.hot_minimisers(docs, substring_dedup.Params(windows=100)))
 
 
 def test_op6_odd(odd, odd_rows, empty):
