@@ -12,9 +12,10 @@
    exactly from an inverted index over the full sets, and only a spanning forest of the links leaves it.
 4. A group of several parts is cut a second time, otherwise: as a dense group's parts mix, its links meet. Then
    only pairs that share a band key and are not connected yet are open. Sets that cannot link to any other (too
-   many shingles that nobody else in the group has) rest, keys whose sets are all connected are done, and under
-   each remaining key the sets outside its largest connected class meet all others in blocks, again exactly. No
-   pair is emitted that isn't a link, and none is lost.
+   many shingles that nobody else in the group has) rest, and keys whose sets are all connected are done. The
+   sets under a remaining key meet; where they are more than a part, the sets outside the largest connected class
+   of all such keys that hang together meet the others in blocks. No pair is emitted that isn't a link, and none
+   is lost.
 5. Links' components give each document the smallest identifier that it can reach.
 
 Disk and shuffle: sketches' keys twice, texts once (only those of candidate groups go on as sets).
@@ -274,22 +275,33 @@ def _under_keys(large: DataFrame, reps: DataFrame, edges: DataFrame, s: Similar)
     classed = open_.join(linked, "rep", "left").select("rep", "bytes", F.coalesce("class", "rep").alias("class"))
     keyed = stored(reps.select("rep", F.explode("bands").alias("key")).join(classed, "rep"), "open-keys")
     # By key and class first: a class of any size is one row when a key is judged.
-    of_class = keyed.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    judged = of_class.groupBy("key").agg(F.max(F.struct("n", "class", "bytes")).alias("m"), F.count("*").alias("classes"), F.sum("n").alias("all"), F.sum("bytes").alias("all_bytes")).filter("classes > 1")
-    half, half_bytes = s.part / 2, s.part_bytes / 2
+    of_class = keyed.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("rep").alias("hub"))
+    judged = of_class.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("bytes").alias("all"), F.min("hub").alias("hub")).filter("classes > 1")
+    small = (F.col("n") <= s.part) & (F.col("all") <= s.part_bytes)
+    open_keys = stored(keyed.join(judged.select("key", "hub", small.alias("small")), "key"), "judged-keys")
+    sets = large.select("rep", "shingles")
+    tasks = max(int(large.sparkSession.conf.get("spark.sql.shuffle.partitions")), open_keys.filter("small").count() // s.part)
+    found = open_keys.filter("small").select("rep", F.col("key").alias("place")).join(sets, "rep").withColumn("task", F.pmod(F.xxhash64("place"), F.lit(tasks))).groupBy("task").applyInArrow(_verify(s.percent), "a long, b long")
+    crowded = open_keys.filter("not small")
+    if not crowded.take(1):
+        return found
+    clusters = components(crowded.select(F.col("rep").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    members = stored(crowded.select("rep", "class", "bytes").distinct().join(clusters, "rep"), "crowded")
+    by_class = members.groupBy("cluster", "class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    whole = by_class.groupBy("cluster").agg(F.max(F.struct("n", "class", "bytes")).alias("m"), F.sum("n").alias("all"), F.sum("bytes").alias("all_bytes"))
 
     def parts(n, size):
-        return F.greatest(F.ceil(n / half), F.ceil(size / half_bytes)).cast("int")
+        return F.greatest(F.ceil(n / (s.part / 2)), F.ceil(size / (s.part_bytes / 2))).cast("long")
 
-    judged = judged.select("key", F.col("m.class").alias("main"), parts(F.col("all") - F.col("m.n"), F.col("all_bytes") - F.col("m.bytes")).alias("blocks"), parts(F.col("all"), F.col("all_bytes")).alias("pieces"))
-    sided = keyed.join(judged, "key").select("key", "rep", "blocks", "pieces", (F.col("class") != F.col("main")).alias("minor"))
+    whole = whole.select("cluster", F.col("m.class").alias("main"), parts(F.col("all") - F.col("m.n"), F.col("all_bytes") - F.col("m.bytes")).alias("blocks"), parts(F.col("all"), F.col("all_bytes")).alias("pieces"))
+    sided = members.join(whole, "cluster").select("cluster", "rep", "blocks", "pieces", (F.col("class") != F.col("main")).alias("minor"))
     # Every block of minors meets every part of all; a minor is on either side, so minors meet one another too.
-    first = sided.filter("minor").select("key", "rep", F.lit(True).alias("minor"), F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces").cast("long") - 1)).alias("piece"))
-    second = sided.select("key", "rep", F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("pieces")).alias("piece"))
-    # One column for a cell: grouping by all three would be content with rows dealt by key alone.
-    cells = first.unionByName(second).select("rep", "minor", F.xxhash64("key", "block", "piece").alias("cell"))
-    met = cells.join(large.select("rep", "shingles"), "rep").groupBy("cell").applyInArrow(_cross(s.percent), "a long, b long")
-    return met.filter("a <> b")
+    first = sided.filter("minor").select("cluster", "rep", F.lit(True).alias("minor"), F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+    second = sided.select("cluster", "rep", F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("pieces")).alias("piece"))
+    # One column for a cell: grouping by all three would be content with rows dealt by cluster alone.
+    cells = first.unionByName(second).select("rep", "minor", F.xxhash64("cluster", "block", "piece").alias("cell"))
+    met = cells.join(sets, "rep").groupBy("cell").applyInArrow(_cross(s.percent), "a long, b long")
+    return found.unionByName(met.filter("a <> b"))
 
 
 def near_dedup(docs: DataFrame, s: Similar = Similar()) -> DataFrame:

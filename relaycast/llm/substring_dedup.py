@@ -5,7 +5,7 @@ Super-k-mer partitioning. A window of ``window`` words has a minimiser, the leas
 (their words, one space between), to the bucket that the minimiser names; there the windows are hashed,
 sorted and counted, and every window but the first (by document, then place) becomes a removal range.
 
-* Pre-aggregation: within a chunk (8 MB of a task's texts) equal packed strings are sent once, for their
+* Pre-aggregation: within a chunk (4 MB of a task's texts) equal packed strings are sent once, for their
   first occurrence; all others there are known to be repeats at once and only their ranges travel.
 * Hot minimisers: a sample of documents, whose size follows the input, names minimisers that would fill a good
   part of a bucket by themselves; their windows travel one by one, dealt by the window's own hash. This decides
@@ -40,7 +40,7 @@ NO_ID = -(1 << 63)
 class Params:
     window: int = 20
     minimiser: int = 3
-    chunk_bytes: int = 8 << 20  # of a task's texts, deduplicated and packed together
+    chunk_bytes: int = 4 << 20  # of a task's texts, deduplicated and packed together
     bucket_bytes: int = 8 << 20  # of text
     partitions: int = 20_000  # of the shuffle at most; each then holds several buckets, counted one after the other
     sample_docs: int = 20_000  # at least, and one in ``sample_every`` of all

@@ -266,8 +266,8 @@ def test_op4(spark, sf_dir, documents):
     assert any(not r[3] for r in want)
 
 
-@pytest.mark.parametrize(("count", "least", "most"), [(40, 0, 5), (150, 0, 9), (60, 4, 9)])
-def test_op4_across_parts(spark, count, least, most):
+@pytest.mark.parametrize(("count", "least", "most", "limit"), [(150, 0, 9, {"part": 4}), (60, 4, 9, {"part_bytes": 1500})])
+def test_op4_across_parts(spark, count, least, most, limit):
     """Groups of near copies, dense or barely linked, cut into parts of four: links across parts are found, chains included."""
     rng = random.Random(count + least)
     base = [f"w{i}" for i in range(60)]
@@ -278,9 +278,8 @@ def test_op4_across_parts(spark, count, least, most):
             w[rng.randrange(60)] = f"x{rng.randrange(30)}"
         docs.append((d, " ".join(w)))
     want = near_components(docs, 3, 85)
-    for s in (near_dedup.Similar(shingle=3, percent=85, part=4), near_dedup.Similar(shingle=3, percent=85, part_bytes=1500)):
-        got = near_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string"), s)
-        assert sorted(map(tuple, got.collect())) == want
+    got = near_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string"), near_dedup.Similar(shingle=3, percent=85, **limit))
+    assert sorted(map(tuple, got.collect())) == want
 
 
 def test_op4_odd(odd, odd_rows, empty):
