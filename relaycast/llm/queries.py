@@ -111,4 +111,77 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_chat_format": OP7_SQL}
+#: Words as every operator takes them; window and shingle keys are words joined by one space.
+_SPACED = r"regexp_extract_all(%s, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, unnest(list_transform(range(1, greatest(len(w) - 11, 2)), lambda i: array_to_string(w[i:i + 12], ' '))) AS phrase FROM items WHERE len(w) > 0
+),
+sizes AS (SELECT DISTINCT n FROM phrases),
+places AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS own FROM docs, sizes WHERE len(w) >= n
+),
+hits AS (SELECT doc_id, i, places.n, item_id FROM places JOIN phrases ON phrase = own AND phrases.n = places.n),
+words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN words ON words.doc_id = docs.doc_id LEFT JOIN found ON found.doc_id = docs.doc_id
+"""
+
+OP4_SQL = rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, {_SPACED % _LOWER} AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM docs WHERE len(w) > 0
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, b AS other FROM edges UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.other),
+least_ AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT docs.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(docs.doc_id, coalesce(other, docs.doc_id)) AS component_id,
+  docs.doc_id <= coalesce(other, docs.doc_id) AS kept
+FROM docs LEFT JOIN sizes ON sizes.doc_id = docs.doc_id LEFT JOIN least_ ON least_.doc_id = docs.doc_id
+"""
+
+OP6_SQL = rf"""
+WITH docs AS (SELECT doc_id, {_SPACED % "coalesce(text, '')"} AS w FROM documents),
+starts AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word,
+    unnest(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i + 19 <= len(w) THEN array_to_string(w[i:i + 19], ' ') END)) AS key FROM docs
+), seen AS (
+  SELECT doc_id, i, word, key IS NOT NULL AND row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1 AS again FROM starts
+), marked AS (
+  SELECT doc_id, i, word, max(CAST(again AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM seen
+), kept AS (
+  SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS left_ FROM marked GROUP BY doc_id
+)
+SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_, '')) AS kept_sha256
+FROM docs LEFT JOIN kept ON kept.doc_id = docs.doc_id
+"""
+
+OP10_SQL = rf"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS line FROM docs WHERE text IS NOT NULL),
+inked AS (
+  SELECT doc_id, n, line, lead(n) OVER o AS next_n, lead(line) OVER o AS next_line FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') WINDOW o AS (PARTITION BY doc_id ORDER BY n)
+), pairs AS (
+  SELECT doc_id, n, next_n, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, n) AS k FROM inked WHERE next_n IS NOT NULL
+), alone AS (
+  SELECT doc_id, n, n AS next_n, row_number() OVER (PARTITION BY line ORDER BY doc_id, n) AS k FROM inked WHERE len({_SPACED % "line"}) >= 20
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(n, next_n + 1)) AS n FROM (SELECT * FROM pairs UNION ALL SELECT * FROM alone) WHERE k > 1
+), kept AS (
+  SELECT lines.doc_id, count(gone.n) AS n_removed, string_agg(line, chr(10) ORDER BY lines.n) FILTER (WHERE gone.n IS NULL) AS left_
+  FROM lines LEFT JOIN gone ON gone.doc_id = lines.doc_id AND gone.n = lines.n GROUP BY lines.doc_id
+)
+SELECT docs.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(left_, '')) AS kept_sha256
+FROM docs LEFT JOIN kept ON kept.doc_id = docs.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_near_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op10_line_dedup": OP10_SQL}

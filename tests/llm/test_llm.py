@@ -504,47 +504,19 @@ def test_speculation_equals_merging():
     assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)] == [own.id_of[own.merge(x)].tolist() for x in strings]
 
 
-def line_runs(docs, gram=2, window=3):
-    """Simple loops: first places of grams and of runs around fingerprints, then equal runs along diagonals."""
-    seqs = {}
-    for d, t in docs:
+def line_runs(docs, alone=20):
+    """Lines of each text, the numbers of those with a word, and what goes: pairs of them and long ones that stand earlier."""
+    seen, gone, seqs = set(), defaultdict(set), {}
+    for d, t in sorted(docs, key=lambda x: x[0]):
         raw = (t or "").split("\n")
         at = [i for i, x in enumerate(raw) if SPACED.search(x)]
-        seqs[d] = (raw, at, [raw[i] for i in at])
-    need, span = defaultdict(set), gram + window - 1
-    first = {}
-    for d in sorted(seqs):
-        s, gone = seqs[d][2], set()
-        for i in range(len(s) - span + 1):
-            if tuple(s[i : i + span]) in first:
-                gone |= set(range(i, i + span))
-            else:
-                first[tuple(s[i : i + span])] = d
-        need[d] = {seqs[d][1][i] for i in gone}
-    pairs, may = {}, defaultdict(set)
-    for d in sorted(seqs):
-        s = seqs[d][2]
-        for i in range(len(s) - gram + 1):
-            if tuple(s[i : i + gram]) in pairs:
-                may[d] |= set(range(seqs[d][1][i], seqs[d][1][i + gram - 1] + 1))
-            else:
-                pairs[tuple(s[i : i + gram])] = d
-    return seqs, need, may
-
-
-def test_op10(spark, sf_dir, documents):
-    """All runs of four lines that stand earlier go; nothing goes that is not in an earlier run of two."""
-    seqs, need, may = line_runs(documents)
-    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
-    assert set(got) == set(seqs) and any(need.values())
-    for d, (raw, _, _) in seqs.items():
-        n = got[d].n_removed
-        assert len(need[d]) <= n <= len(may[d]) and got[d].n_lines == len(raw)
-        left = [x for i, x in enumerate(raw) if i not in need[d]]
-        if n == len(need[d]) == 0:
-            assert got[d].kept_text == "\n".join(raw)
-        elif n == len(need[d]):
-            assert got[d].kept_text == "\n".join(left)
+        seqs[d] = (raw, at)
+        runs = [((raw[i], raw[j]), i, j) for i, j in zip(at, at[1:])] + [((raw[i],), i, i) for i in at if len(SPACED.findall(raw[i])) >= alone]
+        for run, i, j in runs:
+            if run in seen:
+                gone[d] |= set(range(i, j + 1))
+            seen.add(run)
+    return seqs, gone
 
 
 def test_op10_exact_case(spark):
@@ -553,14 +525,31 @@ def test_op10_exact_case(spark):
     assert got == [(1, 0, rows[0][1]), (2, 4, "x\ny"), (3, 5, ""), (4, 0, "q\nc c\nz"), (5, 4, "m\nn\no\np\n")]
 
 
-def test_op10_every_run_of_two(spark, sf_dir, documents):
-    """All lines in runs of two or more that stand earlier go, and no others."""
-    seqs, _, may = line_runs(documents)
+def test_op10(spark, sf_dir, documents):
+    """All of what stands earlier goes, and no other line."""
+    seqs, gone = line_runs(documents)
     got = {r.doc_id: r for r in line_dedup.line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
-    assert any(may.values())
-    for d, (raw, _, _) in seqs.items():
-        assert got[d].n_removed == len(may[d])
-        assert got[d].kept_text == "\n".join(x for i, x in enumerate(raw) if i not in may[d])
+    assert set(got) == set(seqs) and any(gone.values())
+    for d, (raw, _) in seqs.items():
+        assert (got[d].n_lines, got[d].n_removed) == (len(raw), len(gone[d]))
+        assert got[d].kept_text == "\n".join(x for i, x in enumerate(raw) if i not in gone[d])
+
+
+def test_op10_random_lines(spark):
+    """Few different lines, so that windows, ties and overlaps of all kinds occur; blank and long lines between."""
+    rng = random.Random(6)
+    pool = ["a", "b b", "c", "d d d", "", "  ", "long " * 20 + "x", "long " * 19 + "y", "long " * 25]
+    docs = [(d, "\n".join(rng.choices(pool + [f"own {d} {i}" for i in range(6)], k=rng.randint(0, 12)))) for d in range(120)]
+    _, gone = line_runs(docs)
+    got = {r.doc_id: r.kept_text for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in docs}
+
+
+def test_op10_one_line_repeated(spark):
+    docs = [(1, "\n".join(["same"] * 100_000)), (2, "\n".join(["x y", "z"] * 40_000))]
+    got = {r.doc_id: r.kept_text for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    _, gone = line_runs(docs)
+    assert got == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in docs}
 
 
 def test_op10_short_runs(spark):
@@ -593,6 +582,16 @@ def test_op10_is_native(spark, sf_dir):
         assert not re.search("Python|Pandas|Arrow", plan)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 def test_word_hashes_know_words(documents):
     import pyarrow as pa
 

@@ -41,14 +41,15 @@ def test_quality(spark, sf_dir, steps):
 
 def test_lines(steps):
     before, after = rows(steps[1]), rows(steps[2])
-    seqs, need, may = line_runs([(d, r.text) for d, r in before.items()])
+    seqs, gone = line_runs([(d, r.text) for d, r in before.items()])
     for d, r in before.items():
         if d not in after:
-            assert may[d] >= set(seqs[d][1])
-        elif not may[d]:
+            assert gone[d] >= set(seqs[d][1])
+        elif not gone[d]:
             assert after[d] == r
         else:
-            assert SPACED.search(after[d].text) and len(after[d].text) <= len(r.text) and after[d].n_chars == len(after[d].text)
+            assert after[d].text == "\n".join(x for i, x in enumerate(seqs[d][0]) if i not in gone[d])
+            assert SPACED.search(after[d].text) and after[d].n_chars == len(after[d].text)
 
 
 def test_near(steps):
