@@ -1,12 +1,13 @@
 """Benchmark decontamination with an FM-index per shard of training documents.
 
 A shard is a chunk of a task's documents (4 MB of text, so memory does not grow with the input). Its words
-become symbols of the benchmark's vocabulary; words outside it separate runs, and runs shorter than the
-shortest phrase hold no occurrence. The shard's FM-index answers all phrases backwards at once, positions
-come from sampled suffixes, and overlapping occurrences merge into removal spans.
+become symbols; words that no item has separate runs, and runs shorter than the shortest phrase hold no
+occurrence, so the index leaves both out. It is built once, and answers all phrases backwards, a block of the
+benchmark at a time; positions come from sampled suffixes, and overlapping occurrences merge into removal spans.
 
-The benchmark is a query set: it is taken in blocks of at most ``block_bytes`` of text (one item may be
-larger), one Arrow pass a block in the same stage, with no shuffle. All documents meet all phrases.
+The benchmark is a query set that reaches workers in broadcast blocks of at most ``block_bytes`` of text (one
+item may be larger): the driver holds one block while it makes it, a worker one block while it searches, and
+besides them the distinct words' hashes (8 bytes each). One Arrow pass, no shuffle; all documents meet all phrases.
 
 Defined cases: null or empty texts have no words, no spans and are clean; an item without words matches
 nothing; an item with fewer words than a window is one window; items with equal windows are all reported; one
@@ -32,71 +33,83 @@ from .fm_index import FMIndex
 class Contamination:
     window: int = 13
     percent: int = 5  # of a document's words, at least, for it to be contaminated
-    block_bytes: int = 4 << 20
+    block_bytes: int = 1 << 20
     sample: int = 8  # every so many suffix positions are stored
 
 
 class Phrases:
-    """A block of the benchmark: vocabulary, windows by length, and whose they are."""
+    """A block of the benchmark: its words' hashes, its windows by length (as rows of hashes), and whose they are."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int):
         text = X.text_bytes(pa.array([t for _, t in items], pa.string()))
         words = X.find_words(text, X.ALNUM, lower=True)
         h = X.hash_words(words)
         self.vocabulary = np.unique(h)
-        symbol = np.searchsorted(self.vocabulary, h) + 1
         owners: dict[tuple[int, ...], set[str]] = {}
         for k, (item, _) in enumerate(items):
-            own = tuple(symbol[words.offs[k] : words.offs[k + 1]].tolist())
+            own = tuple(h[words.offs[k] : words.offs[k + 1]].tolist())
             for i in range(max(1, len(own) - window + 1) if own else 0):
                 owners.setdefault(own[i : i + window], set()).update(() if item is None else (str(item),))
         self.by_length = {}
         for n in sorted({len(p) for p in owners}):
-            same = sorted(p for p in owners if len(p) == n)
-            self.by_length[n] = (np.array(same, np.int64), [sorted(owners[p]) for p in same])
-        self.shortest = min(self.by_length, default=0)
-        self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
-
-    def symbols(self, h: np.ndarray) -> np.ndarray:
-        """Symbols of hashed words, 0 for words outside the vocabulary."""
-        out = np.zeros(len(h), np.int64)
-        if len(self.vocabulary):
-            some = np.flatnonzero(self.maybe[(h >> np.uint64(48)).astype(np.int64)])
+            same = [p for p in owners if len(p) == n]
+            self.by_length[n] = (np.array(same, np.uint64), [sorted(owners[p]) for p in same])
+
+
+class Words:
+    """Which words any item has."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary, self.maybe = vocabulary, np.zeros(1 << 16, bool)
+        self.maybe[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
+
+    def known(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), bool)
+        some = np.flatnonzero(self.maybe[(h >> np.uint64(48)).astype(np.int64)])
+        if len(some):
             at = np.minimum(np.searchsorted(self.vocabulary, h[some]), len(self.vocabulary) - 1)
-            out[some] = np.where(self.vocabulary[at] == h[some], at + 1, 0)
+            out[some] = self.vocabulary[at] == h[some]
         return out
 
-    def occurrences(self, h: np.ndarray, words: X.Words, sample: int):
-        """Yields, by phrase length: the first words of all occurrences, the phrases' numbers, whose they are."""
-        if not self.by_length:
-            return
-        sym = self.symbols(h)
-        known = sym > 0
+
+class Shard:
+    """A chunk's words and the FM-index of their runs."""
+
+    def __init__(self, h: np.ndarray, offs: np.ndarray, known: np.ndarray, shortest: int, sample: int):
         begins, ends = known.copy(), known.copy()
         begins[1:] &= ~known[:-1]
         ends[:-1] &= ~known[1:]
-        cut = words.offs[:-1]
-        cut = cut[(cut > 0) & (cut < len(sym))]
+        cut = offs[:-1]
+        cut = cut[(cut > 0) & (cut < len(h))]
         begins[cut] = known[cut]
         ends[cut - 1] = known[cut - 1]
         b, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        long = e - b >= self.shortest
+        long = e - b >= shortest
         b, size = b[long], (e - b)[long] + 1  # a separator after each run
-        if not len(b):
+        self.index = None
+        if len(b):
+            self.place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(b, size)
+            stop = np.zeros(len(self.place), bool)
+            stop[np.cumsum(size) - 1] = True
+            self.vocabulary, sym = np.unique(h[self.place[~stop]], return_inverse=True)
+            text = np.zeros(len(self.place), np.int64)
+            text[~stop] = sym + 1
+            self.index = FMIndex(text, len(self.vocabulary), sample)
+
+    def occurrences(self, phrases: Phrases):
+        """Yields, by phrase length: the first words of all occurrences, the phrases' numbers, whose they are."""
+        if self.index is None:
             return
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(b, size)
-        stop = np.zeros(len(place), bool)
-        stop[np.cumsum(size) - 1] = True
-        index = FMIndex(np.where(stop, 0, sym[np.minimum(place, len(sym) - 1)]), len(self.vocabulary), sample)
-        for n, (patterns, owners) in self.by_length.items():
-            lo, hi = index.search(patterns)
+        for n, (patterns, owners) in phrases.by_length.items():
+            at = np.minimum(np.searchsorted(self.vocabulary, patterns), len(self.vocabulary) - 1)
+            here = np.flatnonzero((self.vocabulary[at] == patterns).all(1))  # others have a word that the shard lacks
+            lo, hi = self.index.search(at[here] + 1)
             many = hi - lo
             hit = np.flatnonzero(many > 0)
             if len(hit):
                 many = many[hit]
                 rows = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo[hit], many)
-                yield n, place[index.locate(rows)], np.repeat(hit, many), owners
+                yield n, self.place[self.index.locate(rows)], np.repeat(here[hit], many), owners
 
 
 def blocks(benchmark: DataFrame, rules: Contamination):
@@ -113,64 +126,54 @@ SPANS = "spans array<struct<first_word: bigint, n_words: bigint, start_byte: big
 _SPAN = pa.struct([(k, pa.int64()) for k in ("first_word", "n_words", "start_byte", "end_byte")])
 
 
-def _pass(phrases: Phrases, rules: Contamination, more: bool):
-    def make():
-        def find(part):
-            text = X.text_bytes(part.column("text"))
-            words = X.find_words(text, X.ALNUM, lower=True)
-            n, total = len(words.offs) - 1, len(words.starts)
-            hit, items = np.zeros(total + 1, np.int32), [set() for _ in range(n)]
-            if more:
-                spans = part.column("spans")
-                flat, of = spans.flatten(), np.repeat(np.arange(n), np.asarray(spans.value_lengths().fill_null(0)))
-                first = np.asarray(flat.field("first_word")) + words.offs[of]
-                np.add.at(hit, first, 1)
-                np.add.at(hit, first + np.asarray(flat.field("n_words")), -1)
-                items = [set(x or ()) for x in part.column("items").to_pylist()]
-            if total:
-                for size, first, which, owners in phrases.occurrences(X.hash_words(words), words, rules.sample):
-                    np.add.at(hit, first, 1)
-                    np.add.at(hit, first + size, -1)
-                    doc = np.searchsorted(words.offs, first, "right") - 1
-                    for pair in np.unique(doc * len(owners) + which).tolist():
-                        items[pair // len(owners)].update(owners[pair % len(owners)])
-            inside = np.cumsum(hit[:-1]) > 0
-            begins, ends = inside.copy(), inside.copy()
-            begins[1:] &= ~inside[:-1]
-            ends[:-1] &= ~inside[1:]
-            cut = words.offs[:-1]
-            cut = cut[(cut > 0) & (cut < total)]
-            begins[cut] = inside[cut]
-            ends[cut - 1] = inside[cut - 1]
-            b, e = np.flatnonzero(begins), np.flatnonzero(ends)
-            doc = np.searchsorted(words.offs, b, "right") - 1
-            values = [b - words.offs[doc], e + 1 - b, words.starts[b] - text.offs[doc], words.ends[e] - text.offs[doc]] if len(b) else [np.zeros(0, np.int64)] * 4
-            offs = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))]).astype(np.int32))
-            return [
-                pa.array(words.counts.astype(np.int64)),
-                pa.ListArray.from_arrays(offs, pa.StructArray.from_arrays([pa.array(v.astype(np.int64)) for v in values], fields=list(_SPAN))),
-                pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-            ]
-
-        return find
-
-    return make
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rules: Contamination = Contamination(), row: bool = False) -> DataFrame:
     """doc_id, n_words, removal spans (word and byte ranges), items with an occurrence, n_hit, contaminated.
 
     With ``row`` all columns of ``docs`` come along in a struct of that name.
     """
-    out, found = f"n_words long, {SPANS}, items array<string>", None
-    parts = list(blocks(benchmark, rules))
-    for items in parts:
+    sent, vocabulary, shortest = [], np.zeros(0, np.uint64), 0
+    for items in blocks(benchmark, rules):
         phrases = Phrases(items, rules.window)
-        if found is None:
-            found = X.map_texts(docs, _pass(phrases, rules, False), out, row=row or len(parts) > 1)
-        else:
-            so_far = found.select("doc_id", F.col("row.text").alias("text"), "spans", "items", "row")
-            found = X.map_texts(so_far, _pass(phrases, rules, True), out, ("text", "spans", "items"), row=True).withColumn("row", F.col("row.row"))
-    found = found if row else found.drop("row")
+        if phrases.by_length:
+            vocabulary, shortest = np.union1d(vocabulary, phrases.vocabulary), min([*phrases.by_length, *([shortest] if shortest else [])])
+            sent.append(docs.sparkSession.sparkContext.broadcast(phrases))
+    all_words = docs.sparkSession.sparkContext.broadcast(Words(vocabulary))
+
+    def find(part):
+        text = X.text_bytes(part.column("text"))
+        words = X.find_words(text, X.ALNUM, lower=True)
+        n, total = len(words.offs) - 1, len(words.starts)
+        hit, items = np.zeros(total + 1, np.int32), [set() for _ in range(n)]
+        if total and sent:
+            h = X.hash_words(words)
+            shard = Shard(h, words.offs, all_words.value.known(h), shortest, rules.sample)
+            for block in sent if shard.index else ():
+                for size, first, which, owners in shard.occurrences(block.value):
+                    np.add.at(hit, first, 1)
+                    np.add.at(hit, first + size, -1)
+                    doc = np.searchsorted(words.offs, first, "right") - 1
+                    for pair in np.unique(doc * len(owners) + which).tolist():
+                        items[pair // len(owners)].update(owners[pair % len(owners)])
+                if len(sent) > 1:
+                    vars(block).pop("_value", None)  # a worker holds one block
+        inside = np.cumsum(hit[:-1]) > 0
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        ends[:-1] &= ~inside[1:]
+        cut = words.offs[:-1]
+        cut = cut[(cut > 0) & (cut < total)]
+        begins[cut] = inside[cut]
+        ends[cut - 1] = inside[cut - 1]
+        b, e = np.flatnonzero(begins), np.flatnonzero(ends)
+        doc = np.searchsorted(words.offs, b, "right") - 1
+        values = [b - words.offs[doc], e + 1 - b, words.starts[b] - text.offs[doc], words.ends[e] - text.offs[doc]] if len(b) else [np.zeros(0, np.int64)] * 4
+        offs = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))]).astype(np.int32))
+        return [
+            pa.array(words.counts.astype(np.int64)),
+            pa.ListArray.from_arrays(offs, pa.StructArray.from_arrays([pa.array(v.astype(np.int64)) for v in values], fields=list(_SPAN))),
+            pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+        ]
+
+    found = X.map_texts(docs, lambda: find, f"n_words long, {SPANS}, items array<string>", row=row)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.n_words)
     return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * rules.percent))

@@ -2,7 +2,7 @@
 
 score = sigmoid(w0 + <w, x> + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)), which is linear in the
 number of words. x holds each text's hashed-word frequencies (2^``bits`` buckets), structure statistics and
-the length metadata that follow from the text itself; labels, lang, source and doc_id are never inputs.
+metadata that follow from the text itself (its number of words, their mean length, words a line); labels, lang, source and doc_id are never inputs.
 
 Training: labelled rows whose crc32(doc_id as text) mod 4 is not 2, at most ``train_rows`` of them, chosen
 by the smallest hash of their identifier; Adam on the driver with numpy, a fixed seed. Scoring: one Arrow
@@ -10,7 +10,8 @@ pass over whole texts, no shuffle; the model is 2^bits x (factors + 1) numbers i
 
 Defined cases: null and empty texts score like a text without words; labels that are null, or conflict
 for one document, count by their mean; without labelled rows every score is ``prior``; a document labelled
-twice is trained on once; repeated rows are scored one by one; other columns are ignored.
+twice is trained on once; of several texts under one identifier the one with the smallest hash is trained on; a
+null identifier is not held out and has no label; repeated rows are scored one by one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ class Params:
 
 
 def held_out():
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
 def word_weights(words: X.Words, h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Machine |
     """A machine fitted on the bounded sample of labelled rows, or None without any."""
     known = labels.filter("quality is not null").filter(~held_out()).groupBy("doc_id").agg(F.avg("quality").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # broadcast: at most train_rows rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # broadcast: at most train_rows rows
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("tie"), "text")).alias("m")).select("doc_id", "label", F.col("m.text").alias("text"))
 
     def make():
         def run(part):

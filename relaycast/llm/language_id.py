@@ -14,7 +14,7 @@ once for each distinct word of a chunk.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without training rows every
 other text is ``und`` too, with score 0; with one learned language all are that language; equal losses go
-to the first language by name; repeated rows are judged one by one; other columns are ignored.
+to the first language by name; a null identifier is not held out; repeated rows are judged one by one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +34,7 @@ from . import _text as X
 @dataclass(frozen=True)
 class Params:
     bits: int = 13  # of hashed n-grams
-    train_rows: int = 4000  # bound of the training sample
-    max_langs: int = 512
+    train_rows: int = 4000  # bound of the training sample; one row for each language where these are more
     epochs: int = 25
     rate: float = 0.05
     decay: float = 1e-5
@@ -45,7 +44,7 @@ class Params:
 
 
 def held_out():
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
 def codes(k: int, seed: int) -> np.ndarray:
@@ -146,16 +145,16 @@ class Model:
 
 def train(docs: DataFrame, p: Params = Params()) -> Model | None:
     known = docs.filter("lang is not null and text is not null").filter(~held_out()).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.max_langs).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language: all are learnt
     if not counts:
         return None
     langs = sorted(r.lang for r in counts)
     each = max(1, p.train_rows // len(langs))
     # A range of hashes that holds about twice the rows wanted goes first, so that no language meets in one task.
-    some = known.filter(F.col("lang").isin(langs)).withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
-    shares = {r.lang: min(1.0, 2.0 * each / r.n + 100 / r.n) for r in counts}
-    limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(-(1 << 63) + v * ((1 << 64) - 1)) if v < 1 else (1 << 63) - 1)) for k, v in shares.items()])
-    some = some.filter(F.col("h") <= limit).select("doc_id", "h", "lang", F.xxhash64("text").alias("tie"), "text")
+    share = {r.lang: min(1.0, 2.0 * each / r.n + 100 / r.n) for r in counts}
+    limits = docs.sparkSession.createDataFrame([(k, int(-(1 << 63) + v * ((1 << 64) - 1)) if v < 1 else (1 << 63) - 1) for k, v in share.items()], "lang string, most long")
+    some = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).join(limits, "lang").filter("h <= most")
+    some = some.select("doc_id", "h", "lang", F.xxhash64("text").alias("tie"), "text")
 
     def counted(part):
         words = X.find_words(X.text_bytes(part.column("text")), X.ALNUM, lower=True)
@@ -171,7 +170,8 @@ def train(docs: DataFrame, p: Params = Params()) -> Model | None:
         gram, many = unpack(r.grams)
         if len(gram):
             x[i, gram] = many * (p.scale / many.sum())
-    y = code[[langs.index(r.lang) for r in rows]]
+    number = {k: i for i, k in enumerate(langs)}
+    y = code[[number[r.lang] for r in rows]]
     weight, bias, rng = np.zeros((dim, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32), np.random.default_rng(p.seed)
     speed, speed_bias = np.full_like(weight, 1e-8), np.full_like(bias, 1e-8)
     for _ in range(p.epochs):

@@ -6,13 +6,14 @@ rejected when its distance to *every* language's reference is above the limit an
 the histogram to mean something (minimum-length guards). Counts (words, symbols, repeated lines, repeated
 three-word windows) are exact over the whole text.
 
-Two scans, no shuffle of texts: the first yields a few hundred counts a batch, summed by Spark; the
-references (languages x ``top_words`` numbers, a size the parameters bound) travel in the task closure of
-the second.
+Two scans, no shuffle of texts: the first counts all words of all texts by language (combined within a task
+before they leave it) and the commonest make the references, so these do not depend on how rows lie; a few
+kB a language travel in the task closure of the second, which judges texts against them block by block.
 
 Defined cases: null or empty text has no words, fails the base rule (fewer than 50 words) and is not kept;
-a null ``lang`` gathers under ''; more than ``max_langs`` languages keep the commonest ones; with an empty
-table there are no references and no rows; repeated rows are judged one by one.
+a null ``lang`` gathers under ''; a language with fewer than ``guard_words`` words in the whole corpus has no
+reference; without any reference no text is rejected for its distance; an empty table gives no rows; repeated
+rows are judged one by one.
 """
 
 from __future__ import annotations
@@ -27,8 +28,14 @@ from pyspark.sql import functions as F
 
 from . import _text as X
 
-# The classes of bytes that are counted.
-CLASSES = ("lower", "upper", "digit", "space", "sentence", "symbol", "other", "beyond_ascii")
+# The classes of characters that are counted, those beyond ASCII by the first byte in UTF-8, which
+# tells the scripts apart.
+CLASSES = (
+    "lower", "upper", "digit", "space", "sentence", "symbol", "other", "latin", "greek", "cyrillic", "hebrew_armenian",
+    "arabic_syriac", "indic_thai", "georgian_to_khmer", "punctuation", "kana", "han", "hangul", "compatibility", "supplementary",
+)
+LEADS = ((0xC2, 7), (0xCD, 8), (0xD0, 9), (0xD4, 10), (0xD8, 11), (0xE0, 12), (0xE1, 13), (0xE2, 14), (0xE3, 15), (0xE4, 16), (0xEA, 17), (0xEE, 18), (0xF0, 19))
+N = len(CLASSES)
 SYMBOLS = b"#*$%&|<>"
 SENTENCE = b".,;:?!'\"()-"
 
@@ -48,7 +55,7 @@ def _byte_class(b: int) -> int:
         return 5
     if b < 0x80:
         return 6
-    return 7 if b >= 0xC0 else 8  # 8: continuation bytes, not counted
+    return max((c for lead, c in LEADS if b >= lead), default=N)  # N: continuation bytes, not counted
 
 
 CLASS_OF = np.array([_byte_class(b) for b in range(256)], dtype=np.int64)
@@ -61,8 +68,6 @@ class Rules:
     min_words: int = 50  # base rule
     repeat_percent: int = 50  # base rule
     top_words: int = 48  # common words of a language in its reference
-    local_share: int = 4096  # a batch reports words that hold 1/4096 of its words in a language
-    max_langs: int = 256
     guard_chars: int = 150  # shorter texts aren't judged by characters
     guard_words: int = 50  # shorter texts aren't judged by words
     char_distance: float = 0.30
@@ -71,55 +76,77 @@ class Rules:
 
 def class_counts(text: X.Bytes) -> np.ndarray:
     """Rows: texts; columns: CLASSES, then continuation bytes."""
-    out = np.zeros((len(text.offs) - 1, 9), np.int64)
-    for i in range(len(out)):
-        out[i] = np.bincount(CLASS_OF, np.bincount(text.data[text.offs[i] : text.offs[i + 1]], minlength=256), 9)
-    return out
+    n, k = len(text.offs) - 1, N + 1
+    place = CLASS_OF[text.data]
+    place += np.repeat(np.arange(n) * k, np.diff(text.offs))
+    return np.bincount(place, minlength=n * k).reshape(n, k)
+
+
+class _Counts:
+    """(language, item) counts of a task, combined now and then; ``drain`` yields them as a batch."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.names, self.parts, self.size = most, {}, [], 0
+
+    def add(self, lang: str, item: np.ndarray, n: np.ndarray) -> bool:
+        """True when the counts should be drained."""
+        code = self.names.setdefault(lang, len(self.names))
+        self.parts.append((np.full(len(item), code), item, n))
+        self.size += len(item)
+        if self.size > self.most:
+            self._combine()
+        return 2 * self.size > self.most
+
+    def _combine(self):
+        lang, item, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((item, lang))
+        lang, item, n = lang[order], item[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (item[1:] != item[:-1])]))
+        self.parts = [(lang[first], item[first], np.add.reduceat(n, first))]
+        self.size = len(first)
+
+    def drain(self):
+        if self.size:
+            self._combine()
+            lang, item, n = self.parts[0]
+            yield pa.RecordBatch.from_arrays([pa.array(list(self.names), pa.string()).take(pa.array(lang)), pa.array(item, pa.int64()), pa.array(n, pa.int64())], names=["lang", "item", "n"])
+        self.names, self.parts, self.size = {}, [], 0
 
 
 def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By language: class shares, hashes of its common words, their shares (last: all other words).
-
-    Class and word totals cover every text. A word's count misses at most 1/``local_share`` of the words of
-    the batches in which it is rarer than that; words that common corpus-wide cannot hide in all batches.
-    """
-    share = rules.local_share
+    """By language: class shares, hashes of its common words, their shares (last: all other words); exact counts."""
 
     def count(batches):
+        counts = _Counts()
         for batch in batches:
             for part in X.chunks(batch):
                 text = X.text_bytes(part.column("text"))
                 words = X.find_words(text, lower=True)
                 h, classes = X.hash_words(words), class_counts(text)
-                langs = np.array([x or "" for x in part.column("lang").to_pylist()], dtype=object)
-                doc, rows = words.docs(), []
-                for lang in np.unique(langs.astype(str)) if len(langs) else ():
-                    mine = langs == lang
-                    rows += [(lang, -1 - i, int(v)) for i, v in enumerate(classes[mine].sum(0)[:8])]
-                    own = h[mine[doc]]
-                    rows.append((lang, -100, len(own)))
-                    keys, many = np.unique(own, return_counts=True)
-                    big = many * share >= max(len(own), 1)
-                    rows += [(lang, int(k >> np.uint64(2)), int(m)) for k, m in zip(keys[big], many[big], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())],
-                    names=["lang", "item", "n"],
-                )
+                langs = part.column("lang").fill_null("").dictionary_encode()
+                code, full = np.asarray(langs.indices), False
+                of_word = np.repeat(code, words.counts)
+                for k, lang in enumerate(langs.dictionary.to_pylist()):
+                    keys, many = np.unique(h[of_word == k] >> np.uint64(2), return_counts=True)
+                    own = np.append(classes[code == k].sum(0)[:N], many.sum())
+                    full |= counts.add(lang, np.concatenate([np.append(-1 - np.arange(N), -100), keys.astype(np.int64)]), np.concatenate([own, many]).astype(np.int64))
+                if full:
+                    yield from counts.drain()
+        yield from counts.drain()
 
     counts = docs.select("text", "lang").mapInArrow(count, "lang string, item long, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("r", F.row_number().over(W.partitionBy("lang", F.col("item") < 0).orderBy(F.desc("n"), "item")))
     rows = ranked.filter((F.col("item") < 0) | (F.col("r") <= rules.top_words)).drop("r")
     by: dict[str, dict[int, int]] = {}
-    for r in rows.toLocalIterator():
+    for r in rows.toLocalIterator():  # some seventy rows a language
         by.setdefault(r.lang, {})[r.item] = r.n
     out = {}
-    for lang in sorted(by, key=lambda x: (-by[x].get(-100, 0), x))[: rules.max_langs]:
-        got = by[lang]
-        classes = np.array([got.get(-1 - i, 0) for i in range(8)], float)
-        keys = np.array(sorted(k for k in got if k >= 0), np.int64)
-        many = np.array([got[int(k)] for k in keys], float)
-        total = max(got.get(-100, 0), many.sum(), 1)
-        out[lang] = (classes / max(classes.sum(), 1), keys, np.append(many, total - many.sum()) / total)
+    for lang, got in sorted(by.items()):
+        if got.get(-100, 0) >= rules.guard_words:
+            classes = np.array([got.get(-1 - i, 0) for i in range(N)], float)
+            keys = np.array(sorted(k for k in got if k >= 0), np.int64)
+            many = np.array([got[int(k)] for k in keys], float)
+            out[lang] = (classes / max(classes.sum(), 1), keys, np.append(many, got[-100] - many.sum()) / got[-100])
     return out
 
 
@@ -134,22 +161,23 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((kl(p) + kl(np.broadcast_to(q, p.shape))) / 2, 0, 1))
 
 
-def distances(classes: np.ndarray, words: X.Words, lower_hash: np.ndarray, refs: dict) -> tuple[np.ndarray, np.ndarray]:
+def distances(classes: np.ndarray, words: X.Words, lower_hash: np.ndarray, refs: dict, at_once: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """The least distance of each text to any reference, by characters and by words (0 without references)."""
     n = len(classes)
-    shares = classes[:, :8] / np.maximum(classes[:, :8].sum(1, keepdims=True), 1)
+    shares = classes[:, :N] / np.maximum(classes[:, :N].sum(1, keepdims=True), 1)
     by_char, by_word = np.full(n, 1.0 if refs else 0.0), np.full(n, 1.0 if refs else 0.0)
-    known = np.unique(np.concatenate([np.zeros(0, np.int64), *(keys for _, keys, _ in refs.values())]))
-    key, many = (lower_hash >> np.uint64(2)).astype(np.int64), np.maximum(words.counts, 1)
-    at = np.searchsorted(known, key)
-    hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == key) if len(known) else np.zeros(0, np.int64)
-    place = words.docs()[hit] * len(known) + at[hit]
-    hist = np.bincount(place, minlength=n * len(known)).reshape(n, len(known)) / many[:, None]
-    for own, keys, ref in refs.values():
-        by_char = np.minimum(by_char, js_distance(shares, own))
-        mine = hist[:, np.searchsorted(known, keys)]
-        rest = np.where(words.counts > 0, 1 - mine.sum(1), 0)[:, None]
-        by_word = np.minimum(by_word, js_distance(np.hstack([mine, np.maximum(rest, 0)]), ref))
+    key, many, doc = (lower_hash >> np.uint64(2)).astype(np.int64), np.maximum(words.counts, 1), words.docs()
+    each = list(refs.values())
+    for block in (each[i : i + at_once] for i in range(0, len(each), at_once)):
+        known = np.unique(np.concatenate([keys for _, keys, _ in block]))
+        at = np.searchsorted(known, key)
+        hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == key)
+        hist = np.bincount(doc[hit] * len(known) + at[hit], minlength=n * len(known)).reshape(n, len(known)) / many[:, None]
+        for own, keys, ref in block:
+            by_char = np.minimum(by_char, js_distance(shares, own))
+            mine = hist[:, np.searchsorted(known, keys)]
+            rest = np.where(words.counts > 0, 1 - mine.sum(1), 0)[:, None]
+            by_word = np.minimum(by_word, js_distance(np.hstack([mine, np.maximum(rest, 0)]), ref))
     return by_char, by_word
 
 
@@ -197,7 +225,7 @@ def score(docs: DataFrame, refs: dict, rules: Rules = Rules(), row: bool = False
         lowered = X.find_words(text, lower=True)
         classes = class_counts(text)
         chars, spread = distances(classes, lowered, X.hash_words(lowered), refs)
-        n, code_points = words.counts, classes[:, :8].sum(1)
+        n, code_points = words.counts, classes[:, :N].sum(1)
         repeated = repeat_words(words, X.hash_words(words))
         failed = (n < rules.min_words) | (100 * repeated > rules.repeat_percent * n)
         odd = ((code_points >= rules.guard_chars) & (chars > rules.char_distance)) | ((n >= rules.guard_words) & (spread > rules.word_distance))
