@@ -153,7 +153,7 @@ def train(docs: DataFrame, p: Params = Params()) -> Model | None:
     # A range of hashes that holds about twice the rows wanted goes first, so that no language meets in one task.
     share = {r.lang: min(1.0, 2.0 * each / r.n + 100 / r.n) for r in counts}
     limits = docs.sparkSession.createDataFrame([(k, int(-(1 << 63) + v * ((1 << 64) - 1)) if v < 1 else (1 << 63) - 1) for k, v in share.items()], "lang string, most long")
-    some = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).join(limits, "lang").filter("h <= most")
+    some = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).join(F.broadcast(limits), "lang").filter("h <= most")  # one row a language, counted above
     some = some.select("doc_id", "h", "lang", F.xxhash64("text").alias("tie"), "text")
 
     def counted(part):
