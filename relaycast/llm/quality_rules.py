@@ -136,7 +136,8 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[np.nd
 
     counts = docs.select("text", "lang").mapInArrow(count, "lang string, item long, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("r", F.row_number().over(W.partitionBy("lang", F.col("item") < 0).orderBy(F.desc("n"), "item")))
-    rows = ranked.filter((F.col("item") < 0) | (F.col("r") <= rules.top_words)).drop("r")
+    # A bound that Spark pushes below the shuffle, so no task gathers a language's whole vocabulary.
+    rows = ranked.filter(F.col("r") <= max(rules.top_words, N + 1)).filter((F.col("item") < 0) | (F.col("r") <= rules.top_words)).drop("r")
     by: dict[str, dict[int, int]] = {}
     for r in rows.toLocalIterator():  # some seventy rows a language
         by.setdefault(r.lang, {})[r.item] = r.n
