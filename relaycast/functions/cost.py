@@ -62,3 +62,8 @@ def density(v: Column, b: Column, c: Column, bits: Column, cycles: Column, weigh
     w = d(weight)
     cost = w * (b / bits) + (F.lit(1.0) - w) * (c / cycles)
     return F.when(cost > 0, v / cost).otherwise(F.lit(float("inf")))
+
+
+def provisional(available, total):
+    """Whether a yield so far rests on too little: under half of a known total, else under 20 items."""
+    return F.when(F.coalesce(total, F.lit(0)) > 0, available < 0.5 * total).otherwise(available < 20)

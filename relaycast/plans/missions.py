@@ -34,18 +34,10 @@ def window_membership(spark, sf_dir):
     return N.with_windows(items, N.anchored_windows(items, LENGTH)).groupBy("window", "grp").agg(F.count("*").alias("n"), F.sum("bits").alias("bits"))
 
 
-@query(f"""WITH RECURSIVE {MISSION}, u AS (SELECT DISTINCT user_id, sol FROM mission WHERE user_id % 3 = 0), s AS (SELECT user_id, CAST(0 AS BIGINT) AS w, min(sol) AS f FROM u GROUP BY user_id
-  UNION ALL SELECT s.user_id, s.w + 1, (SELECT min(u.sol) FROM u WHERE u.user_id = s.user_id AND u.sol >= s.f + {LENGTH}) FROM s WHERE (SELECT min(u.sol) FROM u WHERE u.user_id = s.user_id AND u.sol >= s.f + {LENGTH}) IS NOT NULL)
-  SELECT user_id, w AS "window", f AS first_sol FROM s""")
-def anchored_windows_by_user(spark, sf_dir):
-    # Its SQL asks for a third of the users; anchored_windows_by_every_user has all.
-    return N.anchored_windows(mission(spark, sf_dir).filter("user_id % 3 = 0"), LENGTH, ["user_id"]).select("user_id", "window", "first_sol")
-
-
 @query(f"""WITH RECURSIVE {MISSION}, u AS (SELECT DISTINCT user_id, sol FROM mission), s AS (SELECT user_id, CAST(0 AS BIGINT) AS w, min(sol) AS f FROM u GROUP BY user_id
   UNION ALL SELECT s.user_id, s.w + 1, (SELECT min(u.sol) FROM u WHERE u.user_id = s.user_id AND u.sol >= s.f + {LENGTH}) FROM s WHERE (SELECT min(u.sol) FROM u WHERE u.user_id = s.user_id AND u.sol >= s.f + {LENGTH}) IS NOT NULL)
   SELECT user_id, w AS "window", f AS first_sol FROM s""")
-def anchored_windows_by_every_user(spark, sf_dir):
+def anchored_windows_by_user(spark, sf_dir):
     return N.anchored_windows(mission(spark, sf_dir), LENGTH, ["user_id"]).select("user_id", "window", "first_sol")
 
 
@@ -229,9 +221,9 @@ def triage_affordable(spark, sf_dir):
     return mission(spark, sf_dir).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 3 + F.col("sol") % 5).select("sol", "idx")
 
 
-@query(f"WITH {MISSION} SELECT m.idx FROM mission m WHERE score > 100 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = m.idx) ")
+@query(f"WITH {MISSION} SELECT m.idx FROM mission m WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = m.idx) ")
 def needs_scoring_anti(spark, sf_dir):
-    return mission(spark, sf_dir).filter("score > 100").join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx")), "idx", "left_anti").select("idx")
+    return mission(spark, sf_dir).join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx")), "idx", "left_anti").select("idx")
 
 
 @query(f"WITH {MISSION} SELECT m.idx, l.quality FROM mission m LEFT JOIN labels l ON l.doc_id = m.idx WHERE l.quality IS NOT NULL")
@@ -239,10 +231,10 @@ def score_cache_eligible(spark, sf_dir):
     return mission(spark, sf_dir).join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx"), "quality"), "idx", "left").filter("quality is not null").select("idx", "quality")
 
 
-@query(f"WITH {MISSION} SELECT idx FROM mission m WHERE grp <> 'natural' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = m.idx) ORDER BY idx DESC LIMIT 400")
+@query(f"WITH {MISSION} SELECT idx FROM mission m WHERE grp <> 'natural' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = m.idx) ORDER BY idx DESC LIMIT 4000")
 def refit_pool_tail(spark, sf_dir):
     seen = mission(spark, sf_dir).filter("grp <> 'natural'")
-    return seen.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx")), "idx", "left_anti").orderBy(F.desc("idx")).limit(400).select("idx")
+    return seen.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx")), "idx", "left_anti").orderBy(F.desc("idx")).limit(4000).select("idx")
 
 
 @query(f"""WITH RECURSIVE {MISSION}, {CHAIN}, w AS (SELECT "window", count(*) FILTER (WHERE score > 60) AS num, count(*) AS den FROM mission JOIN win ON sol BETWEEN first_sol AND last_sol GROUP BY 1), n AS (SELECT count(*) AS n FROM w)
@@ -304,10 +296,12 @@ def achieved_vs_bound_inner(spark, sf_dir):
     return a.join(b, "run").select("run", F.round(F.col("y") / F.col("c_acctbal"), 6).alias("share"))
 
 
-@query(f"""WITH {MISSION}, s AS (SELECT sol, grp, count(*) AS n FROM mission WHERE score > 110 GROUP BY 1, 2), a AS (SELECT sol, n FROM s WHERE grp = 'natural'), b AS (SELECT sol, n FROM s WHERE grp = 'rover'), c AS (SELECT sol, n FROM s WHERE grp = 'typical')
- SELECT coalesce(a.sol, b.sol, c.sol) AS sol, a.n AS "natural", b.n AS rover, c.n AS typical FROM a FULL JOIN b ON a.sol = b.sol FULL JOIN c ON coalesce(a.sol, b.sol) = c.sol""")
+@query(f"""WITH {MISSION}, s AS (SELECT sol, user_id % 7 AS run, grp, count(*) AS n FROM mission GROUP BY 1, 2, 3), a AS (SELECT sol, run, n FROM s WHERE grp = 'natural'), b AS (SELECT sol, run, n FROM s WHERE grp = 'rover'), c AS (SELECT sol, run, n FROM s WHERE grp = 'typical')
+ SELECT sol, run, a.n AS "natural", b.n AS rover, c.n AS typical FROM a FULL JOIN b USING (sol, run) FULL JOIN c USING (sol, run)""")
 def series_full_outer_pivot(spark, sf_dir):
-    return mission(spark, sf_dir).filter("score > 110 and grp <> 'excluded'").groupBy("sol").pivot("grp", ["natural", "rover", "typical"]).agg(F.count("idx"))
+    by = mission(spark, sf_dir).groupBy("sol", (F.col("user_id") % 7).alias("run"), "grp").agg(F.count("*").alias("n"))
+    one, two, three = (by.filter(F.col("grp") == g).select("sol", "run", F.col("n").alias(g)) for g in ("natural", "rover", "typical"))
+    return one.join(two, ["sol", "run"], "full_outer").join(three, ["sol", "run"], "full_outer")
 
 
 @query(f"""WITH {MISSION} SELECT user_id, count(*) FILTER (WHERE sol <= 15 AND NOT (score > 30 AND sol + CAST(floor(score / 30) AS BIGINT) <= 15)) AS n_held FROM mission GROUP BY user_id""")
@@ -326,11 +320,15 @@ def window_set_islands(spark, sf_dir):
     return N.format_islands(runs, ["user_id"])
 
 
-@query(f"""WITH {MISSION}, r AS (SELECT user_id, count(*) AS windows, sum(bits) AS bits_used, count(*) FILTER (WHERE grp = 'natural') AS n_natural, arg_max(score, idx) AS last_score, avg(CASE WHEN score > 50 THEN score END) AS recall FROM mission GROUP BY user_id)
- SELECT user_id, windows, bits_used, n_natural, last_score, round(recall, 6) AS recall, CASE WHEN n_natural < 0.5 * windows THEN n_natural < 20 ELSE false END AS provisional FROM r""")
+@query(f"""WITH {MISSION}, r AS (SELECT user_id, count(*) AS windows, sum(bits) AS bits_used, count(*) FILTER (WHERE grp = 'natural') AS n_natural, count(*) FILTER (WHERE grp = 'natural' AND sol <= 15) AS n_available, arg_max(score, idx) AS last_score, avg(CASE WHEN score > 50 THEN score END) AS recall FROM mission GROUP BY user_id)
+ SELECT user_id, windows, bits_used, n_natural, n_available, last_score, round(recall, 6) AS recall, CASE WHEN n_natural > 0 THEN 2 * n_available < n_natural ELSE n_available < 20 END AS provisional FROM r""")
 def run_rollup(spark, sf_dir):
-    got = mission(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("windows"), F.sum("bits").alias("bits_used"), F.count_if(F.col("grp") == "natural").alias("n_natural"), F.max_by("score", "idx").alias("last_score"), F.round(F.avg(F.when(F.col("score") > 50, F.col("score"))), 6).alias("recall"))
-    return got.withColumn("provisional", F.when(F.col("n_natural") < 0.5 * F.col("windows"), F.col("n_natural") < 20).otherwise(False))
+    natural = F.col("grp") == "natural"
+    got = mission(spark, sf_dir).groupBy("user_id").agg(
+        F.count("*").alias("windows"), F.sum("bits").alias("bits_used"), F.count_if(natural).alias("n_natural"), F.count_if(natural & (F.col("sol") <= 15)).alias("n_available"),
+        F.max_by("score", "idx").alias("last_score"), F.round(F.avg(F.when(F.col("score") > 50, F.col("score"))), 6).alias("recall"),
+    )
+    return got.withColumn("provisional", C.provisional(F.col("n_available"), F.col("n_natural")))
 
 
 @query(f"""WITH {MISSION} SELECT count(DISTINCT CASE WHEN grp = 'natural' THEN idx END) AS n_ever_natural, count(DISTINCT CASE WHEN grp = 'natural' AND score > 12 THEN idx END) AS n_scored_natural,

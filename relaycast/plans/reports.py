@@ -78,9 +78,9 @@ def k_columns(spark, sf_dir):
     return keys.agg(F.array_join(F.array_sort(F.collect_list("k")).cast("array<string>"), "|").alias("columns"))
 
 
-@query("""SELECT event_type AS reason, count(*) AS n, round(sum(value), 2) AS tokens FROM events WHERE value > 50 GROUP BY 1""")
+@query("""SELECT event_type AS reason, count(*) AS n, round(sum(value), 2) AS tokens FROM events GROUP BY 1""")
 def usage_totals(spark, sf_dir):
-    return table(spark, sf_dir, "events").filter("value > 50").groupBy(F.col("event_type").alias("reason")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("tokens"))
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("reason")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("tokens"))
 
 
 @query(f"""WITH {MISSION} SELECT user_id, CASE WHEN count(*) FILTER (WHERE score > 100) * 2 > count(*) FILTER (WHERE score > 50) THEN 'cycles' ELSE 'bits' END AS dominant, count(*) FILTER (WHERE score > 100) < 1 AS starved FROM mission GROUP BY user_id""")

@@ -53,7 +53,7 @@ def test_windows_of_every_user(spark, sf_dir, duck):
             first[u] = (first[u][0] + 1 if u in first else 0, sol)
             want.append((u, *first[u]))
     assert [(len(first),)] == duck.sql("SELECT count(DISTINCT user_id) FROM events").fetchall()
-    assert sorted(map(tuple, plans.QUERIES["anchored_windows_by_every_user"](spark, sf_dir).collect())) == want
+    assert sorted(map(tuple, plans.QUERIES["anchored_windows_by_user"](spark, sf_dir).collect())) == want
 
 
 def test_stream_replay_returns_the_last_window(spark, sf_dir, duck):
