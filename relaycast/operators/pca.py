@@ -62,6 +62,12 @@ def fit(df: DataFrame, column: str, k: int, oversample: int = 8, power: int = 2,
     return Pca(mean, components, np.sqrt(np.maximum(values[order], 0)), n)
 
 
+def explained(df: DataFrame, column: str, model: Pca) -> tuple[float, np.ndarray]:
+    """The rows' total squared norm about the model's mean, and the share of it that each component explains."""
+    total = float(_summed(df, column, lambda x: np.array([((x - model.mean) ** 2).sum()]))[0])
+    return total, model.singular**2 / total if total > 0 else np.zeros(len(model.singular))
+
+
 def residual_scores(df: DataFrame, column: str, model: Pca, key: str) -> DataFrame:
     """recon_l2, recon_mse, recon_normalized and mahalanobis of each row: |c|^2 - |Pc|^2, floored at 0."""
     scale = np.maximum(model.singular / np.sqrt(max(model.n - 1, 1)), 1e-12)

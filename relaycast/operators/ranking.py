@@ -90,6 +90,25 @@ def roc_auc(df: DataFrame, keys: list[str] | None = None, score: str = "s", labe
     return below.groupBy(*keys).agg(F.try_divide(wins, F.sum("p").cast("double") * F.sum("q").cast("double")).alias("roc_auc"), F.sum("p").cast("long").alias("n_pos"), F.sum("q").cast("long").alias("n_neg"))
 
 
+def metric_bundle(df: DataFrame, ks: list[int], idx: str = "idx") -> DataFrame:
+    """One row: n_typical, n_novel, novel_rate, roc_auc, average_precision, precision_at_k and recall_at_k as maps.
+
+    The rank is made once; all that is counted on it is one aggregate. Each k below 1 is left out.
+    """
+    ks = sorted({k for k in ks if k > 0})
+    hit = [F.sum(F.when(F.col("rank") <= k, F.col("y"))) for k in ks]
+    n, p = F.count("*").cast("double"), F.sum("y").cast("double")
+    y = F.col("y").cast("double")
+    entry = lambda value: F.map_from_arrays(F.array(*[F.lit(k).cast("long") for k in ks]), F.array(*value)) if ks else F.create_map().cast("map<bigint,double>")
+    one = pessimistic_rank(df, idx=idx).agg(
+        (F.count("*") - F.sum("y")).alias("n_typical"), F.sum("y").cast("long").alias("n_novel"), F.avg("y").alias("novel_rate"),
+        F.try_divide(F.sum(F.col("tp").cast("double") / F.col("rank") * y), p).alias("average_precision"),
+        entry([F.coalesce(h, F.lit(0)) / F.least(F.lit(float(k)), n) for k, h in zip(ks, hit, strict=True)]).alias("precision_at_k"),
+        entry([F.try_divide(F.coalesce(h, F.lit(0)).cast("double"), p) for h in hit]).alias("recall_at_k"),
+    )
+    return one.crossJoin(roc_auc(df).select("roc_auc"))  # a row each
+
+
 def validated(df: DataFrame, score: str = "s", label: str = "y") -> DataFrame:
     """Fails at run time on labels other than 0 and 1 and on scores that aren't finite."""
     ok = F.col(label).isin(0, 1) & F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(F.col(score)) < F.lit(float("inf")))

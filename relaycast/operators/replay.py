@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefilter import residual_norms
 from .selection import binding, ordered, walk
 
 #: Policies, and which of them need scores.
@@ -107,6 +108,7 @@ class Frames:
     bits: np.ndarray
     stats: np.ndarray
     score: np.ndarray
+    features: np.ndarray | None = None
 
 
 def replay(f: Frames, method: str, cfg: Config, fit: Callable[[np.ndarray], Model] | None = None, memo: dict | None = None) -> tuple[list[dict], dict]:
@@ -253,14 +255,22 @@ SUMMARY = (
 
 
 def frames_of(table: pa.Table) -> Frames:
-    """A run's rows (idx, sol, grp, bits, stats, score) in mission order: by day, undated last, then index."""
+    """A run's rows (idx, sol, grp, bits, stats, score, features if any) in mission order: by day, undated last, then index."""
     idx, sol = table.column("idx").to_numpy(), table.column("sol").fill_null(-1).to_numpy()
     order = np.lexsort((idx, sol, sol < 0))
-    stats = np.array(table.column("stats").to_pylist(), float).reshape(len(idx), -1)
-    return Frames(idx[order], sol[order], np.array(table.column("grp").to_pylist(), dtype=object)[order], table.column("bits").to_numpy()[order], stats[order], table.column("score").to_numpy()[order])
 
+    def wide(name: str) -> np.ndarray:
+        values = table.column(name).combine_chunks()
+        return np.asarray(values.flatten(), float).reshape(len(idx), -1)[order]
 
-def nearest_to_mean(f: Frames) -> Callable[[np.ndarray], Model]:
+    features = wide("features") if "features" in table.column_names else None
+    return Frames(idx[order], sol[order], np.array(table.column("grp").to_pylist(), dtype=object)[order], table.column("bits").to_numpy()[order], wide("stats"), table.column("score").to_numpy()[order], features)
+
+
+Fit = Callable[[np.ndarray], Model]
+
+
+def nearest_to_mean(f: Frames) -> Fit:
     """A refit for the replay on statistics: novelty is the distance from the pool's mean in its own scales."""
 
     def fit(pool: np.ndarray) -> Model:
@@ -270,30 +280,67 @@ def nearest_to_mean(f: Frames) -> Callable[[np.ndarray], Model]:
     return fit
 
 
-def run_all(frames: DataFrame, runs: list[tuple[str, str, Config]], log: bool = True) -> DataFrame:
-    """One replay for each (name, method, config), over all of ``frames``.
+def principal(k: int = 8) -> Callable[[Frames], Fit]:
+    """A refit of principal components on the pool's features: novelty is the residual off the first ``k``."""
+
+    def of(f: Frames) -> Fit:
+        if f.features is None:
+            raise ValueError("a refit of principal components needs frames with features")
+
+        def fit(pool: np.ndarray) -> Model:
+            x = f.features[pool]
+            mean = x.mean(0)
+            basis = np.linalg.svd(x - mean, full_matrices=False)[2][:k]
+            return lambda at: residual_norms(f.features[at], mean, basis)[0]
+
+        return fit
 
-    Each run needs the whole mission in order; a mission is copied to its runs as rows of numbers.
+    return of
+
+
+def lane(method: str, cfg: Config, k: int) -> tuple:
+    """Runs with equal lanes refit on the same pools whatever their budgets, so they share refits; any other run is alone."""
+    if cfg.adaptation != "online" or method not in SCORE_BASED or cfg.ground_feedback:
+        return ("alone", k)
+    return ("online", cfg.seed, cfg.sols_per_window, cfg.bootstrap_sols, cfg.refit_every, cfg.refit_max, cfg.refit_least)
+
+
+def run_all(frames: DataFrame, runs: list[tuple[str, str, Config]], log: bool = True, by: list[str] | None = None, fit: Callable[[Frames], Fit] = nearest_to_mean, share: bool = True) -> DataFrame:
+    """One replay for each (name, method, config), over each mission of ``frames`` (all of them, or one for each value of ``by``).
+
+    A run needs its whole mission in order. Missions and lanes are dealt to tasks; a mission is copied once for
+    each lane, not for each run. The runs of a lane go one after another and share one memo of refits (``share``),
+    which changes no result: a refit's key is the chain of pools that led to it.
     """
-    spark = frames.sparkSession
+    spark, by = frames.sparkSession, by or []
+    lanes: dict[tuple, list[int]] = {}
+    for k, (_, method, cfg) in enumerate(runs):
+        lanes.setdefault(lane(method, cfg, k), []).append(k)
+    dealt = list(lanes.values()) if share else [[k] for k in range(len(runs))]
     names = spark.createDataFrame([(k, name) for k, (name, _, _) in enumerate(runs)], "run_no int, run string")
-    each = frames.select("idx", "sol", "grp", "bits", "stats", "score", F.explode(F.array(*[F.lit(k) for k in range(len(runs))])).alias("run_no"))
+    needed = ["idx", "sol", "grp", "bits", "stats", "score", *(["features"] if "features" in frames.columns else [])]
+    each = frames.select(*by, *needed, F.explode(F.array(*[F.lit(k) for k in range(len(dealt))])).alias("_lane"))
+    schema = pa.schema([*[(c, _kind(frames.schema[c].dataType.simpleString())) for c in by], ("run_no", pa.int32()), *_arrow(RECORD if log else SUMMARY)])
 
     def go(table: pa.Table) -> pa.Table:
-        k = table.column("run_no")[0].as_py()
-        _, method, cfg = runs[k]
-        f = frames_of(table)
-        records, summary = replay(f, method, cfg, nearest_to_mean(f))
-        rows = records if log else [summary]
-        schema = pa.schema([("run_no", pa.int32()), *_arrow(RECORD if log else SUMMARY)])
-        return pa.Table.from_pylist([r | {"run_no": k} for r in rows], schema=schema)
+        f, rows, memo = frames_of(table), [], {}
+        key = {c: table.column(c)[0].as_py() for c in by}
+        for k in dealt[table.column("_lane")[0].as_py()]:
+            _, method, cfg = runs[k]
+            records, summary = replay(f, method, cfg, fit(f), memo)
+            rows += [key | {"run_no": k} | r for r in (records if log else [summary])]
+        return pa.Table.from_pylist(rows, schema=schema)
+
+    keyed = "".join(f"`{c}` {frames.schema[c].dataType.simpleString()}, " for c in by)
+    return each.groupBy(*by, "_lane").applyInArrow(go, f"{keyed}run_no int, {RECORD if log else SUMMARY}").join(F.broadcast(names), "run_no").drop("run_no")  # a row a run
+
 
-    return each.groupBy("run_no").applyInArrow(go, f"run_no int, {RECORD if log else SUMMARY}").join(F.broadcast(names), "run_no").drop("run_no")  # a row a run
+def _kind(name: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}[name]
 
 
 def _arrow(ddl: str):
-    kinds = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
-    return [(c.split(" ")[0], kinds[c.split(" ")[1]]) for c in ddl.split(", ")]
+    return [(c.split(" ")[0], _kind(c.split(" ")[1])) for c in ddl.split(", ")]
 
 
 def hardware(tier_costs: dict[str, float], reference: str | None) -> dict[str, Config]:

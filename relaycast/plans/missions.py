@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cost as C
+from ..functions import vectors as V
+from ..operators import pca, prefilter
 from ..operators import replay as R
 from ..operators import selection as S
 from ..operators import windows as N
@@ -142,7 +144,7 @@ POLICY_BITS = 2000.0
 
 
 @query(f"""WITH RECURSIVE {MISSION}, {CHAIN}, c AS (SELECT "window", idx, grp, bits, score AS sv, -(sol * 10000.0::DOUBLE + idx) AS fv, CASE WHEN grp = 'natural' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ov FROM mission JOIN win ON sol BETWEEN first_sol AND last_sol),
- m AS (SELECT 'fifo' AS method, *, fv AS v FROM c UNION ALL SELECT 'score_first', *, sv FROM c UNION ALL SELECT 'oracle', *, ov / bits FROM c),
+ m AS (SELECT 'fifo' AS method, *, fv AS v FROM c UNION ALL SELECT 'score_first', *, sv FROM c UNION ALL SELECT 'greedy_ratio', *, sv / bits FROM c UNION ALL SELECT 'oracle', *, ov / bits FROM c),
  r AS (SELECT method, "window", idx, grp, bits, row_number() OVER (PARTITION BY method, "window" ORDER BY v DESC, idx) AS rn FROM m),
  walk AS (SELECT method, "window", CAST(0 AS BIGINT) AS rn, 0.0::DOUBLE AS ub, false AS took, '' AS grp, 0.0::DOUBLE AS bits FROM (SELECT DISTINCT method, "window" FROM r)
   UNION ALL SELECT w.method, w."window", r.rn, CASE WHEN ub + r.bits <= {POLICY_BITS}::DOUBLE THEN ub + r.bits ELSE ub END, ub + r.bits <= {POLICY_BITS}::DOUBLE, r.grp, r.bits FROM walk w JOIN r ON r.method = w.method AND r."window" = w."window" AND r.rn = w.rn + 1),
@@ -155,7 +157,7 @@ def policy_comparison(spark, sf_dir):
     held = N.with_windows(items, N.anchored_windows(items, LENGTH))
     natural = F.col("grp") == "natural"
     values = F.array(
-        *[F.struct(F.lit(m).alias("method"), v.alias("v")) for m, v in (("fifo", -(F.col("sol") * 10_000.0 + F.col("idx"))), ("score_first", F.col("score")), ("oracle", natural.cast("double") / F.col("bits")))]
+        *[F.struct(F.lit(m).alias("method"), v.alias("v")) for m, v in (("fifo", -(F.col("sol") * 10_000.0 + F.col("idx"))), ("score_first", F.col("score")), ("greedy_ratio", F.col("score") / F.col("bits")), ("oracle", natural.cast("double") / F.col("bits")))]
     )
     cand = held.select("window", "idx", "grp", F.col("bits").alias("b"), F.lit(0.0).alias("c"), F.lit(POLICY_BITS).alias("budget_b"), F.lit(1.0).alias("budget_c"), F.inline(values))
     plan = S.greedy(cand, ["method", "window"], "score_first").select("method", F.explode("selected").alias("idx"))
@@ -179,18 +181,56 @@ def replay_summary(spark, sf_dir):
     return R.run_all(stats_mission(spark, sf_dir), [(m, m, BASE) for m in R.POLICIES], log=False)
 
 
+#: Hardware of the experiments: what one score costs on its own, on the fixed processor, and what that was sized for.
+FIXED_COST, FIXED_SIZE = 28_286_976.0, 2_599_296.0
+
+
 @query()
 def replay_experiments(spark, sf_dir):
-    """Baseline, fixed hardware, unlimited compute, online adaptation with feedback, and a bounded buffer."""
+    """Baseline, fixed hardware, unlimited compute, online adaptation with and without feedback, and a bounded buffer, at three downlinks."""
+    online = replace(BASE, adaptation="online", bootstrap_sols=8, refit_every=2)
     kinds = {
         "baseline": BASE,
-        "fixed": replace(BASE, cycles_per_score=28_286_976.0, provisioned_cycles=2_599_296.0),
+        "fixed": replace(BASE, cycles_per_score=FIXED_COST, provisioned_cycles=FIXED_SIZE),
         "unlimited": replace(BASE, unlimited_compute=True),
-        "online": replace(BASE, adaptation="online", bootstrap_sols=8, refit_every=2),
-        "feedback": replace(BASE, adaptation="online", bootstrap_sols=8, refit_every=2, ground_feedback=True),
+        "online": online,
+        "feedback": replace(online, ground_feedback=True),
         "buffer": replace(BASE, capacity=200),
     }
-    return R.run_all(stats_mission(spark, sf_dir), [(f"{k}-{m}", m, c) for k, c in kinds.items() for m in R.SCORE_BASED], log=False)
+    runs = [(f"{k}-{m}-{d}", m, replace(c, downlink_fraction=d)) for k, c in kinds.items() for m in R.SCORE_BASED for d in (0.1, 0.25, 0.5)]
+    return R.run_all(stats_mission(spark, sf_dir), runs, log=False)
+
+
+@query()
+def replay_by_user_group(spark, sf_dir):
+    """A mission for each class of users: missions are dealt by key, so no task holds all of them."""
+    items = stats_mission(spark, sf_dir).join(mission(spark, sf_dir).select("idx", (F.col("user_id") % 16).alias("tenant")), "idx")
+    return R.run_all(items, [(m, m, BASE) for m in R.POLICIES], log=False, by=["tenant"])
+
+
+def vector_mission(spark, sf_dir):
+    """The driver's embeddings as frames of a mission, ten a day; one label is of interest, one is of the craft itself."""
+    k = F.col("label")
+    return table(with_workers(spark), sf_dir, "embeddings").select(
+        F.col("vec_id").cast("long").alias("idx"), F.floor(F.col("vec_id") / 10).cast("long").alias("sol"), F.when(k == 0, "natural").when(k == 1, "rover").otherwise("typical").alias("grp"),
+        (F.size("embedding") * 8).cast("double").alias("bits"), V.doubles(F.col("embedding")).alias("features"),
+    )
+
+
+@query()
+def replay_refitted_components(spark, sf_dir):
+    """Frozen and refitted principal components behind either prefilter, at three downlinks; the runs of a lane share refits."""
+    frames = vector_mission(spark, sf_dir)
+    model = pca.fit(frames.filter("grp = 'typical'"), "features", 8)
+    scored = frames.join(pca.residual_scores(frames, "features", model, "idx").select("idx", F.col("recon_l2").alias("score")), "idx")
+    found = []
+    for mode in ("variance", "lowrank"):
+        cheap = prefilter.build(mode, "features", len(model.mean), 4, model)
+        base = replace(BASE, sols_per_window=10, max_age=40, cycles_per_score=5000.0, compute_fraction=0.5, compress_cycles=100.0, prefilter_cycles=float(cheap.flops))
+        kinds = {"frozen": base, "online": replace(base, adaptation="online", bootstrap_sols=10, refit_every=2)}
+        runs = [(f"{cheap.name}-{k}-{m}-{d}", m, replace(c, downlink_fraction=d)) for k, c in kinds.items() for m in R.SCORE_BASED for d in (0.1, 0.25, 0.5)]
+        found.append(R.run_all(cheap.with_stats(scored), runs, log=False, fit=R.principal(8)))
+    return found[0].unionByName(found[1])
 
 
 @query(f"""WITH RECURSIVE {MISSION}, {CHAIN}, w AS (SELECT "window", count(*) FILTER (WHERE grp = 'natural' AND score > 20) AS sent, count(*) FILTER (WHERE grp = 'natural') AS avail, sum(CASE WHEN grp = 'rover' AND score > 20 THEN bits ELSE 0 END) AS rover, sum(CASE WHEN score > 20 THEN bits ELSE 0 END) AS used FROM mission JOIN win ON sol BETWEEN first_sol AND last_sol GROUP BY 1)

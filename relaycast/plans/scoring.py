@@ -35,6 +35,19 @@ def average_precision(spark, sf_dir):
     return K.average_precision(K.pessimistic_rank(scored(spark, sf_dir))).select(F.round("average_precision", 9).alias("average_precision"))
 
 
+BUNDLE = [10, 25, 50, 100]
+
+
+@query(f"""WITH {RANKED}, c AS (SELECT *, sum(y) OVER (ORDER BY rank) AS tp FROM k), m AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS mid FROM r),
+ a AS (SELECT round((sum(mid * y) - sum(y) * (sum(y) + 1) / 2.0) / (CAST(sum(y) AS DOUBLE) * (count(*) - sum(y))), 9) AS roc_auc FROM m)
+ SELECT CAST(count(*) - sum(y) AS BIGINT) AS n_typical, CAST(sum(y) AS BIGINT) AS n_novel, round(avg(y), 9) AS novel_rate, round(sum(tp / CAST(rank AS DOUBLE) * y) / sum(y), 9) AS average_precision, any_value(roc_auc) AS roc_auc,
+  {", ".join(f"round(sum(CASE WHEN rank <= {k} THEN y ELSE 0 END) / CAST(least({k}, count(*)) AS DOUBLE), 9) AS p_{k}, round(sum(CASE WHEN rank <= {k} THEN y ELSE 0 END) / CAST(sum(y) AS DOUBLE), 9) AS r_{k}" for k in BUNDLE)} FROM c, a""")
+def metric_bundle(spark, sf_dir):
+    b = K.metric_bundle(K.validated(scored(spark, sf_dir)), BUNDLE)
+    at = [F.round(F.element_at(m, F.lit(k).cast("long")), 9).alias(f"{c}_{k}") for k in BUNDLE for c, m in (("p", "precision_at_k"), ("r", "recall_at_k"))]
+    return b.select("n_typical", "n_novel", *(F.round(c, 9).alias(c) for c in ("novel_rate", "average_precision", "roc_auc")), *at)
+
+
 AUC = "(sum(mid * y) - sum(y) * (sum(y) + 1) / 2.0) / (CAST(sum(y) AS DOUBLE) * (count(*) - sum(y)))"
 
 
