@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import facts
+from ..operators import replay as R
 from ..session import table
+from .missions import BASE, stats_mission
 from .registry import MISSION, mission, query
 
 
@@ -87,3 +90,37 @@ def usage_totals(spark, sf_dir):
 def dominant_bound(spark, sf_dir):
     hi, mid = F.count_if(F.col("score") > 100), F.count_if(F.col("score") > 50)
     return mission(spark, sf_dir).groupBy("user_id").agg(F.when(hi * 2 > mid, "cycles").otherwise("bits").alias("dominant"), (hi < 1).alias("starved"))
+
+
+POLICY_RUNS = [(m, m, BASE) for m in R.POLICIES]
+
+
+@query()
+def window_fact_sheets(spark, sf_dir):
+    """Every figure that a note on a window may state, from the log of a real replay of each policy."""
+    items = stats_mission(spark, sf_dir)
+    total = items.agg(F.count_if(F.col("grp") == "natural").alias("n_natural"))
+    log = R.run_all(items, POLICY_RUNS).crossJoin(F.broadcast(total))  # one row
+    return facts.window_facts(log, F.col("n_natural"))
+
+
+@query()
+def mission_fact_sheets(spark, sf_dir):
+    items = stats_mission(spark, sf_dir)
+    return facts.mission_facts(R.run_all(items, POLICY_RUNS), R.run_all(items, POLICY_RUNS, log=False))
+
+
+@query()
+def mission_advice(spark, sf_dir):
+    items = stats_mission(spark, sf_dir)
+    return facts.advice(R.run_all(items, POLICY_RUNS), R.run_all(items, POLICY_RUNS, log=False))
+
+
+@query()
+def window_note_audit(spark, sf_dir):
+    """Notes rendered from placeholders, with the number of figures in each that no fact supports."""
+    sheet = facts.window_facts(R.run_all(stats_mission(spark, sf_dir), POLICY_RUNS))
+    texts = sheet.select("run", "window").distinct().withColumn("text", F.lit("Window {WINDOW}, sols {SOLS}: {ARRIVED} arrived, {SELECTED} of {BUFFERED} sent, {CUM_YIELD} so far."))
+    notes = facts.rendered(texts, sheet, ["run", "window"])
+    wrong = facts.unsupported(notes, sheet, ["run", "window"]).groupBy("run", "window").agg(F.count("*").alias("n_unsupported"))
+    return notes.join(wrong, ["run", "window"], "left").select("run", "window", "text", F.size("unknown").cast("long").alias("n_unknown"), F.coalesce("n_unsupported", F.lit(0)).alias("n_unsupported"))

@@ -74,6 +74,43 @@ def catalog(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("split").agg(F.count("*").alias("count"), F.countDistinct("source_filename").alias("n_unique_files"), F.count_if(F.col("sol").isNull()).alias("n_unparsed_sol"))
 
 
+#: The catalog's own format; another one is refused.
+CATALOG_VERSION = 1
+
+
+def write_catalog(splits: DataFrame, path: str) -> None:
+    """A row a split (what ``catalog`` gives, and a fingerprint), as JSON lines of this format's version."""
+    splits.withColumn("format_version", F.lit(CATALOG_VERSION)).write.mode("overwrite").json(path)
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.schema("format_version int, split string, count bigint, n_unique_files bigint, n_unparsed_sol bigint, fingerprint string").json(path)
+    other = rows.filter(~F.col("format_version").eqNullSafe(F.lit(CATALOG_VERSION))).select("format_version").first()
+    if other:
+        raise ValueError(f"{path} has format {other[0]}, not {CATALOG_VERSION}")
+    return rows.drop("format_version")
+
+
+def fingerprints(files: DataFrame, split: str = "split") -> DataFrame:
+    """split, fingerprint of its (class, name, length) rows in any order: sums of parts of their hashes, so no split is gathered."""
+    h = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("class", "name", "length"))), 256)
+    sums = [F.sum(F.conv(F.substring(h, k, 15), 16, 10).cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 16, 31, 46)]
+    return files.groupBy(split).agg(F.count("*").alias("n"), *sums).select(split, F.sha2(F.concat_ws("|", "n", "s1", "s16", "s31", "s46"), 256).alias("fingerprint"))
+
+
+def stale_splits(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Splits whose files are other than when the catalog was written, or that it doesn't have; only these need work."""
+    return fingerprints(files).join(known.select("split", "fingerprint"), ["split", "fingerprint"], "left_anti").select("split")
+
+
+def load_split(manifest: DataFrame, arrays: DataFrame, split: str) -> DataFrame:
+    """A split's manifest rows with their arrays by (split, index); a row without its partner on either side fails the read."""
+    rows, found = manifest.filter(F.col("split") == split), arrays.filter(F.col("split") == split)
+    both = rows.withColumn("_m", F.lit(1)).join(found.withColumn("_a", F.lit(1)), ["split", "index"], "full")
+    whole = F.when(F.col("_m").isNotNull() & F.col("_a").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no partner for index "), F.col("index").cast("string"))))
+    return both.filter(whole).drop("_m", "_a")
+
+
 def class_folders(files: DataFrame) -> DataFrame:
     """name, sorted |-joined classes of all folders but ``all``; 'unknown' where a canonical file has none."""
     canon = files.filter("class = 'all'").select("name").distinct()
