@@ -10,17 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.cost import provisional
 
-#: Below these, a yield is provisional (share of a known total, or frames where the total is unknown).
-PROVISIONAL_SHARE, PROVISIONAL_FRAMES = 0.5, 20
 #: From here on a summary recommends something (share of bits wasted, frames expired).
 WASTE_LIMIT, EXPIRY_LIMIT = 0.10, 50
 
 
-def provisional(available: Column, total: Column) -> Column:
-    return F.when(total > 0, available < PROVISIONAL_SHARE * total).otherwise(available < PROVISIONAL_FRAMES)
-
-
 def _shown(amount: Column, unit: str) -> Column:
     forms = {"%": lambda: T.percent(amount), "bits": lambda: T.kib(amount), "x": lambda: F.format_string("%.1f×", amount), "pp": lambda: F.format_string("%+.1f", amount * 100), "rate": lambda: F.format_string("%.1f", amount)}
     return forms.get(unit, lambda: F.format_number(amount, 0))()

@@ -90,6 +90,26 @@ def roc_auc(df: DataFrame, keys: list[str] | None = None, score: str = "s", labe
     return below.groupBy(*keys).agg(F.try_divide(wins, F.sum("p").cast("double") * F.sum("q").cast("double")).alias("roc_auc"), F.sum("p").cast("long").alias("n_pos"), F.sum("q").cast("long").alias("n_neg"))
 
 
+def auc_against(base: DataFrame, classes: DataFrame, key: str, score: str = "s") -> DataFrame:
+    """key, roc_auc, n: each class of ``classes`` (key, score) against the same ``base`` (score).
+
+    Scores are ordered once, in ranges, for all classes; a class is then one aggregate over its own scores, so neither
+    the base is copied for each class nor a class gathered in one task.
+    """
+    own = classes.groupBy(key, score).agg(F.count("*").alias("p"))
+    scores = base.groupBy(score).agg(F.count("*").alias("q")).unionByName(own.select(score, F.lit(0).cast("long").alias("q"))).groupBy(score).agg(F.sum("q").alias("q"))
+    cut = score_ranges(scores, score)
+    sums = cut.groupBy("_range").agg(F.sum("q").alias("_q"))
+    before = W.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    start = sums.select("_range", F.coalesce(F.sum("_q").over(before), F.lit(0)).alias("_q0"))
+    inside = F.coalesce(F.sum("q").over(W.partitionBy("_range").orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    below = cut.withColumn("_b", inside).join(F.broadcast(start), "_range").select(score, "q", (F.col("_b") + F.col("_q0")).alias("below"))  # at most 64 rows
+    total = sums.agg(F.sum("_q").cast("double").alias("_n"))
+    wins = F.sum(F.col("p").cast("double") * (F.col("below").cast("double") + F.col("q").cast("double") / 2))
+    each = own.join(below, score).groupBy(key).agg(wins.alias("_w"), F.sum("p").alias("n"))
+    return each.crossJoin(F.broadcast(total)).select(key, F.try_divide("_w", F.col("n") * F.col("_n")).alias("roc_auc"), "n")  # one row
+
+
 def metric_bundle(df: DataFrame, ks: list[int], idx: str = "idx") -> DataFrame:
     """One row: n_typical, n_novel, novel_rate, roc_auc, average_precision, precision_at_k and recall_at_k as maps.
 

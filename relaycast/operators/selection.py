@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.cost import density
+from ..session import with_workers
 
 METHODS = ("score_first", "greedy_ratio", "random")
 _PLAN = "total_value double, used_bits double, used_cycles double, selected array<bigint>, n_candidates bigint, binding_constraint string"
@@ -64,28 +64,16 @@ def select(v, b, c, budget_b, budget_c, method: str, seed: int = 0, weights: int
 
 
 def greedy(items: DataFrame, keys: list[str], method: str) -> DataFrame:
-    """One plan for each group of items (idx, v, b, c, budget_b, budget_c), as a fold over its sorted array.
+    """One plan for each group of items (idx, v, b, c, budget_b, budget_c): a walk over numpy arrays, linear in the group.
 
-    A group's candidates are gathered, as the sequential walk needs them in order; groups run in parallel.
+    The sequential walk needs a group's candidates in order, so these are one task's numbers; groups run in parallel.
     """
-    rank = {"score_first": F.struct((-F.col("v")).alias("k"), "idx"), "greedy_ratio": F.struct((-density(F.col("v"), F.col("b"), F.col("c"), F.col("budget_b"), F.col("budget_c"))).alias("k"), "idx"), "random": F.struct(F.xxhash64(F.lit(0), "idx").alias("k"), "idx")}[method]
-    got = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(rank.alias("o"), "idx", "v", "b", "c"))).alias("items"), F.max("budget_b").alias("budget_b"), F.max("budget_c").alias("budget_c"))
-    zero = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"), F.array().cast("array<bigint>").alias("s"))
-
-    def step(a, x):
-        fits = (a.b + x.b <= F.col("budget_b")) & (a.c + x.c <= F.col("budget_c"))
-        return F.when(fits, F.struct((a.v + x.v).alias("v"), (a.b + x.b).alias("b"), (a.c + x.c).alias("c"), F.concat(a.s, F.array(x.idx.cast("bigint"))).alias("s"))).otherwise(a)
-
-    plan = got.withColumn("p", F.aggregate("items", zero, step))
-    left = F.filter("items", lambda x: ~F.array_contains(F.col("p.s"), x.idx.cast("bigint")))
-    over_b = F.exists(left, lambda x: x.b > F.col("budget_b") - F.col("p.b") + 1e-9)
-    over_c = F.exists(left, lambda x: x.c > F.col("budget_c") - F.col("p.c") + 1e-9)
-    constraint = F.when(over_b & over_c, "both").when(over_b, "bits").when(over_c, "cycles").otherwise("neither")
-    return plan.select(*keys, F.col("p.v").alias("total_value"), F.col("p.b").alias("used_bits"), F.col("p.c").alias("used_cycles"), F.col("p.s").alias("selected"), F.size("items").cast("long").alias("n_candidates"), constraint.alias("binding_constraint"))
+    return greedy_arrow(items, keys, method).drop("best_weight")
 
 
 def greedy_arrow(items: DataFrame, keys: list[str], method: str, seed: int = 0) -> DataFrame:
-    """The same for large groups and for the sweep: a group's columns as numpy arrays, linear memory."""
+    """``greedy`` with the weight that a sweep found best; sums run in the order of the walk."""
+    with_workers(items.sparkSession)
     key_schema = ", ".join(f"{k} {items.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(table: pa.Table) -> pa.Table:
@@ -94,7 +82,7 @@ def greedy_arrow(items: DataFrame, keys: list[str], method: str, seed: int = 0)
         budget_b, budget_c = float(table.column("budget_b")[0].as_py()), float(table.column("budget_c")[0].as_py())
         taken, weight = select(v, b, c, budget_b, budget_c, method, seed)
         out = {k: table.column(k).slice(0, 1) for k in keys}
-        out |= {"total_value": [float(v[taken].sum())], "used_bits": [float(b[taken].sum())], "used_cycles": [float(c[taken].sum())], "selected": pa.array([idx[taken].tolist()], pa.list_(pa.int64())), "n_candidates": [len(v)], "binding_constraint": [binding(b, c, taken, budget_b, budget_c)], "best_weight": pa.array([weight], pa.float64())}
+        out |= {"total_value": [float(sum(v[taken].tolist()))], "used_bits": [float(sum(b[taken].tolist()))], "used_cycles": [float(sum(c[taken].tolist()))], "selected": pa.array([idx[taken].tolist()], pa.list_(pa.int64())), "n_candidates": [len(v)], "binding_constraint": [binding(b, c, taken, budget_b, budget_c)], "best_weight": pa.array([weight], pa.float64())}
         return pa.table(out)
 
     return items.groupBy(*keys).applyInArrow(run, f"{key_schema}, {_PLAN}, best_weight double")

@@ -39,18 +39,24 @@ def with_windows(items: DataFrame, windows: DataFrame, keys: list[str] | None =
 
 
 def causal_stats(items: DataFrame, value: str, by: str = "sol", keys: list[str] | None = None) -> DataFrame:
-    """For each ``by``: count, mean and squared deviations of all earlier ones (none of its own)."""
+    """For each ``by``: count, mean and squared deviations (before_n, before_mean, before_m2) of all earlier ones (none of its own).
+
+    Each ``by`` is summed about its own mean, and these about the first one's, so large values don't cancel.
+    """
     keys = keys or []
-    sums = items.groupBy(*keys, by).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("ss"))
-    w = W.partitionBy(*keys).orderBy(by).rowsBetween(W.unboundedPreceding, -1)  # one row for each ``by``
-    return sums.select(*keys, by, *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"before_{c}") for c in ("n", "s", "ss")))
+    each = items.groupBy(*keys, by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count(value)).alias("m2"))
+    w = W.partitionBy(*keys).orderBy(by)  # one row for each ``by``
+    off = F.coalesce(F.col("mean") - F.col("shift"), F.lit(0.0))
+    shifted = each.withColumn("shift", F.first("mean", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).select(*keys, by, "n", "shift", (F.col("n") * off).alias("s"), (F.coalesce("m2", F.lit(0.0)) + F.col("n") * off * off).alias("ss"))
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    n, s, ss = (F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("n", "s", "ss"))
+    summed = shifted.select(*keys, by, "shift", n.alias("before_n"), s.alias("_s"), ss.alias("_ss"))
+    return summed.select(*keys, by, "before_n", (F.col("shift") + F.try_divide("_s", "before_n")).alias("before_mean"), F.greatest(F.lit(0.0), F.col("_ss") - F.coalesce(F.try_divide(F.col("_s") * F.col("_s"), "before_n"), F.lit(0.0))).alias("before_m2"))
 
 
-def causal_z(value, n, s, ss):
+def causal_z(value, n, mean, m2):
     """|x - mean| over the sample deviation of what came before; 0 with fewer than two; variance floor 1e-12."""
-    mean = s / n
-    var = F.greatest((ss - s * s / n) / (n - 1), F.lit(1e-12))
-    return F.when(n < 2, F.lit(0.0)).otherwise(F.abs(value - mean) / F.sqrt(var))
+    return F.when(n < 2, F.lit(0.0)).otherwise(F.abs(value - mean) / F.sqrt(F.greatest(m2 / (n - 1), F.lit(1e-12))))
 
 
 def islands(rows: DataFrame, keys: list[str], at: str) -> DataFrame:

@@ -66,7 +66,7 @@ def window_budget_derivation(spark, sf_dir):
 def causal_prefilter_z(spark, sf_dir):
     items = mission(spark, sf_dir)
     before = N.causal_stats(items, "score")
-    z = N.causal_z(F.col("score"), F.col("before_n"), F.col("before_s"), F.col("before_ss"))
+    z = N.causal_z(F.col("score"), F.col("before_n"), F.col("before_mean"), F.col("before_m2"))
     return items.join(before, "sol").select("idx", F.round(z, 5).alias("z"))
 
 

@@ -61,28 +61,16 @@ def roc_auc_midrank(spark, sf_dir):
  m AS (SELECT class, y, rank() OVER (PARTITION BY class ORDER BY s) + (count(*) OVER (PARTITION BY class, s) - 1) / 2.0 AS mid FROM u) SELECT class, round({AUC}, 9) AS roc_auc, CAST(sum(y) AS BIGINT) AS n FROM m GROUP BY class""")
 def per_class_auc(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("class"), F.col("value").alias("s"))
-    typical, novel = rows.filter(F.col("class").isin("view", "click")).groupBy("s").agg(F.count("*").alias("q")), rows.filter(~F.col("class").isin("view", "click"))
-    # The shared baseline meets each class as counts by score, once, not row by row.
-    classes = novel.select("class").distinct()
-    base = typical.crossJoin(F.broadcast(classes)).select("class", "s", F.lit(0).cast("long").alias("p"), "q")
-    by = novel.groupBy("class", "s").agg(F.count("*").alias("p")).select("class", "s", "p", F.lit(0).cast("long").alias("q")).unionByName(base).groupBy("class", "s").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    below = F.coalesce(F.sum("q").over(W.partitionBy("class").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    wins = F.sum(F.col("p") * (F.col("below") + F.col("q") / 2.0))
-    got = by.withColumn("below", below).groupBy("class").agg(F.round(wins / (F.sum("p").cast("double") * F.sum("q")), 9).alias("roc_auc"), F.sum("p").alias("n"))
-    return longs(got, "n")
+    typical = F.col("class").isin("view", "click")
+    return K.auc_against(rows.filter(typical).select("s"), rows.filter(~typical), "class").withColumn("roc_auc", F.round("roc_auc", 9))
 
 
 @query(f"""WITH {MISSION}, m AS (SELECT grp, y, rank() OVER (PARTITION BY grp ORDER BY s) + (count(*) OVER (PARTITION BY grp, s) - 1) / 2.0 AS mid FROM (
   SELECT g.grp, score AS s, 0 AS y FROM mission, (VALUES ('natural'), ('rover'), ('excluded')) g(grp) WHERE mission.grp = 'typical' UNION ALL SELECT grp, score, 1 FROM mission WHERE grp <> 'typical'))
   SELECT grp, round({AUC}, 9) AS roc_auc, CAST(sum(y) AS BIGINT) AS n FROM m GROUP BY grp""")
 def group_auc(spark, sf_dir):
-    rows = mission(spark, sf_dir)
-    groups = F.array(*map(F.lit, ("natural", "rover", "excluded")))
-    both = rows.filter("grp = 'typical'").groupBy("score").agg(F.count("*").alias("q")).select(F.explode(groups).alias("grp"), "score", F.lit(0).alias("y"), "q")
-    own = rows.filter("grp <> 'typical'").groupBy("grp", "score").agg(F.count("*").alias("q")).select("grp", "score", F.lit(1).alias("y"), "q")
-    by = both.unionByName(own).groupBy("grp", "score").agg(F.sum(F.col("q") * F.col("y")).alias("p"), F.sum(F.col("q") * (1 - F.col("y"))).alias("q"))
-    below = by.withColumn("below", F.coalesce(F.sum("q").over(W.partitionBy("grp").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return below.groupBy("grp").agg(F.round(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2.0)) / (F.sum("p").cast("double") * F.sum("q")), 9).alias("roc_auc"), F.sum("p").cast("long").alias("n"))
+    rows = mission(spark, sf_dir).select("grp", F.col("score").alias("s"))
+    return K.auc_against(rows.filter("grp = 'typical'").select("s"), rows.filter("grp <> 'typical'"), "grp").withColumn("roc_auc", F.round("roc_auc", 9))
 
 
 @query("""SELECT avg(value) FILTER (WHERE event_type <> 'purchase') > 0 AS has_typical, round(stddev_pop(value), 6) AS sd, round(avg(value), 6) AS mean, CAST(count(*) FILTER (WHERE event_type = 'purchase') AS DOUBLE) / count(*) AS novel_rate FROM events""")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from relaycast.operators import pca, prefilter, ranking, replay
+from relaycast.operators import pca, prefilter, ranking, replay, windows
 
 CFG = replay.Config(sols_per_window=3, max_age=5, downlink_fraction=0.3, compute_fraction=0.4, cycles_per_score=1000.0, compress_cycles=10.0, prefilter_cycles=1.0, bootstrap_sols=4, refit_every=2, refit_max=30)
 ONLINE = replace(CFG, adaptation="online")
@@ -152,3 +152,23 @@ def test_metric_bundle(spark):
     assert (r.n_typical, r.n_novel, r.novel_rate) == (2, 2, 0.5)
     assert r.precision_at_k == {1: 0.0, 2: 0.5, 50: 0.5} and r.recall_at_k == {1: 0.0, 2: 0.5, 50: 1.0}
     assert r.roc_auc == 0.625 and np.isclose(r.average_precision, (1 / 2 + 2 / 3) / 2)
+
+
+def test_causal_statistics_of_large_values(spark):
+    rng = np.random.default_rng(5)
+    days, values = rng.integers(0, 9, 200), 1e9 + rng.standard_normal(200)
+    got = windows.causal_stats(spark.createDataFrame(list(zip(days.tolist(), values.tolist(), strict=True)), "sol long, v double"), "v").collect()
+    for r in got:
+        past = values[days < r.sol]
+        assert r.before_n == len(past)
+        if len(past):
+            assert np.isclose(r.before_mean, past.mean(), rtol=1e-14) and np.isclose(r.before_m2, ((past - past.mean()) ** 2).sum(), rtol=1e-6)
+
+
+def test_auc_of_classes_against_one_base(spark):
+    rng = np.random.default_rng(6)
+    base, own = rng.integers(0, 30, 300).astype(float), [(k, float(s)) for k in "abc" for s in rng.integers(0, 40, 50)]
+    got = ranking.auc_against(spark.createDataFrame([(x,) for x in base.tolist()], "s double"), spark.createDataFrame(own, "k string, s double"), "k").collect()
+    for r in got:
+        mine = np.array([s for k, s in own if k == r.k])[:, None]
+        assert r.n == 50 and np.isclose(r.roc_auc, ((mine > base).mean() + (mine == base).mean() / 2))
