@@ -12,8 +12,8 @@
    the first occurrence of every window stays.
 
 Lines are compared by 64-bit hashes. A shorter line that is repeated alone stays. Counts and first occurrences
-combine before their shuffle and are joined back with one row a key, so a very common line is a skew that
-adaptive execution splits; work is linear in lines, also for a text of one line repeated.
+combine before their shuffle, are written, and are joined back with one row a key, so a very common line is a
+skew that adaptive execution splits; work is linear in lines, also for a text of one line repeated.
 
 Defined cases: null texts stay null, empty ones empty; lines without a word are no part of a run; rows of one
 identifier with different texts are documents of their own, ordered by the text's hash; equal rows are edited
@@ -67,8 +67,9 @@ def fingerprints(lines: DataFrame) -> DataFrame:
 
 def repeated_runs(found: DataFrame) -> DataFrame:
     """id, text_hash, runs of line numbers [from, to] of the windows and long lines that stand earlier."""
-    many = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    joined = found.join(many, "h")
+    # An aggregate inside a join's stage keeps adaptive execution from splitting a hot key; a written table doesn't.
+    many = stored(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "many")
+    joined = found.join(many.hint("merge"), "h")
 
     def extended(when, run, place, start, to):
         return F.when(when, F.struct(F.xxhash64(*run).alias("key"), place.alias("place"), start.alias("from"), to.alias("to")))
@@ -79,9 +80,9 @@ def repeated_runs(found: DataFrame) -> DataFrame:
         extended(c("right").isNotNull(), ("h", "right"), c("place"), c("here"), c("after")),
         extended(c("long"), ("h",), c("place"), c("here"), c("here")),
     )
-    each = joined.select("id", "text_hash", F.explode(F.array_compact(sides)).alias("w")).select("id", "text_hash", "w.*")
-    first = each.groupBy("key").agg(F.min(F.struct("id", "text_hash", "place")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("key", "f")
-    again = each.join(first, "key").filter(F.struct("id", "text_hash", "place") != F.col("f"))
+    each = stored(joined.select("id", "text_hash", F.explode(F.array_compact(sides)).alias("w")).select("id", "text_hash", "w.*"), "repeats")
+    first = stored(each.groupBy("key").agg(F.min(F.struct("id", "text_hash", "place")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("key", "f"), "first")
+    again = each.join(first.hint("merge"), "key").filter(F.struct("id", "text_hash", "place") != F.col("f"))
     return again.groupBy("id", "text_hash").agg(F.collect_list(F.struct("from", "to")).alias("runs"))
 
 
