@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as a number, a placeholder, a published marker, a list marker.
+# What counts as a number, a placeholder, a published marker, a list marker; what may stand around a figure
+# (a hyphen may not: it can be a sign) and around a placeholder.
 NUMBER = r"(?<![\w.])\d+(?:,\d{3})*(?:\.\d+)?"
 PLACEHOLDER = r"\{([a-z_][a-z0-9_]*)\}"
 MARKER = r"([^<>\n]*)<!--@([A-Za-z0-9_.]+)-->"
+LEFT, RIGHT, AROUND = r"[\s*_`~(\[{<«–—]", r"[\s*_`~)\]}>».,;:–—]", r"[\s\-*_•.;:,]"
 
 
 def numbers(text: Column) -> Column:
@@ -32,6 +34,26 @@ def markers(line: Column) -> Column:
     return F.zip_with(F.regexp_extract_all(line, F.lit(MARKER), 1), F.regexp_extract_all(line, F.lit(MARKER), 2), lambda t, k: F.struct(t.alias("text"), k.alias("key")))
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def last_words(shown: Column, value: Column) -> Column:
+    """As many last words of ``shown`` as ``value`` has, without decoration around them."""
+    words, n = _words(shown), F.size(_words(value))
+    tail = F.array_join(F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), n), " ")
+    return F.regexp_replace(F.regexp_replace(tail, f"^{LEFT}+", ""), f"{RIGHT}+$", "")
+
+
+def misplaced(text: Column) -> Column:
+    """Lines that mix placeholders with words of their own; bullets, emphasis and stops are none."""
+
+    def own(line: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(line, PLACEHOLDER, ""), f"^{AROUND}+|{AROUND}+$", "") != ""
+
+    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\r\n]"), lambda x: x.rlike(PLACEHOLDER) & own(x)), F.trim)
+
+
 def unsanctioned(text: Column) -> Column:
     """Numerals outside placeholders and list markers."""
     masked = F.regexp_replace(F.regexp_replace(text, PLACEHOLDER, ""), r"(?m)^\s*\d+[.)]\s", "")

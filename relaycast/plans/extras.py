@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import images
-from ..operators import models
+from ..operators import models, ranking
 from ..session import table, with_workers
 from ..sources import records
 from .registry import MISSION, mission, query
-from .scoring import frames
+from .scoring import AUC, frames
 
 
 @query("SELECT * FROM (VALUES ('conv_ae_myriad', CAST(9428992 AS BIGINT)), ('conv_ae_snapdragon', CAST(49209344 AS BIGINT))) t(model, flops)")
@@ -41,10 +42,16 @@ def markdown_table(spark, sf_dir):
     return records.markdown(by, ["grp", "n", "bits"], ["grp"])
 
 
-@query("""SELECT c.lang AS class, round(avg(l.quality), 9) AS share FROM documents c JOIN labels l USING (doc_id) GROUP BY 1 HAVING count(*) > 5""")
+@query(f"""WITH d AS (SELECT coalesce(lang, 'und') AS grp, coalesce(source, '') AS source, CAST(n_chars AS DOUBLE) AS s, quality FROM documents JOIN labels USING (doc_id) WHERE n_chars IS NOT NULL), c AS (SELECT DISTINCT grp, source FROM d WHERE quality = 0),
+ u AS (SELECT c.grp, c.source, s, 0 AS y FROM d, c WHERE quality = 1 UNION ALL SELECT grp, source, s, 1 FROM d WHERE quality = 0), m AS (SELECT grp, source, y, rank() OVER (PARTITION BY grp, source ORDER BY s) + (count(*) OVER (PARTITION BY grp, source, s) - 1) / 2.0 AS mid FROM u),
+ a AS (SELECT grp, grp || '/' || source AS class, round({AUC}, 9) AS roc_auc, CAST(sum(y) AS BIGINT) AS n FROM m GROUP BY grp, source) SELECT *, row_number() OVER (PARTITION BY grp ORDER BY roc_auc DESC, class) AS place FROM a""")
 def class_quality_order(spark, sf_dir):
-    both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    return both.groupBy(F.col("lang").alias("class")).agg(F.round(F.avg("quality"), 9).alias("share"), F.count("*").alias("n")).filter("n > 5").select("class", "share")
+    """Classes of each group by their AUC against the good rows, best first."""
+    both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").filter("n_chars is not null")
+    rows = both.select(F.concat_ws("/", F.coalesce("lang", F.lit("und")), F.coalesce("source", F.lit(""))).alias("class"), F.col("n_chars").cast("double").alias("s"), "quality")
+    aucs = ranking.auc_against(rows.filter("quality = 1").select("s"), rows.filter("quality = 0").select("class", "s"), "class").withColumn("roc_auc", F.round("roc_auc", 9))
+    grouped = aucs.withColumn("grp", F.substring_index("class", "/", 1))
+    return grouped.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("roc_auc"), "class")).cast("long")).select("grp", "class", "roc_auc", "n", "place")
 
 
 @query(f"""WITH {MISSION}, lost AS (SELECT DISTINCT idx FROM mission WHERE score > 100), held AS (SELECT DISTINCT idx FROM mission WHERE score > 60 AND sol > 5)

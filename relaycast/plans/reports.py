@@ -32,20 +32,24 @@ def pairwise_composites(spark, sf_dir):
     return both.select("a.grp", F.col("a.pos").alias("i"), F.col("b.pos").alias("j"), F.round(x / y, 6).alias("ratio"), F.round(y / x, 6).alias("inverse"), (F.col("b.v") - F.col("a.v")).alias("diff"))
 
 
-@query("""SELECT n_nationkey AS k, format('{:.0f}', v) AS f0, format('{:.2f}', v) AS f2, format('{:.6f}', v) AS f6 FROM (SELECT n_nationkey, n_nationkey / 7.0::DOUBLE AS v FROM nation)""")
+SHOWN = ", ".join(f"format('{{:.{p}f}}', {x})" for p in range(7) for x in ("v", "v * 100"))
+
+
+@query(f"""WITH n AS (SELECT n_nationkey AS k, n_nationkey * 1000 / 7.0::DOUBLE AS v FROM nation)
+ SELECT DISTINCT k, unnest(CASE WHEN v > 1000 THEN list_concat([{SHOWN}], [format('{{:.1f}}', v / 8192), format('{{:.0f}}', v / 8192)]) ELSE [{SHOWN}] END) AS form FROM n""")
 def number_forms(spark, sf_dir):
-    forms = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") / 7.0).alias("v"))
-    return forms.select("k", F.format_string("%.0f", "v").alias("f0"), F.format_string("%.2f", "v").alias("f2"), F.format_string("%.6f", "v").alias("f6"))
+    values = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") * 1000 / 7.0).alias("v"))
+    return values.select("k", F.explode(T.number_forms(F.col("v"))).alias("form"))
 
 
-@query("""WITH f AS (SELECT n_name AS key, CAST(n_nationkey * 3 AS VARCHAR) AS value FROM nation WHERE n_nationkey < 20), m AS (SELECT n_name AS key, CAST(n_nationkey * 3 + CASE WHEN n_nationkey % 4 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS shown, n_nationkey AS lineno FROM nation)
+@query("""WITH f AS (SELECT n_name AS key, (n_nationkey * 3) || ' of 75' AS value FROM nation WHERE n_nationkey < 20), m AS (SELECT n_name AS key, (n_nationkey * 3 + CASE WHEN n_nationkey % 4 = 0 THEN 1 ELSE 0 END) || ' of 75' AS shown, n_nationkey AS lineno FROM nation)
  SELECT lineno, m.key, CASE WHEN value IS NULL THEN 'unknown figure' WHEN shown <> value THEN 'mismatch' END AS problem FROM m LEFT JOIN f USING (key) WHERE value IS NULL OR shown <> value""")
 def marker_join_mismatch(spark, sf_dir):
     nation, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
-    figures = nation.filter("n_nationkey < 20").select(F.col("n_name").alias("figure"), (k * 3).cast("string").alias("value"))
-    lines = nation.select(k.alias("lineno"), F.concat(F.lit("we sent "), (k * 3 + F.when(k % 4 == 0, 1).otherwise(0)).cast("string"), F.lit("<!--@"), F.col("n_name"), F.lit("-->")).alias("line"))
-    shown = lines.select("lineno", F.explode(T.markers(F.col("line"))).alias("m")).select("lineno", F.col("m.key").alias("key"), F.element_at(F.split(F.trim("m.text"), " "), -1).alias("shown"))
-    joined = shown.join(figures, F.col("key") == F.col("figure"), "left")
+    figures = nation.filter("n_nationkey < 20").select(F.col("n_name").alias("figure"), F.concat((k * 3).cast("string"), F.lit(" of 75")).alias("value"))
+    lines = nation.select(k.alias("lineno"), F.concat(F.lit("we sent (**"), (k * 3 + F.when(k % 4 == 0, 1).otherwise(0)).cast("string"), F.lit(" of 75**)<!--@"), F.col("n_name"), F.lit("-->")).alias("line"))
+    shown = lines.select("lineno", F.explode(T.markers(F.col("line"))).alias("m")).select("lineno", F.col("m.key").alias("key"), F.col("m.text").alias("before"))
+    joined = shown.join(figures, F.col("key") == F.col("figure"), "left").withColumn("shown", T.last_words(F.col("before"), F.col("value")))
     return joined.filter("value is null or shown <> value").select("lineno", "key", F.when(F.col("value").isNull(), "unknown figure").otherwise("mismatch").alias("problem"))
 
 

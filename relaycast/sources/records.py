@@ -24,11 +24,13 @@ def mean_sd_by_tier(runs: DataFrame) -> DataFrame:
     return each.groupBy("tier", "k").agg(F.avg("p").alias("mean"), F.stddev_pop("p").alias("sd"), F.count("p").alias("n"))
 
 
-def write_results(df: DataFrame, path: str) -> None:
-    """The same rows as CSV, JSON and Parquet below ``path``."""
+def write_results(df: DataFrame, path: str, order: list[Column | str] | None = None) -> None:
+    """The same rows as CSV, JSON and Parquet below ``path``; few rows, with an ``order``, as a Markdown table too."""
     df.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
     df.write.mode("overwrite").json(f"{path}/json")
     df.write.mode("overwrite").parquet(f"{path}/parquet")
+    if order:
+        markdown(df, df.columns, order).select("line").write.mode("overwrite").text(f"{path}/markdown")
 
 
 def write_grid(cells: DataFrame, path: str, axes: tuple[str, ...] = ("hardware", "tier", "adaptation", "policy")) -> None:

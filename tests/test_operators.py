@@ -272,8 +272,16 @@ def test_run_records(spark, tmp_path):
     cells = spark.createDataFrame([("h", "t", "f", "p", 1)], "hardware string, tier string, adaptation string, policy string, n int")
     records.write_grid(cells, f"{tmp_path}/grid")
     assert records.lookup(spark.read.parquet(f"{tmp_path}/grid"), hardware="h", tier="t").count() == 1
-    records.write_results(cells, f"{tmp_path}/out")
+    records.write_results(cells, f"{tmp_path}/out", ["tier"])
+    assert [r.value for r in spark.read.text(f"{tmp_path}/out/markdown").collect()][1:] == ["|---|---|---|---|---|", "| h | t | f | p | 1 |"]
     assert spark.read.option("header", True).csv(f"{tmp_path}/out/csv").count() == 1
     assert records.checksums(spark, f"{tmp_path}/a-s0.json").first().md5
     log = spark.createDataFrame([(0, "old"), (1, "old")], "window long, operator_note string")
     assert [r.operator_note for r in records.with_notes(log, spark.createDataFrame([(1, "new")], "window long, note string")).orderBy("window").collect()] == [None, "new"]
+
+
+def test_published_text(spark):
+    rows = [("so (**0.720 ± 0.004**).", "0.720 ± 0.004", "- {a_b}.\nyield of {a}\r\n**{b}**, {c}"), ("-0.047", "-0.047", None), ("", "1", "no figure"), ("ten of 75", "10 of 75", "")]
+    out = spark.createDataFrame(rows, "shown string, value string, t string").select(text.last_words(F.col("shown"), F.col("value")).alias("w"), text.misplaced(F.col("t")).alias("m")).collect()
+    assert [r.w for r in out] == ["0.720 ± 0.004", "-0.047", "", "ten of 75"]
+    assert [r.m for r in out] == [["yield of {a}"], [], [], []]
