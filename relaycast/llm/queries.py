@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, with_workers
-from . import bpe, chat, decontaminate, factorisation_machine, language_id, line_dedup, near_dedup, quality_rules, sstable, substring_dedup
+from . import bpe, chat, decontaminate, factorisation_machine, language_id, line_dedup, near_dedup, quality_rules, sentencepiece_bpe, source_audit, spelling, sstable, substring_dedup
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -95,6 +95,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.encode_decode(table(with_workers(spark), sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), digests=True)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(with_workers(spark), sf_dir, "documents"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_audit(table(with_workers(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -108,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_bpe_encode_decode,
         op10_line_dedup,
+        op11_sentencepiece,
+        op12_spelling_variants,
+        op13_source_audit,
     )
 }
 
@@ -184,4 +199,65 @@ SELECT docs.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coales
 FROM docs LEFT JOIN kept ON kept.doc_id = docs.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_near_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op10_line_dedup": OP10_SQL}
+#: The checksum goes through a table of 256 entries that the query makes from the polynomial.
+OP12_SQL = rf"""
+WITH RECURSIVE docs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, {_LOWER} AS text FROM documents),
+runs AS (SELECT id, unnest(regexp_extract_all(text, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM docs),
+table_ AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b)
+), distinct_ AS (SELECT id, run, count(*) AS times FROM runs GROUP BY ALL),
+bytes AS (
+  SELECT id, run, times, list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT)) AS b FROM (SELECT id, run, times, hex(encode(id || ':' || run)) AS h FROM distinct_)
+), summed AS (
+  SELECT id, run, times, xor(list_reduce(b, lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), 4294967295), 4294967295) AS h FROM bytes, table_
+), words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, times FROM summed
+  ) WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+), cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words),
+less AS (SELECT word, n, p, word[1 : p - 1] || word[p + 1 :] AS rest FROM cut),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+forms AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM words LEFT JOIN best ON best.word = words.word
+), chain AS (
+  SELECT word, word AS last_, 0 AS steps FROM forms UNION ALL SELECT chain.word, forms.form, steps + 1 FROM chain JOIN forms ON forms.word = chain.last_ WHERE forms.form IS NOT NULL
+)
+SELECT forms.*, root FROM forms JOIN (SELECT word, arg_max(last_, steps) AS root FROM chain GROUP BY word) USING (word)
+"""
+
+OP13_SQL = rf"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all({_LOWER}, '[a-z\x{{80}}-\x{{10FFFF}}]+') AS w, row_number() OVER () AS r FROM documents),
+per_doc AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+counted AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM per_doc GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM counted GROUP BY lang, term HAVING sum(docs) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+totals AS (SELECT lang, source, sum(n) AS total FROM cells GROUP BY lang, source),
+weighed AS (
+  SELECT c.lang, c.source, c.term, c.n, 1 + (1000000000::HUGEINT * (c.n + 5)::HUGEINT) // (t.total + 5 * l.v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (c.lang_n + 5)::HUGEINT) // (l.total + 5 * l.v)::HUGEINT AS q
+  FROM cells c JOIN totals t ON t.lang = c.lang AND t.source = c.source JOIN langs l ON l.lang = c.lang
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM weighed a JOIN weighed b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM weighed WHERE n > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+SELECT lang, source, part, item, value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": OP2_SQL,
+    "op4_near_dedup": OP4_SQL,
+    "op6_substring_dedup": OP6_SQL,
+    "op7_chat_format": OP7_SQL,
+    "op10_line_dedup": OP10_SQL,
+    "op12_spelling_variants": OP12_SQL,
+    "op13_source_audit": OP13_SQL,
+}
