@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 #: Splits that describe the same items and must not be read together.
 FORBIDDEN = (frozenset({"test_novel_all", "test_novel_byclass"}),)
 
@@ -45,11 +46,8 @@ def keep_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def concatenate(rows: DataFrame, split: str, order: str) -> DataFrame:
-    """idx over all splits in order: a split's rows number from the sum of those before it."""
-    base = rows.groupBy(split).agg(F.count("*").alias("_n"))
-    base = base.select(split, F.coalesce(F.sum("_n").over(W.orderBy(split).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    own = rows.withColumn("_k", F.row_number().over(W.partitionBy(split).orderBy(order)) - 1)
-    return own.join(base, split).withColumn("idx", (F.col("_k") + F.col("_base")).cast("long")).drop("_k", "_base")
+    """idx over all splits in order: one numbering of the whole table, splits of any size."""
+    return numbered(rows, split, order, name="idx")
 
 
 def leaks(path: Column, name: str) -> Column:
@@ -60,8 +58,3 @@ def leaks(path: Column, name: str) -> Column:
 
 def missing(*columns: str) -> Column:
     return F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns]))
-
-
-def fingerprint(line: Column) -> Column:
-    """Aggregate: sha256 over the sorted lines, each with its newline."""
-    return F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\n")), 256)

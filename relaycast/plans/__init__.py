@@ -1,6 +1,6 @@
 """Queries over the driver's tables, by family."""
 
-from . import catalog, extras, missions, models, records, reports, scoring, streams, summary
+from . import arrays, catalog, extras, missions, models, records, reports, scoring, streams, summary
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "extras", "missions", "models", "records", "reports", "scoring", "streams", "summary"]
+__all__ = ["ORACLE_SQL", "QUERIES", "arrays", "catalog", "extras", "missions", "models", "records", "reports", "scoring", "streams", "summary"]

@@ -7,9 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..operators import digests
 from ..operators import integrity as I
+from ..operators.numbering import numbered
 from ..session import table
-from .registry import MISSION, longs, mission, query
+from .registry import MISSION, digest_tree_sql, longs, mission, query
 
 
 @query("SELECT event_type AS class, count(*) AS n FROM events GROUP BY 1")
@@ -27,11 +29,14 @@ def mission_composition(spark, sf_dir):
     return mission(spark, sf_dir).groupBy("grp").agg(F.count("*").alias("n"), F.sum("bits").alias("bits"))
 
 
-@query("""SELECT event_type AS class, CAST(count(*) AS BIGINT) AS n, min(event_id) AS first_index, max(event_id) AS last_index,
-  sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS order_sha256 FROM events GROUP BY 1""")
+@query(f"""WITH lines AS (SELECT event_type AS key, lpad(CAST(event_id AS VARCHAR), 20, '0') AS line FROM events), {digest_tree_sql("lines")}, ids AS (SELECT event_type AS class, min(event_id) AS first_index, max(event_id) AS last_index FROM events GROUP BY 1)
+  SELECT class, n_lines AS n, first_index, last_index, digest AS order_sha256 FROM ids JOIN tree_root ON tree_root.key = class""")
 def group_by_split(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("class")).agg(F.array_sort(F.collect_list("event_id")).alias("i"))
-    return rows.select("class", F.size("i").cast("long").alias("n"), F.get("i", F.lit(0)).alias("first_index"), F.element_at("i", -1).alias("last_index"), F.sha2(F.array_join(F.col("i").cast("array<string>"), ","), 256).alias("order_sha256"))
+    """A class's rows in order, as a digest tree: no class is gathered."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("class"), "event_id")
+    made = digests.roots(digests.tree(rows, "class", F.lpad(F.col("event_id").cast("string"), 20, "0")))
+    ends = rows.groupBy("class").agg(F.min("event_id").alias("first_index"), F.max("event_id").alias("last_index"))
+    return ends.join(made.withColumnRenamed("key", "class"), "class").select("class", F.col("n_lines").alias("n"), "first_index", "last_index", F.col("digest").alias("order_sha256"))
 
 
 @query("""SELECT lang AS split, count(*) AS n, count(DISTINCT text) AS n_unique, count(*) FILTER (WHERE l.quality IS NULL) AS n_unlabelled
@@ -70,11 +75,11 @@ def filename_parse(spark, sf_dir):
 
 
 @query(f"""WITH {NAMES}, p AS (SELECT doc_id, name, TRY_CAST(nullif(regexp_extract(name, '(?i)sol[_\\-]?(\\d{{1,6}})', 1), '') AS BIGINT) AS sol, TRY_CAST(nullif(regexp_extract(name, '(?i)mcam(\\d+)', 1), '') AS BIGINT) AS seq FROM names)
-  SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY coalesce(sol, 1000000000), coalesce(seq, 1000000000), name) AS place FROM p""")
+  SELECT doc_id, row_number() OVER (ORDER BY coalesce(sol, 1000000000), coalesce(seq, 1000000000), name) AS place FROM p""")
 def filename_order(spark, sf_dir):
     far = F.lit(1_000_000_000)
-    w = W.partitionBy(F.col("doc_id") % 16).orderBy(F.coalesce(L.parse_sol(F.col("name")), far), F.coalesce(L.parse_sequence(F.col("name")), far), "name")
-    return longs(names(spark, sf_dir).select("doc_id", F.row_number().over(w).alias("place")), "place")
+    own = names(spark, sf_dir).select("doc_id", "name", F.coalesce(L.parse_sol(F.col("name")), far).alias("sol"), F.coalesce(L.parse_sequence(F.col("name")), far).alias("seq"))
+    return numbered(own, "sol", "seq", "name", start=1).select("doc_id", "place")
 
 
 FIELDS = """fields AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN 'veins|drt' WHEN doc_id % 5 = 2 THEN 'scuff||' || lang WHEN doc_id % 5 = 3 THEN 'meteorite' ELSE lang || '|other' END AS field FROM documents)"""
@@ -151,10 +156,24 @@ def missing_field_audit(spark, sf_dir):
     return both.select("doc_id", F.array_join(I.missing("quality", "toxic"), ",").alias("missing"))
 
 
-@query("""SELECT lang AS class, sha256(string_agg(source || '|' || doc_id || '|' || n_chars, chr(10) ORDER BY source || '|' || doc_id || '|' || n_chars) || chr(10)) AS fingerprint FROM documents GROUP BY lang""")
+@query(f"""WITH lines AS (SELECT lang AS key, source || '|' || doc_id || '|' || n_chars AS line FROM documents), {digest_tree_sql("lines")} SELECT key AS class, digest AS fingerprint, n_lines FROM tree_root""")
 def fingerprint_sha(spark, sf_dir):
     line = F.concat_ws("|", "source", F.col("doc_id").cast("string"), F.col("n_chars").cast("string"))
-    return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("class")).agg(I.fingerprint(line).alias("fingerprint"))
+    made = digests.tree(table(spark, sf_dir, "documents"), "lang", line)
+    return digests.roots(made).select(F.col("key").alias("class"), F.col("digest").alias("fingerprint"), "n_lines")
+
+
+@query(f"""WITH lines AS (SELECT lang AS key, lpad(CAST(doc_id AS VARCHAR), 20, '0') || ' ' || sha256(text) AS line FROM documents),
+  edited AS (SELECT lang AS key, lpad(CAST(doc_id AS VARCHAR), 20, '0') || ' ' || sha256(CASE WHEN quality = 0 AND toxic = 1 THEN text || '.' ELSE text END) AS line FROM documents LEFT JOIN labels USING (doc_id)),
+  {digest_tree_sql("lines", "a")}, {digest_tree_sql("edited", "b")}
+  SELECT key AS class, node FROM a_0 FULL JOIN b_0 USING (key, node) WHERE a_0.digest IS DISTINCT FROM b_0.digest""")
+def changed_runs(spark, sf_dir):
+    """Runs of rows that an edit of some texts changed, found by descending both trees."""
+    both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    name = F.lpad(F.col("doc_id").cast("string"), 20, "0")
+    text = F.when((F.col("quality") == 0) & (F.col("toxic") == 1), F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    old, new = (digests.tree(both, "lang", F.concat_ws(" ", name, F.sha2(t, 256))) for t in (F.col("text"), text))
+    return digests.changed(old, new).select(F.col("key").alias("class"), "node")
 
 
 @query("SELECT idx, place FROM (SELECT event_id AS idx, event_type, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS place FROM events) WHERE place <= 25")
@@ -163,7 +182,7 @@ def limit_per_split(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 25").select(F.col("event_id").alias("idx"), "place")
 
 
-@query("""WITH c(split, pos) AS (VALUES ('en', 0), ('fr', 1)) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id % 8 ORDER BY coalesce(pos, 99), lang, doc_id) AS BIGINT) AS place FROM documents LEFT JOIN c ON lang = split""")
+@query("""WITH c(split, pos) AS (VALUES ('en', 0), ('fr', 1)) SELECT doc_id, CAST(row_number() OVER (ORDER BY coalesce(pos, 99), lang, doc_id) AS BIGINT) AS place FROM documents LEFT JOIN c ON lang = split""")
 def custom_split_order(spark, sf_dir):
     pos = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).otherwise(99)
-    return longs(table(spark, sf_dir, "documents").select("doc_id", F.row_number().over(W.partitionBy(F.col("doc_id") % 8).orderBy(pos, "lang", "doc_id")).alias("place")), "place")
+    return numbered(table(spark, sf_dir, "documents").select("doc_id", "lang", pos.alias("pos")), "pos", "lang", "doc_id", start=1).select("doc_id", "place")

@@ -13,6 +13,7 @@ from ..operators import pca, prefilter
 from ..operators import replay as R
 from ..operators import selection as S
 from ..operators import windows as N
+from ..operators.numbering import numbered
 from ..session import table, with_workers
 from .registry import MISSION, longs, mission, query
 
@@ -43,10 +44,11 @@ def anchored_windows_by_user(spark, sf_dir):
     return N.anchored_windows(mission(spark, sf_dir), LENGTH, ["user_id"]).select("user_id", "window", "first_sol")
 
 
-@query(f"WITH {MISSION} SELECT idx, CAST(row_number() OVER (PARTITION BY user_id ORDER BY sol NULLS LAST, idx) - 1 AS BIGINT) AS place FROM mission")
+@query(f"WITH {MISSION} SELECT idx, CAST(row_number() OVER (ORDER BY CASE WHEN grp <> 'excluded' THEN sol END NULLS LAST, class, idx) - 1 AS BIGINT) AS place FROM mission")
 def mission_order_rownum(spark, sf_dir):
-    w = W.partitionBy("user_id").orderBy(F.col("sol").asc_nulls_last(), "idx")
-    return longs(mission(spark, sf_dir).select("idx", (F.row_number().over(w) - 1).alias("place")), "place")
+    """One mission-wide index; frames without a day (excluded ones are taken as undated) come last."""
+    dated = mission(spark, sf_dir).select("idx", "class", F.when(F.col("grp") != "excluded", F.col("sol")).alias("sol"))
+    return numbered(dated, F.col("sol").asc_nulls_last(), "class", "idx").select("idx", "place")
 
 
 @query(f"""WITH RECURSIVE {MISSION}, {CHAIN}, t AS (SELECT sum(bits) AS bits, count(*) AS n FROM mission), k AS (SELECT count(*) AS k FROM win)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from ..session import table
 from .registry import MISSION, mission, query
 
@@ -65,7 +65,7 @@ def frame_predicates(spark, sf_dir):
     return mission(spark, sf_dir).select("idx", (~F.col("class").isin("view", "click")).alias("is_novel"), (g == "natural").alias("is_natural"), (g == "rover").alias("is_rover"))
 
 
-@query(f"""WITH {MISSION}, l AS (SELECT user_id, count(*) AS n, sum(bits) AS cost FROM mission GROUP BY 1) SELECT user_id, row_number() OVER (PARTITION BY user_id % 16 ORDER BY cost DESC, user_id) AS place FROM l""")
+@query(f"""WITH {MISSION}, l AS (SELECT user_id, count(*) AS n, sum(bits) AS cost FROM mission GROUP BY 1) SELECT user_id, row_number() OVER (ORDER BY cost DESC, user_id) AS place FROM l""")
 def longest_lane_first(spark, sf_dir):
     cost = mission(spark, sf_dir).groupBy("user_id").agg(F.sum("bits").alias("cost"))
-    return cost.select("user_id", F.row_number().over(W.partitionBy(F.col("user_id") % 16).orderBy(F.desc("cost"), "user_id")).cast("long").alias("place"))
+    return numbered(cost, F.desc("cost"), "user_id", start=1).select("user_id", "place")

@@ -45,3 +45,15 @@ def mission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def longs(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+def digest_tree_sql(lines: str, name: str = "tree", run: int = 64, levels: int = 5) -> str:
+    """CTEs ``name``_0 (leaves) to ``name``_root of the digest tree over ``lines`` (key, line); levels above the root pass it on."""
+    out = [
+        f"{name}_lines AS (SELECT key, line, row_number() OVER (PARTITION BY key ORDER BY line) - 1 AS place FROM {lines})",
+        f"{name}_0 AS (SELECT key, place // {run} AS node, sha256(string_agg(line || chr(10), '' ORDER BY place)) AS digest, count(*) AS n_lines FROM {name}_lines GROUP BY key, place // {run})",
+    ]
+    for k in range(1, levels + 1):
+        made = "CASE WHEN max(max(node)) OVER (PARTITION BY key) = 0 THEN any_value(digest) ELSE sha256(string_agg(digest || chr(10), '' ORDER BY node)) END"
+        out.append(f"{name}_{k if k < levels else 'root'} AS (SELECT key, node // {run} AS node, {made} AS digest, CAST(sum(n_lines) AS BIGINT) AS n_lines FROM {name}_{k - 1} GROUP BY key, node // {run})")
+    return ", ".join(out)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import cost as C
 from ..functions import vectors as V
+from ..operators import quantiles
 from ..operators import ranking as K
-from ..session import table
+from ..session import stored, table
 from .registry import MISSION, longs, mission, query
 
 RANKED = """r AS (SELECT event_id AS idx, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS y, value AS s FROM events),
@@ -133,8 +134,17 @@ def frame_stats(spark, sf_dir):
   SELECT vec_id, round(128.0::DOUBLE * CASE WHEN m > 0 THEN least(4, greatest(0.25, sqrt(g / m))) ELSE 1 END, 5) AS bits FROM t, m""")
 def texture_bits_median(spark, sf_dir):
     graded = frames(spark, sf_dir).select("vec_id", V.gradient(F.col("p"), SIDE, SIDE, SIDE).alias("g"))
-    mid = graded.agg(F.median("g").alias("m"))
-    return graded.crossJoin(F.broadcast(mid)).select("vec_id", F.round(C.texture_bits(F.col("g"), F.col("m"), C.frame_bits(F.lit(64))), 5).alias("bits"))  # one row
+    graded = stored(graded, "gradients")
+    return graded.select("vec_id", F.round(C.texture_bits(F.col("g"), F.lit(quantiles.median(graded, "g")), C.frame_bits(F.lit(64))), 5).alias("bits"))
+
+
+@query("""WITH e AS (SELECT unnest([0, 25, 50, 75, 100]) AS pct, n FROM (SELECT count(value) AS n FROM events)), o AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k FROM events WHERE value IS NOT NULL)
+  SELECT CAST(pct AS BIGINT) AS percent, value FROM e JOIN o ON k = pct * (n - 1) // 100""")
+def exact_percentiles(spark, sf_dir):
+    """Values at fixed places of the whole order, by histograms."""
+    rows = table(spark, sf_dir, "events").select("value")
+    n = rows.filter("value is not null").count()
+    return spark.createDataFrame([(p, quantiles.kth(rows, "value", p * (n - 1) // 100)) for p in (0, 25, 50, 75, 100)] if n else [], "percent long, value double")
 
 
 @query(f"""WITH {EMB}, m AS (SELECT list(a ORDER BY i) AS mu FROM (SELECT i, avg(p[i + 1]) AS a FROM e, (SELECT unnest(range(64)) AS i) GROUP BY i)), c AS (SELECT vec_id, list_transform(range(1, 65), lambda i: p[i] - mu[i]) AS d FROM e, m),
