@@ -39,7 +39,8 @@ class Audit(NamedTuple):
     added: int = 5  # to each count
     scale: int = 1_000_000_000
     top: int = 50  # terms a group
-    block_cells: int = 500_000  # stored cells of a column block, on average
+    block_cells: int = 20_000  # stored cells of a column block, on average, or as many as it makes pairs, whichever is more
+    most_cells: int = 2_000_000  # but no more than these
 
 
 def group_slices(words: X.Words, digest: Callable = xxhash.xxh3_64_intdigest) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +154,8 @@ def source_audit(docs: DataFrame, audit: Audit = Audit()) -> DataFrame:
     terms = kept.select("lang", "term", "lang_n").distinct().groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("cells"))
     groups = cells.filter("term is null").select("lang", "source").join(sums, ["lang", "source"], "left").join(terms, "lang", "left").na.fill(0, ["total", "cells", "v", "lang_total"])
-    size = groups.groupBy("lang").agg(F.greatest(F.lit(1), F.ceil(F.sum("cells") / audit.block_cells)).cast("int").alias("blocks"))
+    wide = F.least(F.greatest(F.count("*") * F.count("*"), F.lit(audit.block_cells)), F.lit(max(audit.most_cells, audit.block_cells)))
+    size = groups.groupBy("lang").agg(F.greatest(F.lit(1), F.ceil(F.sum("cells") / wide)).cast("int").alias("blocks"))
     groups = stored(groups.join(size, "lang"), "groups")
 
     def weight(n, total):

@@ -252,7 +252,7 @@ def audited(rows, audit):
     return sorted(out)
 
 
-@pytest.mark.parametrize("audit", [source_audit.Audit(), source_audit.Audit(min_docs=3, block_cells=50), source_audit.Audit(min_docs=1000)])
+@pytest.mark.parametrize("audit", [source_audit.Audit(), source_audit.Audit(min_docs=3, block_cells=50, most_cells=60), source_audit.Audit(min_docs=1000)])
 def test_op13(spark, sf_dir, audit):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang", "source")
     assert sorted(map(tuple, source_audit.source_audit(docs, audit).collect())) == audited(docs.collect(), audit)
