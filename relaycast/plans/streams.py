@@ -1,45 +1,48 @@
-"""Streaming forms of the mission queries."""
+"""Streaming forms of the mission queries: a table lands in order of days, part by part, and a last row ends the stream."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..session import table, with_workers
+from ..session import table
 from ..streaming import replay as S
 from .registry import query
 
-#: Past every day: an event there ends a run.
+#: Past every day: an event there ends the stream.
 FLUSH = 10_000
+#: Parts in which a table lands.
+PARTS = 3
 
 
-def event_stream(spark, sf_dir):
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(sf_dir, pathGlobFilter="events.parquet")
+def _parts(rows, at, end):
+    """``rows`` by the numeric column ``at`` in ranges of equal width, then the row that ends the stream."""
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        return [end]
+    width = (high - low) // PARTS + 1
+    return [*(rows.filter((F.col(at) >= low + k * width) & (F.col(at) < low + (k + 1) * width)) for k in range(PARTS)), end]
 
 
 @query()
 def stream_replay(spark, sf_dir):
-    with_workers(spark)
     e = F.col("event_type")
-
-    def frames(events):
-        return events.select(
-            (F.col("user_id") % 4).cast("string").alias("run"),
-            F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("sol"),
-            F.col("event_id").alias("idx"),
-            (e == "purchase").alias("natural"),
-            (F.char_length("props") * 8).cast("double").alias("bits"),
-            F.col("value").alias("score"),
-        )
-
-    ends = frames(table(spark, sf_dir, "events")).groupBy("run").agg(F.max(F.struct("sol", "idx")).alias("end"))
-    return S.run_once(S.replay_stream(S.flushed(frames(event_stream(spark, sf_dir)), ends, FLUSH), 4, 10, 6000.0, FLUSH), f"replay_{uuid.uuid4().hex[:8]}")
-
-
-@query("""SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type AS class, count(*) AS n, round(sum(value), 4) AS value FROM events WHERE ts < (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY 1, 2""")
+    frames = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 4).cast("string").alias("run"),
+        F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("sol"),
+        F.col("event_id").alias("idx"),
+        (e == "purchase").alias("natural"),
+        (F.char_length("props") * 8).cast("double").alias("bits"),
+        F.col("value").alias("score"),
+    )
+    end = spark.createDataFrame([(None, FLUSH, None, None, None, None)], frames.schema)
+    got = S.played(spark, _parts(frames, "sol", end), lambda s: S.replay_stream(s, 4, 10, 6000.0, FLUSH), "replay")
+    return got.filter("kind = 'window'").select("run", "window", "first_sol", "last_sol", "n_arrived", "n_buffered", "n_selected", "n_expired", "bits_used", "sent_natural", "n_late")
+
+
+@query("""SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type AS class, count(*) AS n, round(sum(value), 4) AS value FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""")
 def stream_windowed_counts(spark, sf_dir):
-    events = event_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("class"), "value")
-    got = S.run_once(S.windowed_counts(events, "ts", "1 day", "1 hour"), f"counts_{uuid.uuid4().hex[:8]}")
+    """Every day's counts, the last day's too: the row that ends the stream is 1000 days later, in a window that stays open."""
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("class"), "value").withColumn("s", F.unix_seconds("ts"))
+    end = events.agg((F.max("ts") + F.expr("interval 1000 days")).alias("ts"), F.lit(None).cast("string").alias("class"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("long").alias("s"))
+    got = S.played(spark, _parts(events, "s", end), lambda s: S.windowed_counts(s, "ts", "1 day", "1 hour"), "counts")
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "class", "n", F.round("value", 4).alias("value"))

@@ -1,83 +1,140 @@
-"""The mission as a stream: keyed buffers with carry-over, and windowed counts with a watermark.
+"""The mission as a stream: keyed state with event-time timers, carry-over, and windowed counts with a watermark.
 
-A run's events arrive in order of days. State per run holds the open window, the frames not yet sent with
-their ages, and the running totals; a window closes when an event at or past its end arrives. What comes
-later than the open window's start is late and is counted, not replayed.
+A run's frames arrive in any order within the watermark's delay. What arrives is appended to the run's list of
+frames that no window holds yet; nothing else is rewritten by a batch. A timer stands at the end of the earliest
+window that can be closed, and closes it once the watermark has passed: frames past their age expire, the oldest
+beyond the capacity are evicted, a walk by score under the bit budget sends, and what is left carries over. Only
+then is the carried list written anew. Frames of a window that is closed are late; they are returned as such, each
+in a row of its own, and not replayed. (A time to live isn't used for the age: Spark bounds it to processing time.)
+
+State, checkpoint and output are in the shared folder: a query that stops goes on from its checkpoint.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.selection import walk
-
-OUT = "run string, window long, first_sol long, last_sol long, n_arrived long, n_buffered long, n_selected long, n_expired long, bits_used double, sent_natural long, n_late long"
-STATE = "window long, first_sol long, sols array<long>, idxs array<long>, natural array<boolean>, bits array<double>, score array<double>, arrived long, late long, last_sol long"
-
-
-def close(held: dict, now: int, max_age: int, budget: float) -> tuple[dict, dict]:
-    """What a closing window sends by score under a bit budget, and what it expires."""
-    sol = np.array(held["sols"], np.int64)
-    keep = now - sol <= max_age
-    expired = int((~keep).sum())
-    held = {k: np.array(v)[keep] for k, v in held.items()}
-    order = np.lexsort((held["idxs"], -held["score"].astype(float)))
-    taken = walk(order, held["bits"].astype(float), np.zeros(len(order)), budget, 1.0)
-    left = np.ones(len(order), bool)
+from ..session import shared_path, with_workers
+
+FRAME = "sol long, idx long, natural boolean, bits double, score double"
+COLUMNS = ["sol", "idx", "natural", "bits", "score"]
+#: window rows have idx null; late rows have their frame's sol (as first_sol) and idx, and the window that was next.
+OUT = (
+    "kind string, run string, window long, first_sol long, last_sol long, n_arrived long, n_buffered long, n_selected long, n_expired long, n_evicted long, "
+    "bits_used double, sent_natural long, n_late long, idx long"
+)
+NAMES = [c.split(" ")[0] for c in OUT.split(", ")]
+DAY_MS = 86_400_000
+
+
+def close(held: pd.DataFrame, now: int, max_age: int, budget: float, capacity: int | None = None) -> tuple[dict, pd.DataFrame]:
+    """What a closing window expires, evicts and sends (``held`` has carried and new frames), and what carries over."""
+    fresh = held[now - held["sol"] <= max_age].sort_values(["sol", "idx"], kind="stable")
+    over = 0 if capacity is None else max(0, len(fresh) - capacity)
+    kept = fresh.iloc[over:]
+    order = np.lexsort((kept["idx"].to_numpy(), -kept["score"].to_numpy(float)))
+    taken = walk(order, kept["bits"].to_numpy(float), np.zeros(len(kept)), budget, 1.0)
+    left = np.ones(len(kept), bool)
     left[taken] = False
-    out = {"n_buffered": len(order), "n_selected": len(taken), "n_expired": expired, "bits_used": float(held["bits"][taken].sum()) if taken else 0.0, "sent_natural": int(held["natural"][taken].sum()) if taken else 0}
-    return out, {k: v[left].tolist() for k, v in held.items()}
+    sent = kept.iloc[taken]
+    out = {"n_buffered": len(kept), "n_selected": len(taken), "n_expired": len(held) - len(fresh), "n_evicted": over, "bits_used": float(sent["bits"].sum()), "sent_natural": int(sent["natural"].sum())}
+    return out, kept[left]
+
+
+class Replay(StatefulProcessor):
+    """One run's windows; see the module."""
+
+    def __init__(self, length: int, max_age: int, budget: float, capacity: int | None):
+        self.length, self.max_age, self.budget, self.capacity = length, max_age, budget, capacity
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", FRAME)
+        self.carried = handle.getListState("carried", FRAME)
+        #: next window, first day that isn't in a closed one, earliest waiting day, late frames since the last window
+        self.marks = handle.getValueState("marks", "window long, open_from long, first long, late long")
+
+    def _end(self, first: int) -> int:
+        """The timer of a window that begins then: just before its last moment, as timers fire when passed."""
+        return (first + self.length) * DAY_MS - 1
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        window, open_from, first, late = self.marks.get() or (0, None, None, 0)
+        earliest = first
+        for batch in rows:
+            old = batch["sol"] < open_from if open_from is not None else pd.Series(False, index=batch.index)
+            if old.any():
+                late += int(old.sum())
+                yield pd.DataFrame({"kind": "late", "run": key[0], "window": window, "first_sol": batch["sol"][old], "idx": batch["idx"][old]}).reindex(columns=NAMES)
+            own = batch[~old]
+            if len(own):
+                self.waiting.appendList(_tuples(own))
+                least = int(own["sol"].min())
+                earliest = least if earliest is None else min(earliest, least)
+        if earliest != first:
+            if first is not None:
+                self.handle.deleteTimer(self._end(first))
+            self.handle.registerTimer(self._end(earliest))
+        self.marks.update((window, open_from, earliest, late))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        window, open_from, first, late = self.marks.get()
+        waiting = pd.DataFrame(list(self.waiting.get()), columns=COLUMNS).sort_values("sol", kind="stable")
+        carried = pd.DataFrame(list(self.carried.get()) if self.carried.exists() else [], columns=COLUMNS)
+        rows = []
+        while len(waiting) and self._end(first := int(waiting["sol"].iloc[0])) < passed:
+            cut = int(np.searchsorted(waiting["sol"].to_numpy(), first + self.length))
+            new, waiting = waiting.iloc[:cut], waiting.iloc[cut:]
+            last = int(new["sol"].iloc[-1])
+            done, carried = close(pd.concat([carried, new]) if len(carried) else new, last, self.max_age, self.budget, self.capacity)
+            rows.append({"kind": "window", "run": key[0], "window": window, "first_sol": first, "last_sol": last, "n_arrived": cut, **done, "n_late": late})
+            window, open_from, late = window + 1, first + self.length, 0
+        first = int(waiting["sol"].iloc[0]) if len(waiting) else None
+        for state, left in ((self.waiting, waiting), (self.carried, carried)):
+            if len(left):
+                state.put(_tuples(left))
+            else:
+                state.clear()
+        if first is not None:
+            self.handle.registerTimer(self._end(first))
+        self.marks.update((window, open_from, first, late))
+        if rows:
+            yield pd.DataFrame(rows).reindex(columns=NAMES)
 
+    def close(self) -> None:
+        pass
 
-EMPTY = {"sols": [], "idxs": [], "natural": [], "bits": [], "score": []}
 
+def _tuples(frames: pd.DataFrame) -> list[tuple]:
+    kinds = (int, int, bool, float, float)
+    return [tuple(k(x) for k, x in zip(kinds, row, strict=True)) for row in zip(*(frames[c].tolist() for c in COLUMNS), strict=True)]
 
-def replay_stream(events: DataFrame, length: int, max_age: int, budget: float, flush_sol: int) -> DataFrame:
-    """Closed windows of each run of (run, sol, idx, natural, bits, score); an event at ``flush_sol`` ends a run."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            window, first, *lists, arrived, late, last = state.get
-            held = dict(zip(EMPTY, (list(x) for x in lists), strict=True))
-        else:
-            window, first, held, arrived, late, last = 0, None, {k: [] for k in EMPTY}, 0, 0, -1
-        rows = []
-        for r in pd.concat(list(batches)).sort_values(["sol", "idx"]).itertuples(index=False):
-            if first is not None and r.sol < first:
-                late += 1
-                continue
-            if first is not None and r.sol - first >= length:
-                done, held = close(held, last, max_age, budget)
-                rows.append((key[0], window, first, last, arrived, done["n_buffered"], done["n_selected"], done["n_expired"], done["bits_used"], done["sent_natural"], late))
-                window, first, arrived, late = window + 1, None, 0, 0
-            if r.sol >= flush_sol:
-                break
-            first = r.sol if first is None else first
-            last, arrived = r.sol, arrived + 1
-            for k, v in zip(EMPTY, (r.sol, r.idx, r.natural, r.bits, r.score), strict=True):
-                held[k].append(v)
-        if first is None and not held["sols"]:
-            first = -1 if not rows else first
-        state.update((int(window), None if first is None else int(first), *([int(x) for x in held[k]] if k in ("sols", "idxs") else [bool(x) for x in held[k]] if k == "natural" else [float(x) for x in held[k]] for k in EMPTY), int(arrived), int(late), int(last)))
-        if rows:
-            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in OUT.split(", ")])
+def at_day(sol) -> F.Column:
+    return F.timestamp_millis(sol.cast("long") * DAY_MS)
 
-    return events.groupBy("run").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
+def replay_stream(events: DataFrame, length: int, max_age: int, budget: float, flush_sol: int, capacity: int | None = None, delay: str = "0 days") -> DataFrame:
+    """Windows and late frames of each run of (run, sol, idx, natural, bits, score).
 
-def flushed(events: DataFrame, ends: DataFrame, flush_sol: int) -> DataFrame:
-    """Events with one more after each run's last, at ``flush_sol``; ``ends`` has (run, end: sol and idx), a row a run."""
-    last = ends.select(F.col("run").alias("_run"), "end")
-    both = events.join(F.broadcast(last), F.col("run").eqNullSafe(F.col("_run")), "left")
-    ended = (F.col("sol") == F.col("end.sol")) & (F.col("idx") == F.col("end.idx"))
-    sols = F.when(ended, F.array("sol", F.lit(flush_sol).cast("long"))).otherwise(F.array("sol"))
-    return both.withColumn("sol", F.explode(sols)).select(*events.columns)
+    The watermark follows ``delay`` behind the latest day over all runs. An event at ``flush_sol``, of any run, ends
+    the stream: it is in no window, and lets the last ones close.
+    """
+    with_workers(events.sparkSession)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = events.withColumn("_at", at_day(F.col("sol"))).withWatermark("_at", delay)
+    # Without the time column no frame is dropped before its run has judged it.
+    own = timed.filter(F.col("_at") < at_day(F.lit(flush_sol))).select("run", *COLUMNS)
+    return own.groupBy("run").transformWithStateInPandas(Replay(length, max_age, budget, capacity), OUT, "append", "eventTime")
 
 
 def windowed_counts(events: DataFrame, at: str, every: str, late: str) -> DataFrame:
@@ -85,9 +142,20 @@ def windowed_counts(events: DataFrame, at: str, every: str, late: str) -> DataFr
     return events.withWatermark(at, late).groupBy(F.window(at, every).alias("w"), "class").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "class", "n", "value")
 
 
-def run_once(stream: DataFrame, name: str) -> DataFrame:
-    """All that a finite stream yields, in the memory sink (for results of bounded size)."""
-    spark = stream.sparkSession
-    q = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+def run_on(stream: DataFrame, path: str) -> None:
+    """Runs a query over what is there now, from its checkpoint on; rows are appended below ``path``."""
+    q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+
+
+def played(spark: SparkSession, parts: list[DataFrame], make: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """All rows of ``make(stream)`` for a stream that gets ``parts`` one after another.
+
+    Each part lands in a folder and is one run of the query, which then stops; the next goes on from the checkpoint.
+    """
+    path = shared_path(spark, name)
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/landed")
+        stream = spark.readStream.schema(parts[0].schema).parquet(f"{path}/landed")
+        run_on(make(stream), path)
+    return spark.read.parquet(f"{path}/rows")

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from relaycast.functions import cost, labels, text, vectors
 from relaycast.operators import integrity, pca, ranking, replay, selection, windows
 from relaycast.sources import manifests
-from relaycast.streaming import replay as stream
 
 
 def ranked(spark, rows):
@@ -209,22 +208,6 @@ def test_window_log_round_trip(spark, tmp_path):
     assert manifests.read_window_log(spark, str(tmp_path / "w.jsonl")).count() == len(log)
 
 
-def test_stream_equals_batch_over_split_input(spark, tmp_path):
-    n = 60
-    df = pd.DataFrame({"run": "r", "sol": np.arange(n) // 2, "idx": np.arange(n), "natural": np.arange(n) % 3 == 0, "bits": 100.0, "score": (np.arange(n) * 37 % 11).astype(float)})
-    outs = []
-    for cuts in ([n], [20, 40, n]):
-        d, at = tmp_path / f"s{len(cuts)}", 0
-        d.mkdir()
-        for k, to in enumerate(cuts):
-            df.iloc[at:to].to_parquet(d / f"{k}.parquet")
-            at = to
-        schema = spark.read.parquet(str(d)).schema
-        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(d))
-        outs.append(sorted(map(tuple, stream.run_once(stream.replay_stream(src, 4, 6, 300.0, 10_000), f"t{len(cuts)}").collect())))
-    assert outs[0] == outs[1] and len(outs[0]) >= 6
-
-
 def test_conv_autoencoder_costs_and_transpose():
     from relaycast.operators import models
 
