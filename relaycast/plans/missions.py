@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cost as C
 from ..functions import vectors as V
+from ..operators import occupancy as O
 from ..operators import pca, prefilter
 from ..operators import replay as R
 from ..operators import selection as S
@@ -354,6 +355,19 @@ def buffer_at_window(spark, sf_dir):
     return items.select("user_id").distinct().join(held, "user_id", "left").select("user_id", F.coalesce("n", F.lit(0)).alias("n_held"))
 
 
+@query(f"""WITH {MISSION}, users AS (SELECT DISTINCT user_id FROM mission), days AS (SELECT unnest(range((SELECT min(sol) FROM mission), (SELECT max(sol) + 1 FROM mission))) AS day),
+ b AS (SELECT user_id, sol, bits, grp, CASE WHEN score > 30 THEN sol + CAST(floor(score / 30) AS BIGINT) END AS leave FROM mission)
+ SELECT u.user_id, day, count(b.sol) AS n_held, count(b.sol) FILTER (WHERE grp = 'natural') AS n_natural, coalesce(sum(bits), 0) AS bits
+ FROM users u CROSS JOIN days LEFT JOIN b ON b.user_id = u.user_id AND b.sol <= day AND (leave IS NULL OR leave > day) GROUP BY ALL""")
+def buffer_at_every_window(spark, sf_dir):
+    """What each user's buffer holds on every day, by a sweep over arrivals and departures."""
+    items = mission(spark, sf_dir).withColumn("leave", F.when(F.col("score") > 30, F.col("sol") + F.floor(F.col("score") / 30)))
+    days = items.agg(F.min("sol").alias("a"), F.max("sol").alias("b"))
+    every = items.select("user_id").distinct().crossJoin(F.broadcast(days)).select("user_id", F.explode(F.sequence("a", "b")).alias("at"))  # one row
+    held = O.occupancy(items, ["user_id"], "sol", "leave", {"n_held": "1", "n_natural": "if(grp = 'natural', 1, 0)", "bits": "bits"}, every, ranges=4)
+    return longs(held.withColumnRenamed("at", "day"), "n_held", "n_natural")
+
+
 @query(f"""WITH {MISSION}, s AS (SELECT DISTINCT user_id, sol FROM mission WHERE score > 40), g AS (SELECT user_id, sol, sol - row_number() OVER (PARTITION BY user_id ORDER BY sol) AS g FROM s), r AS (SELECT user_id, min(sol) AS a, max(sol) AS b FROM g GROUP BY user_id, g),
  k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM r)
  SELECT user_id, CAST(sum(b - a + 1) AS BIGINT) AS n_windows, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) WHEN b - a = 1 THEN a || ', ' || b ELSE a || '–' || b END, ', ' ORDER BY a) FILTER (WHERE k <= 8) || CASE WHEN max(n) > 8 THEN ', …' ELSE '' END AS text FROM k GROUP BY user_id""")

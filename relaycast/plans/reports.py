@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import facts
+from ..operators import facts, figures
 from ..operators import replay as R
 from ..session import table
 from .missions import BASE, stats_mission
@@ -53,6 +53,46 @@ def marker_join_mismatch(spark, sf_dir):
     return joined.filter("value is null or shown <> value").select("lineno", "key", F.when(F.col("value").isNull(), "unknown figure").otherwise("mismatch").alias("problem"))
 
 
+FIGURES = "figures AS (SELECT 'ORDER_' || o_orderkey AS key, o_totalprice AS value, format('{:,.2f}', o_totalprice) AS text, 'orders/' || o_orderkey AS source FROM orders)"
+#: Each document quotes its own order with a mark, wrongly in some, and others' totals without one.
+QUOTED = """quoted AS (SELECT d.doc_id, '> in all **' || CASE WHEN doc_id % 5 = 0 THEN '0.01' ELSE f.text END || '**<!--@' || CASE WHEN doc_id % 11 = 0 THEN 'NO_' ELSE '' END || f.key || '-->' || chr(10) || coalesce(d.text, '') || chr(10) || 'beside ' || g.text || ', (' || f.text || ') or 1' || f.text AS text
+  FROM documents d JOIN figures f ON f.key = 'ORDER_' || doc_id JOIN figures g ON g.key = 'ORDER_' || (doc_id + 1))"""
+
+
+def figures_of_orders(spark, sf_dir):
+    k = F.col("o_orderkey").cast("string")
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("ORDER_"), k).alias("key"), F.col("o_totalprice").alias("value"), F.format_number("o_totalprice", 2).alias("text"), F.concat(F.lit("orders/"), k).alias("source"))
+
+
+def quoting(spark, sf_dir, figures):
+    own, other = figures.select(F.col("key").alias("k1"), F.col("text").alias("t1")), figures.select(F.col("key").alias("k2"), F.col("text").alias("t2"))
+    i = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("k1", F.concat(F.lit("ORDER_"), i)).withColumn("k2", F.concat(F.lit("ORDER_"), i + 1))
+    both = docs.join(own, "k1").join(other, "k2")
+    head = F.concat(F.lit("> in all **"), F.when(i % 5 == 0, "0.01").otherwise(F.col("t1")), F.lit("**<!--@"), F.when(i % 11 == 0, "NO_").otherwise(""), F.col("k1"), F.lit("-->\n"))
+    return both.select("doc_id", F.concat(head, F.coalesce("text", F.lit("")), F.lit("\nbeside "), F.col("t2"), F.lit(", ("), F.col("t1"), F.lit(") or 1"), F.col("t1")).alias("text"))
+
+
+@query(f"""WITH {FIGURES}, {QUOTED} SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'NO_' ELSE '' END || 'ORDER_' || doc_id AS key, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN '0.01' ELSE f.text END AS written, CASE WHEN doc_id % 11 <> 0 THEN f.text END AS text, CASE WHEN doc_id % 11 <> 0 THEN source END AS source,
+  CASE WHEN doc_id % 11 = 0 THEN 'unknown figure' WHEN doc_id % 5 = 0 AND f.text <> '0.01' THEN 'mismatch' END AS problem FROM quoted JOIN figures f ON f.key = 'ORDER_' || doc_id""")
+def marked_figures(spark, sf_dir):
+    """Every mark in every document against the figure that it names."""
+    known = figures_of_orders(spark, sf_dir)
+    return figures.marked(quoting(spark, sf_dir, known), known).select("doc_id", "key", "written", "text", "source", "problem")
+
+
+@query(f"""WITH {FIGURES}, {QUOTED}, wanted AS (SELECT text AS figure, min(key) AS key FROM figures WHERE length(text) >= 5 AND value <> 0 GROUP BY 1),
+ lines AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS line_text FROM quoted),
+ runs AS (SELECT doc_id, line, unnest(regexp_extract_all(CASE WHEN line = 1 THEN regexp_replace(line_text, '^.*-->', '') ELSE line_text END, '[0-9.,]+')) AS run FROM lines),
+ cuts AS (SELECT doc_id, line, run, unnest(range(1, length(run) + 1)) AS i FROM runs), parts AS (SELECT doc_id, line, run, i, unnest(range(5, length(run) - i + 2)) AS n FROM cuts WHERE length(run) - i >= 4 AND (i = 1 OR run[i - 1] = ','))
+ SELECT doc_id, key, figure, CAST(line AS BIGINT) AS line, count(*) AS n FROM parts JOIN wanted ON figure = run[i : i + n - 1] WHERE run[i + n] NOT IN ('0', '1', '2', '3', '4', '5', '6', '7', '8', '9') GROUP BY ALL""")
+def unmarked_figures(spark, sf_dir):
+    """Every unmarked occurrence of any of thousands of figures in all documents, by line."""
+    known = figures_of_orders(spark, sf_dir)
+    found = figures.unmarked(quoting(spark, sf_dir, known), known)
+    return found.groupBy("doc_id", "key", "figure", "line").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT n_name, r_name, n_nationkey FROM nation JOIN region ON contains(n_name, CAST(r_regionkey AS VARCHAR))""")
 def regex_theta_join(spark, sf_dir):
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
