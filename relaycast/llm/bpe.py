@@ -3,8 +3,8 @@
 For a new piece the longest vocabulary entries are taken from left to right. A sequence of tokens is the
 encoding of its bytes exactly if every adjacent pair is the encoding of that pair's bytes, so all adjacent
 pairs of all proposals are tested at once with numpy (walking down both tokens' merge trees along their
-common border); only pieces with a failing pair are merged from their bytes in rank order. Encoded pieces
-are kept in a bounded cache of the worker. Whole texts, no shuffle.
+common border); only pieces with a failing pair are merged from their bytes in rank order, of long pieces
+only spans around failing pairs, until both borders hold. Encoded pieces are kept in a bounded cache of the worker. Whole texts, no shuffle.
 
 Defined cases: null and empty texts have no tokens and decode to the empty string; special tokens in a
 text are recognised as the library does; repeated rows are encoded one by one; other columns are ignored.
@@ -13,7 +13,6 @@ text are recognised as the library does; repeated rows are encoded one by one; o
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 from functools import lru_cache
 
@@ -23,8 +22,11 @@ from pyspark.sql import DataFrame
 
 from . import _text as X
 from . import pieces as P
+from ._agenda import Agenda
 
 NEVER = 1 << 40
+#: Failing pieces up to here are merged whole; of longer ones, only spans around failing pairs.
+SHORT = 64
 
 
 class Bpe:
@@ -51,6 +53,10 @@ class Bpe:
         self.pair = known
         self.keys = np.array(sorted(known), np.int64)
         self.made = np.array([known[k] for k in self.keys.tolist()], np.int64)
+        width = np.ones(len(self.left), np.int64)
+        for t in range(256, len(width)):
+            width[t] = width[self.left[t]] + width[self.right[t]]
+        self.agenda = Agenda(self.keys, self.made, self.made, width)
         self.id_of = self._ids(order, vocab)
         self.by_bytes = {bytes(back[c] for c in t): i for t, i in order.items()}
         self._trie()
@@ -158,7 +164,12 @@ class Bpe:
 
     def encode_pieces(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces data[at : at + size] after one another, and how many each has."""
-        flat, sizes = self.propose(data, at, size)
+        # Long pieces are proposed in parts, all at once; the borders between them are tested like all others.
+        parts = np.where(size > SHORT, -(-size // SHORT), 1)
+        piece = np.repeat(np.arange(len(size)), parts)
+        begin = (np.arange(len(piece)) - np.repeat(np.cumsum(parts) - parts, parts)) * SHORT
+        flat, sizes = self.propose(data, at[piece] + begin, np.minimum(size[piece] - begin, np.where(parts[piece] > 1, SHORT, size[piece])))
+        sizes = np.add.reduceat(sizes, np.cumsum(parts) - parts)
         ends = np.cumsum(sizes)
         start = ends - sizes
         inner = np.ones(len(flat), bool)
@@ -167,16 +178,27 @@ class Bpe:
         pairs, back = np.unique(flat[first] << 32 | flat[np.minimum(first + 1, len(flat) - 1)], return_inverse=True)
         wrong = first[~self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]]
         by_length: dict[int, list[int]] = {}
-        for i in np.unique(np.searchsorted(ends, wrong, "right")).tolist():
+        failing = np.unique(np.searchsorted(ends, wrong, "right"))
+        for i in failing[size[failing] <= SHORT].tolist():
             by_length.setdefault(int(size[i]), []).append(i)
+        long = failing[size[failing] > SHORT]
         more, base = [flat], len(flat)
         for n, those in by_length.items():
             strings = [data[at[i] : at[i] + n].tobytes() for i in those]
-            merged = self.merge_all(strings) if n <= 64 else [self.merge(x) for x in strings]
+            merged = self.merge_all(strings)
             sizes[those] = [len(t) for t in merged]
             start[those] = base + np.cumsum(sizes[those]) - sizes[those]
             more.append(np.array([t for m in merged for t in m], np.int64))
             base += len(more[-1])
+        if len(long):
+            doubt = np.zeros(len(flat), bool)
+            doubt[wrong + 1] = True
+            own = P.gather(np.arange(len(flat)), start[long], sizes[long])
+            first = np.zeros(len(own), bool)
+            first[np.cumsum(sizes[long]) - sizes[long]] = True
+            fixed, many = self.agenda.repair(P.gather(data, at[long], size[long]).astype(np.int64), flat[own], first, doubt[own])
+            start[long], sizes[long] = base + np.cumsum(many) - many, many
+            more.append(fixed)
         ids = self.id_of[P.gather(np.concatenate(more), start, sizes)]
         for string, i in self.added.items():  # such a piece is the special token
             same = np.flatnonzero(size == len(string))
@@ -188,23 +210,8 @@ class Bpe:
         return ids, sizes.astype(np.int32)
 
     def merge(self, piece: bytes) -> list[int]:
-        """The same for one long piece, with a heap."""
-        token, n = list(piece), len(piece)
-        after, before, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
-        heap = [(r, i, token[i], token[i + 1]) for i in range(n - 1) if (r := self.pair.get(token[i] << 32 | token[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            made, i, x, y = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or j < 0 or token[i] != x or token[j] != y:
-                continue
-            token[i], alive[j], after[i] = made, False, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for p, q in ((before[i], i), (i, after[i])):
-                if p >= 0 and q >= 0 and (r := self.pair.get(token[p] << 32 | token[q])) is not None:
-                    heapq.heappush(heap, (r, p, token[p], token[q]))
-        return [t for t, a in zip(token, alive, strict=True) if a]
+        """The same for one piece, with a heap."""
+        return self.agenda.one(list(piece))
 
     def encode(self, text: X.Bytes) -> tuple[np.ndarray, np.ndarray]:
         return P.encode_chunk(text, self.cache, self.cutter)

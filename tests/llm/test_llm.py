@@ -612,6 +612,15 @@ def test_speculation_equals_merging():
     assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)] == [own.id_of[own.merge(x)].tolist() for x in strings]
 
 
+@pytest.mark.parametrize("alphabet, most", [("abcdefghijklmnopqrstuvwxyz", 3000), ("ACGT", 3000), ("ab", 400), ("a", 900), ("".join(map(chr, range(0x4E00, 0x5200))), 700), ("éàüß漢字aei", 500), ("0123456789abcdef", 2000)])
+def test_long_pieces_equal_the_library(library, alphabet, most):
+    """Runs of letters without a space: repaired spans give what the library gives."""
+    own, rng = bpe.load(queries.tokenizer_path()), random.Random(9)
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(most // 2, most))) for _ in range(40)]
+    ids, offs = own.encode(X.text_bytes(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def line_runs(docs, alone=20):
     """Lines of each text, the numbers of those with a word, and what goes: pairs of them and long ones that stand earlier."""
     seen, gone, seqs = set(), defaultdict(set), {}
