@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegralType, LongType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +28,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
+
+
+def long_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``doc_id`` as a long; any integer type will do, another type is an error."""
+    kind = docs.schema["doc_id"].dataType
+    if kind == LongType():
+        return docs
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id must be an integer, not {kind.simpleString()}: number the documents first")
+    return docs.withColumn("doc_id", docs["doc_id"].cast("long"))

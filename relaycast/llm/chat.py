@@ -61,8 +61,20 @@ def visit(messages: DataFrame) -> DataFrame:
     parts = F.coalesce("parts", F.array().cast(f"array<{PART}>"))
     segments = F.transform(parts, lambda p, i: F.when(is_text(p), escape(p.text)).otherwise(F.concat(F.lit("<|"), p.kind, F.lit(":"), i.cast("string"), F.lit("|>"))))
     seen = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"), segments.alias("segments"))
-    before = lambda i: F.aggregate(F.slice("segments", 1, i), F.lit(0), lambda a, s: a + F.char_length(s))
-    texts = F.filter(F.transform("segments", lambda s, i: F.struct(before(i).alias("within"), F.char_length(s).alias("chars"), is_text(F.get("parts", i)).alias("text"))), lambda x: x.text)
+    # Offsets: sums of blocks of about the root of the number of parts, and sums inside a block.
+    sized = seen.withColumn("sizes", F.transform("segments", F.char_length)).withColumn("width", F.ceil(F.sqrt(F.greatest(F.size("parts"), F.lit(1)))).cast("int"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    numbers = F.when(F.size("parts") == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / F.col("width")).cast("int")))
+    seen = sized.withColumn("blocks", F.transform(numbers, lambda b: total(F.slice("sizes", b * F.col("width") + 1, F.col("width")))))
+    starts = F.transform("blocks", lambda x, b: F.struct((b * F.col("width")).alias("first"), total(F.slice("blocks", F.lit(1), b)).alias("start")))
+
+    def block(x):
+        return F.transform(
+            F.slice("sizes", x.first + 1, F.col("width")),
+            lambda n, j: F.struct((x.start + total(F.slice("sizes", x.first + 1, j))).alias("within"), n.alias("chars"), is_text(F.get("parts", x.first + j)).alias("text")),
+        )
+
+    texts = F.filter(F.flatten(F.transform(starts, block)), lambda x: x.text)
     attached = F.filter(F.transform("parts", lambda p, i: F.struct(i.alias("part"), p.kind.alias("kind"), p.ref.alias("ref"), tokens(p).alias("tokens"), is_text(p).alias("text"))), lambda x: ~x.text)
     return seen.select("conv_id", "turn", "role", F.array_join("segments", "").alias("body"), texts.alias("texts"), attached.alias("attached"))
 

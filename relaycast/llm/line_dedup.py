@@ -15,7 +15,7 @@ Lines are compared by 64-bit hashes. A shorter line that is repeated alone stays
 combine before their shuffle, are written, and are joined back with one row a key, so a very common line is a
 skew that adaptive execution splits; work is linear in lines, also for a text of one line repeated.
 
-Defined cases: null texts stay null, empty ones empty; lines without a word are no part of a run; rows of one
+Defined cases: identifiers are of any integer type, others are an error; null texts stay null, empty ones empty; lines without a word are no part of a run; rows of one
 identifier with different texts are documents of their own, ordered by the text's hash; equal rows are edited
 alike; a null identifier sorts first; an empty table gives no rows; other columns come along only with ``row``.
 """
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import stored
+from ._store import long_ids, stored
 
 NO_ID = -(1 << 63)
 
@@ -88,6 +88,7 @@ def repeated_runs(found: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame, p: Lines = Lines(), row: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, text without later repeated runs, for every document; with ``row`` its other columns."""
+    docs = long_ids(docs)
     gone = repeated_runs(fingerprints(stored(hashed_lines(docs, p), "lines")))
     source = _identified(docs)
     if row:

@@ -20,7 +20,7 @@
 
 Disk and shuffle: sketches' keys twice, texts once (only those of candidate groups go on as sets).
 
-Defined cases: null or empty texts, or texts without words, have an empty set and link with nothing; fewer
+Defined cases: identifiers are of any integer type, others are an error; null or empty texts, or texts without words, have an empty set and link with nothing; fewer
 words than a shingle make one shingle of all; repeated rows of an identifier are documents of their own that
 share its identifier; a null identifier is kept, in a component of its own; an empty table gives no rows;
 other columns are ignored.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import _text as X
 from ._graph import components
-from ._store import stored
+from ._store import long_ids, stored
 
 
 @dataclass(frozen=True)
@@ -306,6 +306,7 @@ def _under_keys(large: DataFrame, reps: DataFrame, edges: DataFrame, s: Similar)
 
 def near_dedup(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
+    docs = long_ids(docs)
     found = stored(sketches(docs, s), "sketches")
     reps = stored(representatives(found), "reps")
     groups = stored(candidate_groups(reps), "groups")

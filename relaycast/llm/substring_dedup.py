@@ -14,7 +14,7 @@ sorted and counted, and every window but the first (by document, then place) bec
   A bucket is counted from its blobs in as many passes over hashes of windows as its size needs, so a bucket
   that the sample did not foresee takes longer, not more memory.
 
-Windows are compared by 128 bits of hash. Defined cases: null or empty texts have no words; texts with fewer
+Windows are compared by 128 bits of hash. Defined cases: identifiers are of any integer type, others are an error; null or empty texts have no words; texts with fewer
 words than a window keep all; rows of one identifier with different texts count as documents of their own,
 ordered by the text's hash; rows equal in identifier and text get the same result as one such row; a null
 identifier sorts first; an empty table gives no rows; other columns are ignored.
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import _text as X
 from . import pieces as P
+from ._store import long_ids
 
 NO_ID = -(1 << 63)
 
@@ -325,6 +326,7 @@ def removal_ranges(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words of every document, one space between."""
+    docs = long_ids(docs)
     found = removal_ranges(docs, p)
     source = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("text_hash"))
     both = source.join(found, ["id", "text_hash"], "left").select("doc_id", "text", "ranges")

@@ -491,6 +491,35 @@ def test_op7_parts(spark):
     assert r.attachment_tokens == 565 and [r.formatted[m.start : m.start + m.chars] for m in r.loss] == ["yes"]
 
 
+def test_op7_very_many_parts(spark):
+    """Offsets of 16,000 parts are right, and a message's time doesn't follow the square of its parts."""
+    import time
+
+    def message(n):
+        parts = [("text", f"a{i}", None, None, None, None, None) if i % 3 else ("image", None, "r", 32, 32, None, None) for i in range(n)]
+        return spark.createDataFrame([(1, 0, "assistant", parts)], f"conv_id long, turn int, role string, parts array<{chat.PART}>")
+
+    took = {}
+    for n in (1000, 16_000):
+        began = time.time()
+        (r,) = chat.format_chats(message(n)).collect()
+        took[n] = time.time() - began
+        assert [r.formatted[m.start : m.start + m.chars] for m in r.loss] == [f"a{i}" for i in range(n) if i % 3]
+    assert took[16_000] < 4 + 8 * took[1000]
+
+
+def test_identifier_types(spark):
+    """Integers of any width give the same; others fail with one message."""
+    rows = [(i, "same words in every text of these few rows " * 5 + ("x" if i == 2 else ""), "en", "s", 1) for i in range(4)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for run in (near_dedup.near_dedup, substring_dedup.substring_dedup, line_dedup.line_dedup):
+        want = sorted(map(tuple, run(docs).collect()))
+        for kind in ("int", "smallint"):
+            assert sorted(map(tuple, run(docs.withColumn("doc_id", F.col("doc_id").cast(kind))).collect())) == want
+        with pytest.raises(TypeError, match="doc_id must be an integer, not string"):
+            run(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_op7_odd(spark):
     rows = [(1, None, None, None), (1, 0, "assistant", "same"), (1, 0, "assistant", "same"), (None, 1, "user", "x"), (2, 5, "assistant", "y" * 50_000)]
     df = clashing(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
