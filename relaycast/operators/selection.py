@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import with_workers
 
 METHODS = ("score_first", "greedy_ratio", "random")
-_PLAN = "total_value double, used_bits double, used_cycles double, selected array<bigint>, n_candidates bigint, binding_constraint string"
+_PLAN = "total_value double, used_bits double, used_cycles double, selected array<bigint>, binding_constraint string"
 
 
 def validated(items: DataFrame) -> DataFrame:
@@ -50,42 +50,77 @@ def ordered(v: np.ndarray, b: np.ndarray, c: np.ndarray, budget_b: float, budget
     return np.lexsort((place, -np.divide(v, cost, out=np.full(len(v), np.inf), where=cost > 0)))
 
 
-def select(v, b, c, budget_b, budget_c, method: str, seed: int = 0, weights: int = 21) -> tuple[list[int], float | None]:
-    """Indices taken, and for a sweep the first best weight."""
-    if method != "greedy_sweep":
-        return walk(ordered(v, b, c, budget_b, budget_c, method, seed=seed), b, c, budget_b, budget_c), None
-    best = None
-    for w in np.linspace(0, 1, max(2, weights)):
-        taken = walk(ordered(v, b, c, budget_b, budget_c, "greedy_ratio", float(w)), b, c, budget_b, budget_c)
-        value = float(sum(v[i] for i in taken))
-        if best is None or value > best[1]:
-            best = (taken, value, float(w))
-    return best[0], best[2]
+def reachable(items: DataFrame, keys: list[str], method: str) -> DataFrame:
+    """Items that a walk by score or by ratio can take, and two more of each cost.
+
+    Items of equal costs come in order, so of each cost no more than fit a budget are ever taken: the ranks beyond are
+    cut, as far as Spark can below its shuffle. One more stays for rounding, and one that tells what was left behind.
+    """
+    if method == "random":
+        return items
+    part = [F.when(F.col(x) > 0, F.floor(F.col(f"budget_{x}") / F.col(x))) for x in ("b", "c")]
+    fits = F.least(*part) + 2  # null costs nothing
+    most = items.select(F.max(fits)).first()[0]
+    if most is None or most >= 1 << 31:
+        return items
+    if most > int(items.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        items.sparkSession.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(most))
+    by = W.partitionBy(*keys, "b", "c").orderBy(F.desc(_value(items, method)), "idx")
+    costly = items.filter("b > 0 or c > 0").withColumn("_r", F.row_number().over(by))
+    return costly.filter((F.col("_r") <= int(most)) & (F.col("_r") <= fits)).drop("_r").unionByName(items.filter("not (b > 0 or c > 0)"))
+
+
+def _value(items: DataFrame, method: str) -> F.Column:
+    """What a walk goes by, in the arithmetic of ``ordered``; ``_weight`` is the blend where it varies."""
+    if method == "score_first":
+        return F.col("v")
+    w = F.col("_weight") if "_weight" in items.columns else F.lit(0.5)
+    cost = w * (F.col("b") / F.col("budget_b")) + (1.0 - w) * (F.col("c") / F.col("budget_c"))
+    return F.when(cost > 0, F.col("v") / cost).otherwise(F.lit(float("inf")))
 
 
 def greedy(items: DataFrame, keys: list[str], method: str) -> DataFrame:
-    """One plan for each group of items (idx, v, b, c, budget_b, budget_c): a walk over numpy arrays, linear in the group.
+    """One plan for each group of items (idx, v, b, c, budget_b, budget_c): a walk over numpy arrays, linear in what a
+    group can reach.
 
-    The sequential walk needs a group's candidates in order, so these are one task's numbers; groups run in parallel.
+    The sequential walk needs those candidates in order, so they are one task's numbers; groups run in parallel.
     """
     return greedy_arrow(items, keys, method).drop("best_weight")
 
 
-def greedy_arrow(items: DataFrame, keys: list[str], method: str, seed: int = 0) -> DataFrame:
-    """``greedy`` with the weight that a sweep found best; sums run in the order of the walk."""
+def greedy_arrow(items: DataFrame, keys: list[str], method: str, seed: int = 0, weights: int = 21) -> DataFrame:
+    """``greedy`` with the weight that a sweep found best; sums run in the order of the walk.
+
+    A sweep walks every weight in a task of its own and takes the first best one.
+    """
     with_workers(items.sparkSession)
-    key_schema = ", ".join(f"{k} {items.schema[k].dataType.simpleString()}" for k in keys)
+    sweep = method == "greedy_sweep"
+    own = items.withColumn("_weight", F.explode(F.array(*[F.lit(float(w)) for w in np.linspace(0, 1, max(2, weights))]))) if sweep else items
+    by = [*keys, "_weight"] if sweep else keys
+    some = reachable(own, by, "greedy_ratio" if sweep else method)
+    key_schema = ", ".join(f"{k} {some.schema[k].dataType.simpleString()}" for k in by)
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("idx").to_numpy(), kind="stable")
         v, b, c, idx = (table.column(k).to_numpy().astype(t)[order] for k, t in (("v", float), ("b", float), ("c", float), ("idx", np.int64)))
         budget_b, budget_c = float(table.column("budget_b")[0].as_py()), float(table.column("budget_c")[0].as_py())
-        taken, weight = select(v, b, c, budget_b, budget_c, method, seed)
-        out = {k: table.column(k).slice(0, 1) for k in keys}
-        out |= {"total_value": [float(sum(v[taken].tolist()))], "used_bits": [float(sum(b[taken].tolist()))], "used_cycles": [float(sum(c[taken].tolist()))], "selected": pa.array([idx[taken].tolist()], pa.list_(pa.int64())), "n_candidates": [len(v)], "binding_constraint": [binding(b, c, taken, budget_b, budget_c)], "best_weight": pa.array([weight], pa.float64())}
+        weight = table.column("_weight")[0].as_py() if sweep else 0.5
+        taken = walk(ordered(v, b, c, budget_b, budget_c, "greedy_ratio" if sweep else method, weight, seed), b, c, budget_b, budget_c)
+        out = {k: table.column(k).slice(0, 1) for k in by}
+        out |= {"total_value": [float(sum(v[taken].tolist()))], "used_bits": [float(sum(b[taken].tolist()))], "used_cycles": [float(sum(c[taken].tolist()))], "selected": pa.array([idx[taken].tolist()], pa.list_(pa.int64())), "binding_constraint": [binding(b, c, taken, budget_b, budget_c)]}
         return pa.table(out)
 
-    return items.groupBy(*keys).applyInArrow(run, f"{key_schema}, {_PLAN}, best_weight double")
+    plans = some.groupBy(*by).applyInArrow(run, f"{key_schema}, {_PLAN}")
+    if sweep:
+        best = F.max_by(F.struct(*[c for c in plans.columns if c not in keys]), F.struct("total_value", -F.col("_weight")))
+        plans = plans.groupBy(*keys).agg(best.alias("_x")).select(*keys, "_x.*").withColumnRenamed("_weight", "best_weight")
+    else:
+        plans = plans.withColumn("best_weight", F.lit(None).cast("double"))
+    sizes = items.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("n_candidates"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return plans.join(sizes, same).select(*keys, "total_value", "used_bits", "used_cycles", "selected", "n_candidates", "binding_constraint", "best_weight")
 
 
 def fractional_bound(items: DataFrame, keys: list[str]) -> DataFrame:

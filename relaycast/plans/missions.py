@@ -103,7 +103,21 @@ def greedy_ratio(spark, sf_dir):
     return _plan(S.greedy(candidates(spark, sf_dir), ["user_id"], "greedy_ratio"))
 
 
-@query()
+#: The walk of every weight, and the first best one.
+SWEEP = f"""WITH RECURSIVE {ITEMS}, g AS (SELECT user_id, unnest(range(21)) AS step, budget_b, budget_c FROM (SELECT DISTINCT user_id, budget_b, budget_c FROM cand)),
+  rated AS (SELECT g.step, g.step / 20.0::DOUBLE AS w, cand.* FROM g JOIN cand USING (user_id)),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, step ORDER BY CASE WHEN w * (b / budget_b) + (1 - w) * (c / budget_c) > 0 THEN v / (w * (b / budget_b) + (1 - w) * (c / budget_c)) ELSE 'inf'::DOUBLE END DESC, idx) AS rn FROM rated),
+  walk AS (SELECT user_id, step, budget_b, budget_c, CAST(0 AS BIGINT) AS rn, 0.0::DOUBLE AS tv, 0.0::DOUBLE AS ub, 0.0::DOUBLE AS uc, CAST(0 AS BIGINT) AS k, false AS took, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM g
+   UNION ALL SELECT w.user_id, w.step, w.budget_b, w.budget_c, r.rn, CASE WHEN ub + r.b <= w.budget_b AND uc + r.c <= w.budget_c THEN tv + v ELSE tv END, CASE WHEN ub + r.b <= w.budget_b AND uc + r.c <= w.budget_c THEN ub + r.b ELSE ub END,
+     CASE WHEN ub + r.b <= w.budget_b AND uc + r.c <= w.budget_c THEN uc + r.c ELSE uc END, CASE WHEN ub + r.b <= w.budget_b AND uc + r.c <= w.budget_c THEN k + 1 ELSE k END, ub + r.b <= w.budget_b AND uc + r.c <= w.budget_c, r.b, r.c
+     FROM walk w JOIN ranked r ON r.user_id = w.user_id AND r.step = w.step AND r.rn = w.rn + 1),
+  ends AS (SELECT user_id, step, max(tv) AS tv, max(ub) AS ub, max(uc) AS uc, max(k) AS k, max(b) FILTER (WHERE NOT took AND rn > 0) AS mb, max(c) FILTER (WHERE NOT took AND rn > 0) AS mc, any_value(budget_b) AS budget_b, any_value(budget_c) AS budget_c FROM walk GROUP BY user_id, step),
+  best AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(tv, 6) DESC, step) AS r FROM ends)
+  SELECT user_id, round(tv, 5) AS total_value, ub AS used_bits, uc AS used_cycles, k AS n_selected, step / 20.0::DOUBLE AS best_weight,
+   CASE WHEN coalesce(mb > budget_b - ub + 1e-9, false) AND coalesce(mc > budget_c - uc + 1e-9, false) THEN 'both' WHEN coalesce(mb > budget_b - ub + 1e-9, false) THEN 'bits' WHEN coalesce(mc > budget_c - uc + 1e-9, false) THEN 'cycles' ELSE 'neither' END AS binding_constraint FROM best WHERE r = 1"""
+
+
+@query(SWEEP)
 def greedy_sweep_best(spark, sf_dir):
     plan = S.greedy_arrow(candidates(with_workers(spark), sf_dir), ["user_id"], "greedy_sweep")
     return plan.select("user_id", F.round("total_value", 5).alias("total_value"), "used_bits", "used_cycles", F.size("selected").cast("long").alias("n_selected"), "best_weight", "binding_constraint")
