@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # What counts as a number, a placeholder, a published marker, a list marker; what may stand around a figure
 # (a hyphen may not: it can be a sign) and around a placeholder.
 NUMBER = r"(?<![\w.])\d+(?:,\d{3})*(?:\.\d+)?"
-PLACEHOLDER = r"\{([a-z_][a-z0-9_]*)\}"
+PLACEHOLDER = r"\{\{([A-Z0-9_]+)\}\}"
+NUMERAL, LIST_MARKER = r"(?U)[\w.,%+-]*\d[\w.,%+-]*", r"(?m)^(\s*)\d+[.)](\s)"
 MARKER = r"([^<>\n]*)<!--@([A-Za-z0-9_.]+)-->"
 LEFT, RIGHT, AROUND = r"[\s*_`~(\[{<«–—]", r"[\s*_`~)\]}>».,;:–—]", r"[\s\-*_•.;:,]"
 
@@ -54,10 +55,15 @@ def misplaced(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\r\n]"), lambda x: x.rlike(PLACEHOLDER) & own(x)), F.trim)
 
 
+def placed(key: Column) -> Column:
+    """A key as its placeholder."""
+    return F.concat(F.lit("{{"), key, F.lit("}}"))
+
+
 def unsanctioned(text: Column) -> Column:
-    """Numerals outside placeholders and list markers."""
-    masked = F.regexp_replace(F.regexp_replace(text, PLACEHOLDER, ""), r"(?m)^\s*\d+[.)]\s", "")
-    return F.regexp_extract_all(masked, F.lit(r"\d+"), 0)
+    """Tokens with a digit outside placeholders and list markers, stops and commas at their ends taken off."""
+    masked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), PLACEHOLDER, "\u0000PLACEHOLDER\u0000"), LIST_MARKER, "$1-$2")
+    return F.transform(F.regexp_extract_all(masked, F.lit(NUMERAL), 0), lambda x: F.regexp_replace(x, r"^[.,]+|[.,]+$", ""))
 
 
 def percent(x: Column, places: int = 1) -> Column:

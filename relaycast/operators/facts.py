@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.cost import provisional
 
-#: From here on a summary recommends something (share of bits wasted, frames expired).
+#: Fixed values, as are the sheets' keys below: from here on a summary recommends something (share of bits wasted, frames expired).
 WASTE_LIMIT, EXPIRY_LIMIT = 0.10, 50
 
 
@@ -114,15 +114,15 @@ def mission_facts(log: DataFrame, runs: DataFrame, fifo: str = "fifo", tier: str
 
 def catalogue(facts: DataFrame, keys: list[str]) -> DataFrame:
     """The placeholders that a text may use, in order, a row a sheet (a sheet has a fixed number of facts)."""
-    return facts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "key"))), lambda x: F.concat(F.lit("{"), x.key, F.lit("}"))), " ").alias("placeholders"))
+    return facts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "key"))), lambda x: T.placed(x.key)), " ").alias("placeholders"))
 
 
 def rendered(texts: DataFrame, facts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, text with its {KEY}s replaced by what the facts show, and the keys that no fact has (these stay as they are)."""
+    """keys, text with its {{KEY}}s replaced by what the facts show, and the keys that no fact has (these stay as they are)."""
     sheet = facts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("key", "shown"))).alias("_of"))
     both = texts.join(sheet, keys, "left").withColumn("_of", F.coalesce("_of", F.create_map().cast("map<string,string>")))
-    used = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\{([A-Z_][A-Z0-9_]*)\}"), 1))
-    filled = F.aggregate(used, F.coalesce(F.col(text), F.lit("")), lambda s, k: F.when(F.element_at("_of", k).isNull(), s).otherwise(F.replace(s, F.concat(F.lit("{"), k, F.lit("}")), F.element_at("_of", k))))
+    used = T.placeholders(F.coalesce(F.col(text), F.lit("")))
+    filled = F.aggregate(used, F.coalesce(F.col(text), F.lit("")), lambda s, k: F.when(F.element_at("_of", k).isNull(), s).otherwise(F.replace(s, T.placed(k), F.element_at("_of", k))))
     return both.select(*keys, filled.alias(text), F.filter(used, lambda k: F.element_at("_of", k).isNull()).alias("unknown"))
 
 

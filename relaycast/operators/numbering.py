@@ -43,3 +43,20 @@ def numbered_within(rows: DataFrame, keys: list[str], *order: Column | str, name
         on = on & s
     both = whole.alias("a").join(least.alias("b"), on)
     return both.select("a.*", (F.col("a._whole") - F.col("b._least") + start).cast("long").alias(name)).drop("_whole")
+
+
+def running(rows: DataFrame, keys: list[str], place: str, span: int = 1_000_000, **totals: str) -> DataFrame:
+    """Running totals in order of ``place`` (an existing number, distinct in each group of ``keys``), itself included.
+
+    ``totals`` name what each column sums. Spans of places are summed first, so a window holds a span, not a group.
+    """
+    spanned = rows.withColumn("_span", F.floor(F.col(place) / span))
+    sums = spanned.groupBy(*keys, "_span").agg(*(F.sum(c).alias(f"_{n}") for n, c in totals.items()))
+    before = W.partitionBy(*keys).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)  # a row a span
+    starts = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_span").alias("_s"), *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in totals))
+    same = F.col("_span") == F.col("_s")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inside = W.partitionBy(*keys, "_span").orderBy(place)
+    own = spanned.withColumns({f"_in_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in totals.items()})
+    return own.join(starts, same).select(*rows.columns, *((F.col(f"_in_{n}") + F.col(f"_{n}")).alias(n) for n in totals))

@@ -1,43 +1,26 @@
-"""Ranking metrics over whole tables, without gathering them in one task.
+"""Ranking metrics over whole tables, without gathering them, or one key of them, in one task.
 
-An order over all rows is cut into ranges of the score first (``ranges`` quantiles of it); rows number
-within their range, and a range starts after the sum of those before it (one row a range). Equal scores
-share a range, so pessimistic ties resolve inside one. A score that many rows share is pre-aggregated where
-a metric allows it (AUC), and is one window otherwise.
+Rows are numbered in one order over the whole table (score, then label, then index, so that ties of any number are
+split), and running totals come from spans of that number. AUC combines rows by score before anything is ordered.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .numbering import numbered, numbered_within, running
 
-def score_ranges(df: DataFrame, score: str, ranges: int = 64) -> DataFrame:
-    """``df`` with _range, ascending as the score falls."""
-    cuts = df.agg(F.percentile_approx(score, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("q")).first().q
-    cuts = sorted(set(cuts or []))
-    if not cuts:
-        return df.withColumn("_range", F.lit(0))
-    above = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c >= F.col(score)))
-    return df.withColumn("_range", above)
+
+def _numbered(df: DataFrame, keys: list[str], *order: Column | str, name: str = "rank") -> DataFrame:
+    return numbered_within(df, keys, *order, name=name, start=1) if keys else numbered(df, *order, name=name, start=1)
 
 
 def pessimistic_rank(df: DataFrame, keys: list[str] | None = None, score: str = "s", label: str = "y", idx: str = "idx") -> DataFrame:
     """rank (1 is best; ties put negatives first, then the smaller idx) and tp, positives up to it."""
     keys = keys or []
-    order = [F.desc(score), F.asc(label), F.asc(idx)]
-    if keys:
-        w = W.partitionBy(*keys).orderBy(*order)
-        return df.withColumn("rank", F.row_number().over(w).cast("long")).withColumn("tp", F.sum(label).over(w.rowsBetween(W.unboundedPreceding, 0)).cast("long"))
-    cut = score_ranges(df, score)
-    sums = cut.groupBy("_range").agg(F.count("*").alias("_n"), F.sum(label).alias("_p"))
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
-    base = sums.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_p0"))
-    w = W.partitionBy("_range").orderBy(*order)
-    own = cut.withColumn("_rn", F.row_number().over(w)).withColumn("_tp", F.sum(label).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    joined = own.join(F.broadcast(base), "_range")  # at most 64 rows
-    return joined.select(*df.columns, (F.col("_rn") + F.col("_n0")).cast("long").alias("rank"), (F.col("_tp") + F.col("_p0")).cast("long").alias("tp"))
+    ranked = _numbered(df, keys, F.desc(score), F.asc(label), F.asc(idx))  # read from files, however often
+    return running(ranked, keys, "rank", tp=label).withColumn("tp", F.col("tp").cast("long"))
 
 
 def _checked(k: int) -> int:
@@ -78,14 +61,7 @@ def roc_auc(df: DataFrame, keys: list[str] | None = None, score: str = "s", labe
     """
     keys = keys or []
     by = df.groupBy(*keys, score).agg(F.sum(label).alias("p"), (F.count("*") - F.sum(label)).alias("q"))
-    if keys:
-        w = W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-        below = by.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
-    else:
-        cut = score_ranges(by, score)
-        base = cut.groupBy("_range").agg(F.sum("q").alias("_q")).select("_range", F.coalesce(F.sum("_q").over(W.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_q0"))
-        w = W.partitionBy("_range").orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-        below = cut.withColumn("_b", F.coalesce(F.sum("q").over(w), F.lit(0))).join(F.broadcast(base), "_range").withColumn("below", F.col("_b") + F.col("_q0"))
+    below = running(_numbered(by, keys, score), keys, "rank", _upto="q").withColumn("below", F.col("_upto") - F.col("q"))
     wins = F.sum(F.col("p").cast("double") * (F.col("below").cast("double") + F.col("q").cast("double") / 2))
     return below.groupBy(*keys).agg(F.try_divide(wins, F.sum("p").cast("double") * F.sum("q").cast("double")).alias("roc_auc"), F.sum("p").cast("long").alias("n_pos"), F.sum("q").cast("long").alias("n_neg"))
 
@@ -93,18 +69,14 @@ def roc_auc(df: DataFrame, keys: list[str] | None = None, score: str = "s", labe
 def auc_against(base: DataFrame, classes: DataFrame, key: str, score: str = "s") -> DataFrame:
     """key, roc_auc, n: each class of ``classes`` (key, score) against the same ``base`` (score).
 
-    Scores are ordered once, in ranges, for all classes; a class is then one aggregate over its own scores, so neither
+    Scores are ordered once for all classes; a class is then one aggregate over its own scores, so neither
     the base is copied for each class nor a class gathered in one task.
     """
     own = classes.groupBy(key, score).agg(F.count("*").alias("p"))
     scores = base.groupBy(score).agg(F.count("*").alias("q")).unionByName(own.select(score, F.lit(0).cast("long").alias("q"))).groupBy(score).agg(F.sum("q").alias("q"))
-    cut = score_ranges(scores, score)
-    sums = cut.groupBy("_range").agg(F.sum("q").alias("_q"))
-    before = W.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)  # one row a range
-    start = sums.select("_range", F.coalesce(F.sum("_q").over(before), F.lit(0)).alias("_q0"))
-    inside = F.coalesce(F.sum("q").over(W.partitionBy("_range").orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    below = cut.withColumn("_b", inside).join(F.broadcast(start), "_range").select(score, "q", (F.col("_b") + F.col("_q0")).alias("below"))  # at most 64 rows
-    total = sums.agg(F.sum("_q").cast("double").alias("_n"))
+    ordered = numbered(scores, score, name="rank")
+    below = running(ordered, [], "rank", _upto="q").select(score, "q", (F.col("_upto") - F.col("q")).alias("below"))
+    total = ordered.agg(F.sum("q").cast("double").alias("_n"))
     wins = F.sum(F.col("p").cast("double") * (F.col("below").cast("double") + F.col("q").cast("double") / 2))
     each = own.join(below, score).groupBy(key).agg(wins.alias("_w"), F.sum("p").alias("n"))
     return each.crossJoin(F.broadcast(total)).select(key, F.try_divide("_w", F.col("n") * F.col("_n")).alias("roc_auc"), "n")  # one row

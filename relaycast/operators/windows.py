@@ -65,16 +65,21 @@ def islands(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     return rows.select(*keys, at).distinct().withColumn("_g", F.col(at) - F.row_number().over(w)).groupBy(*keys, "_g").agg(F.min(at).alias("run_from"), F.max(at).alias("run_to")).drop("_g")
 
 
-def format_islands(runs: DataFrame, keys: list[str], universe: int | None = None, most: int = 8) -> DataFrame:
-    """'all N windows', or up to ``most`` runs as a, b or a–b."""
-    n = F.sum(F.col("run_to") - F.col("run_from") + 1)
-    text = F.when(F.col("run_from") == F.col("run_to"), F.col("run_from").cast("string")).when(F.col("run_to") - F.col("run_from") == 1, F.concat_ws(", ", F.col("run_from").cast("string"), F.col("run_to").cast("string"))).otherwise(F.concat_ws("–", F.col("run_from").cast("string"), F.col("run_to").cast("string")))
-    got = runs.groupBy(*keys).agg(n.alias("n"), F.array_sort(F.collect_list(F.struct("run_from", text.alias("text")))).alias("r"))
-    listed = F.array_join(F.transform(F.slice("r", 1, most), lambda x: x.text), ", ")
-    out = F.when(F.size("r") > most, F.concat(listed, F.lit(", …"))).otherwise(listed)
-    if universe is not None:
-        out = F.when(F.col("n") == universe, F.lit(f"all {universe} windows")).otherwise(out)
-    return got.select(*keys, F.col("n").cast("long").alias("n_windows"), out.alias("text"))
+def format_islands(runs: DataFrame, keys: list[str], universe: DataFrame, most: int = 8) -> DataFrame:
+    """n_windows and text for each row of ``universe`` (keys, total): 'none', 'all N windows', or 'n of N windows:' and up to
+    ``most`` runs as a, b or a–b, with how many more there are."""
+    c = F.col
+    text = F.when(c("run_from") == c("run_to"), c("run_from").cast("string")).when(c("run_to") - c("run_from") == 1, F.concat_ws(", ", c("run_from"), c("run_to"))).otherwise(F.concat_ws("–", c("run_from"), c("run_to")))
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy("run_from"))
+    got = runs.withColumn("_k", nth).groupBy(*keys).agg(
+        F.sum(c("run_to") - c("run_from") + 1).cast("long").alias("n"), F.count("*").alias("n_runs"),
+        F.array_sort(F.collect_list(F.when(c("_k") <= most, F.struct("_k", text.alias("text"))))).alias("r"),
+    )
+    listed = F.array_join(F.transform("r", lambda x: x.text), ", ")
+    more = F.when(c("n_runs") > most, F.concat(F.lit(", … (+"), (c("n_runs") - most).cast("string"), F.lit(" more runs)"))).otherwise("")
+    said = F.when(c("n").isNull(), "none").when(c("n") == c("total"), F.concat(F.lit("all "), c("total").cast("string"), F.lit(" windows")))
+    said = said.otherwise(F.concat(c("n").cast("string"), F.lit(" of "), c("total").cast("string"), F.lit(" windows: "), listed, more))
+    return universe.join(got, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n_windows"), said.alias("text"))
 
 
 def running_total(rows: DataFrame, keys: list[str], by: str, cols: list[str]) -> DataFrame:

@@ -13,9 +13,12 @@ from .registry import MISSION, mission, query
 from .scoring import AUC, frames
 
 
-@query("SELECT * FROM (VALUES ('conv_ae_myriad', CAST(9428992 AS BIGINT)), ('conv_ae_snapdragon', CAST(49209344 AS BIGINT))) t(model, flops)")
+@query("SELECT model, label, flops * count(*) AS flops FROM (VALUES ('conv_ae_myriad', CAST(9428992 AS BIGINT)), ('conv_ae_snapdragon', CAST(49209344 AS BIGINT))) t(model, flops), embeddings GROUP BY model, label, flops")
 def autoencoder_flops(spark, sf_dir):
-    return spark.createDataFrame([(m, models.build(m).flops_per_inference()) for m in models.available() if m.startswith("conv")], "model string, flops long")
+    """Operations that each autoencoder needs for every class's frames."""
+    one = [F.struct(F.lit(m).alias("model"), F.lit(models.build(m).flops_per_inference()).cast("long").alias("one")) for m in models.available() if m.startswith("conv")]
+    counts = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    return counts.select("label", "n", F.inline(F.array(*one))).select("model", "label", (F.col("one") * F.col("n")).alias("flops"))
 
 
 @query()

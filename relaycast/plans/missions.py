@@ -326,16 +326,16 @@ def first_window_over(spark, sf_dir):
     return days(spark, sf_dir).agg(F.min(F.when(F.col("lost") > 0, F.col("sol"))).alias("first_lossy"))
 
 
-@query("""WITH h(hardware, rate) AS (VALUES ('rad750', 3.0::DOUBLE), ('myriad', 0.25::DOUBLE), ('snapdragon', 0.1::DOUBLE)), t(tier, flops) AS (VALUES ('rad750', 866432), ('myriad', 9428992), ('snapdragon', 49209344)),
- b(budget, txt) AS (VALUES (0.05::DOUBLE, '0.05'), (0.1, '0.1'), (0.25, '0.25'), (0.5, '0.5'), (0.75, '0.75'), (1.0, '1')), a(adaptation) AS (VALUES ('frozen'), ('online')), p(policy) AS (VALUES ('fifo'), ('score_first'), ('oracle'))
- SELECT hardware || '|' || tier || '|' || txt || '|' || adaptation || '|' || policy AS key, round(flops * rate, 3) AS cycles FROM h, t, b, a, p""")
+@query("""WITH h(hardware, rate) AS (VALUES ('rad750', 3.0::DOUBLE), ('myriad', 0.25::DOUBLE), ('snapdragon', 0.1::DOUBLE)), a AS (SELECT DISTINCT l_returnflag AS adaptation FROM lineitem), p AS (SELECT DISTINCT l_linenumber AS policy FROM lineitem),
+ r AS (SELECT l_returnflag AS adaptation, l_linenumber AS policy, count(*) AS n, sum(l_quantity) AS work FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2)
+ SELECT hardware || '|' || a.adaptation || '|' || p.policy AS key, coalesce(n, 0) AS n_runs, round(coalesce(work, 0) * rate, 3) AS cycles FROM h CROSS JOIN a CROSS JOIN p LEFT JOIN r ON r.adaptation = a.adaptation AND r.policy = p.policy""")
 def grid_crossjoin_cells(spark, sf_dir):
-    hw = [F.struct(F.lit(k).alias("hardware"), F.lit(v).alias("rate")) for k, v in C.CYCLES_PER_FLOP.items()]
-    tiers = [F.struct(F.lit(k).alias("tier"), F.lit(v).alias("flops")) for k, v in (("rad750", 866432), ("myriad", 9428992), ("snapdragon", 49209344))]
-    grid = spark.range(1, numPartitions=1).select(F.inline(F.array(*hw))).select("*", F.inline(F.array(*tiers)))
-    for name, values in (("txt", ("0.05", "0.1", "0.25", "0.5", "0.75", "1")), ("adaptation", ("frozen", "online")), ("policy", ("fifo", "score_first", "oracle"))):
-        grid = grid.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))  # the product of five fixed axes: 324 cells
-    return grid.select(F.concat_ws("|", "hardware", "tier", "txt", "adaptation", "policy").alias("key"), F.round(F.col("flops") * F.col("rate"), 3).alias("cycles"))
+    """Every cell of the axes that run records have, with what ran in it; a cell without runs is there too."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("adaptation"), F.col("l_linenumber").alias("policy"), "l_linestatus", "l_quantity")
+    axes = rows.select("adaptation").distinct().crossJoin(rows.select("policy").distinct())  # two short axes
+    ran = rows.filter("l_linestatus = 'O'").groupBy("adaptation", "policy").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("work"))
+    cells = axes.join(ran, ["adaptation", "policy"], "left").select("*", F.inline(F.array(*[F.struct(F.lit(k).alias("hardware"), F.lit(v).alias("rate")) for k, v in C.CYCLES_PER_FLOP.items()])))
+    return cells.select(F.concat_ws("|", "hardware", "adaptation", "policy").alias("key"), F.coalesce("n", F.lit(0)).alias("n_runs"), F.round(F.coalesce("work", F.lit(0.0)) * F.col("rate"), 3).alias("cycles"))
 
 
 @query("""WITH f AS (SELECT o_custkey, sum(o_totalprice) AS y FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), n AS (SELECT o_custkey, sum(o_totalprice) AS y FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
@@ -383,11 +383,14 @@ def buffer_at_every_window(spark, sf_dir):
 
 
 @query(f"""WITH {MISSION}, s AS (SELECT DISTINCT user_id, sol FROM mission WHERE score > 40), g AS (SELECT user_id, sol, sol - row_number() OVER (PARTITION BY user_id ORDER BY sol) AS g FROM s), r AS (SELECT user_id, min(sol) AS a, max(sol) AS b FROM g GROUP BY user_id, g),
- k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM r)
- SELECT user_id, CAST(sum(b - a + 1) AS BIGINT) AS n_windows, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) WHEN b - a = 1 THEN a || ', ' || b ELSE a || '–' || b END, ', ' ORDER BY a) FILTER (WHERE k <= 8) || CASE WHEN max(n) > 8 THEN ', …' ELSE '' END AS text FROM k GROUP BY user_id""")
+ k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM r), d AS (SELECT user_id, count(DISTINCT sol) AS total FROM mission GROUP BY 1),
+ t AS (SELECT user_id, CAST(sum(b - a + 1) AS BIGINT) AS n_windows, max(n) AS n, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) WHEN b - a = 1 THEN a || ', ' || b ELSE a || '–' || b END, ', ' ORDER BY a) FILTER (WHERE k <= 8) AS shown FROM k GROUP BY user_id)
+ SELECT d.user_id, coalesce(n_windows, 0) AS n_windows, CASE WHEN n_windows IS NULL THEN 'none' WHEN n_windows = total THEN 'all ' || total || ' windows'
+  ELSE n_windows || ' of ' || total || ' windows: ' || shown || CASE WHEN n > 8 THEN ', … (+' || (n - 8) || ' more runs)' ELSE '' END END AS text FROM d LEFT JOIN t ON t.user_id = d.user_id""")
 def window_set_islands(spark, sf_dir):
-    runs = N.islands(mission(spark, sf_dir).filter("score > 40"), ["user_id"], "sol")
-    return N.format_islands(runs, ["user_id"])
+    items = mission(spark, sf_dir)
+    runs = N.islands(items.filter("score > 40"), ["user_id"], "sol")
+    return N.format_islands(runs, ["user_id"], items.groupBy("user_id").agg(F.countDistinct("sol").alias("total")))
 
 
 @query(f"""WITH {MISSION}, r AS (SELECT user_id, count(*) AS windows, sum(bits) AS bits_used, count(*) FILTER (WHERE grp = 'natural') AS n_natural, count(*) FILTER (WHERE grp = 'natural' AND sol <= 15) AS n_available, arg_max(score, idx) AS last_score, avg(CASE WHEN score > 50 THEN score END) AS recall FROM mission GROUP BY user_id)

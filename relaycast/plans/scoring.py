@@ -80,14 +80,16 @@ def score_summary(spark, sf_dir):
     return e.agg((F.avg(F.when(F.col("y") == 0, F.col("s"))) > 0).alias("has_typical"), F.round(F.stddev_pop("s"), 6).alias("sd"), F.round(F.avg("s"), 6).alias("mean"), (F.sum("y").cast("double") / F.count("*")).alias("novel_rate"))
 
 
-@query("""WITH t(tier, flops, per_flop) AS (VALUES ('rad750', 866432, 3.0::DOUBLE), ('myriad', 9428992, 0.25::DOUBLE), ('snapdragon', 49209344, 0.1::DOUBLE)),
-  h(hardware, rate) AS (VALUES ('rad750', 3.0::DOUBLE), ('myriad', 0.25::DOUBLE), ('snapdragon', 0.1::DOUBLE))
-  SELECT tier, hardware, CAST(flops AS BIGINT) AS flops, round(flops * rate, 3) AS cycles, flops * rate <= 20000000 AS fits, round(flops * rate / 20000000, 9) AS share FROM t, h""")
+@query("""WITH t(tier, flops) AS (VALUES ('rad750', 866432), ('myriad', 9428992), ('snapdragon', 49209344)), h(hardware, rate) AS (VALUES ('rad750', 3.0::DOUBLE), ('myriad', 0.25::DOUBLE), ('snapdragon', 0.1::DOUBLE)), f AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
+  SELECT label, tier, hardware, n, flops * n AS flops, round(flops * n * rate, 3) AS cycles, flops * rate <= 20000000 AS fits, CAST(floor(20000000 / (flops * rate)) AS BIGINT) AS affordable, round(flops * n * rate / 20000000, 9) AS windows FROM f, t, h""")
 def cost_model(spark, sf_dir):
-    tiers = spark.createDataFrame([("rad750", C.pca_flops()), ("myriad", 9428992), ("snapdragon", 49209344)], "tier string, flops long")
-    hw = spark.createDataFrame([*C.CYCLES_PER_FLOP.items()], "hardware string, rate double")
-    cycles = F.col("flops") * F.col("rate")
-    return tiers.crossJoin(hw).select("tier", "hardware", "flops", F.round(cycles, 3).alias("cycles"), (cycles <= 20_000_000).alias("fits"), F.round(cycles / 20_000_000, 9).alias("share"))  # three by three
+    """What scoring each class's frames costs by model and processor, and how many fit in a window."""
+    counts = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    tiers = [F.struct(F.lit(t).alias("tier"), F.lit(f).cast("long").alias("one")) for t, f in (("rad750", C.pca_flops()), ("myriad", 9428992), ("snapdragon", 49209344))]
+    hw = [F.struct(F.lit(k).alias("hardware"), F.lit(v).alias("rate")) for k, v in C.CYCLES_PER_FLOP.items()]
+    each = counts.select("*", F.inline(F.array(*tiers))).select("*", F.inline(F.array(*hw)))
+    one, flops = F.col("one") * F.col("rate"), F.col("one") * F.col("n")
+    return each.select("label", "tier", "hardware", "n", flops.alias("flops"), F.round(flops * F.col("rate"), 3).alias("cycles"), (one <= 20_000_000).alias("fits"), F.floor(20_000_000 / one).alias("affordable"), F.round(flops * F.col("rate") / 20_000_000, 9).alias("windows"))
 
 
 SIDE = 4

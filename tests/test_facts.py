@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relaycast import config
+from relaycast.functions import text
 from relaycast.operators import facts, replay
 from relaycast.sources import manifests
 from tests.test_replay import CFG, ONLINE, rows, table_of
@@ -64,22 +65,28 @@ def test_mission_facts_and_advice(spark, replayed):
 def test_texts_are_rendered_and_audited(spark, replayed):
     log, _ = replayed
     sheet, keys = facts.window_facts(log.filter("run = 'fifo'")), ["run", "window"]
-    texts = sheet.select(*keys).distinct().withColumn("text", F.lit("{ARRIVED} frames came, {NOTHING} stayed."))
+    texts = sheet.select(*keys).distinct().withColumn("text", F.lit("{{ARRIVED}} frames came, {{NOTHING}} stayed."))
     notes = facts.rendered(texts, sheet, keys)
     arrived = {w.window: w.n_arrived for w in log.filter("run = 'fifo'").collect()}
-    assert {r.window: (r.text, r.unknown) for r in notes.collect()} == {w: (f"{n} frames came, {{NOTHING}} stayed.", ["NOTHING"]) for w, n in arrived.items()}
+    assert {r.window: (r.text, r.unknown) for r in notes.collect()} == {w: (f"{n} frames came, {{{{NOTHING}}}} stayed.", ["NOTHING"]) for w, n in arrived.items()}
     assert facts.unsupported(notes, sheet, keys).count() == 0
     lied = notes.withColumn("text", F.concat("text", F.lit(" 98765.4 were lost.")))
     assert {r.number for r in facts.unsupported(lied, sheet, keys).collect()} == {"98765.4"}
     first = facts.catalogue(sheet, keys).first().placeholders
-    assert first.startswith("{WINDOW} {SOLS} {ARRIVED}")
+    assert first.startswith("{{WINDOW}} {{SOLS}} {{ARRIVED}}")
     assert facts.unsupported(notes.limit(0), sheet, keys).count() == 0
+    # The same placeholders are what a text's checks see: a line of a sheet's own ones alone is none of their business.
+    lines = facts.catalogue(sheet, keys).select(F.col("placeholders").alias("pure"), F.concat(F.lit("It sent "), "placeholders").alias("mixed"))
+    for r in lines.select(text.misplaced(F.col("pure")).alias("p"), text.misplaced(F.col("mixed")).alias("m"), text.unsanctioned(F.col("mixed")).alias("u"), "mixed").collect():
+        assert (r.p, r.m, r.u) == ([], [r.mixed], [])
 
 
 def test_configurations():
     base = {"a": {"b": 1, "c": [1]}, "d": 2}
     assert config.merged(base, {"a": {"b": {"x": 0}}}, None) == {"a": {"b": {"x": 0}, "c": [1]}, "d": 2} and base["a"]["b"] == 1
     assert config.overrides(["a.b=3", "a.c=true", "a.d=null", "e=0.5", "f='7'", "g=[1, 2]", "h=x=y", "a.b=4"]) == {"a": {"b": 4, "c": True, "d": None}, "e": 0.5, "f": "7", "g": [1, 2], "h": "x=y"}
+    for layers, want in (([{"a": {"b": 1}}, {"a": 2}], {"a": 2}), ([{"a": 2}, {"a": {"b": 1}}], {"a": {"b": 1}}), ([{"a": {"b": 1}}, {"a": {}}], {"a": {"b": 1}}), ([{"a": 1}, {"a": {}}], {"a": {}}), ([{"a": {}}, {"a": {"b": None}}], {"a": {"b": None}}), ([{}], {})):
+        assert config.merged(*layers) == want
     with pytest.raises(ValueError):
         config.overrides(["seed"])
     assert config.canonical({"b": 1, "a": [None, "é"]}) == '{"a":[null,"\\u00e9"],"b":1}'

@@ -177,8 +177,8 @@ def test_double_counts(spark):
 
 
 def test_text(spark):
-    r = spark.createDataFrame([("1. sent 1,234 of 5.5 {n_sent} v2",)], "t string").select(text.numbers(F.col("t")).alias("n"), text.placeholders(F.col("t")).alias("p"), text.unsanctioned(F.col("t")).alias("u")).first()
-    assert r.n == ["1", "1234", "5.5"] and r.p == ["n_sent"] and r.u == ["1", "234", "5", "5", "2"]
+    r = spark.createDataFrame([("1. sent 1,234 of 5.5, {{N_SENT}} v2 at +7.1%.\n  2) 3",)], "t string").select(text.numbers(F.col("t")).alias("n"), text.placeholders(F.col("t")).alias("p"), text.unsanctioned(F.col("t")).alias("u")).first()
+    assert r.n == ["1", "1234", "5.5", "7.1", "2", "3"] and r.p == ["N_SENT"] and r.u == ["1,234", "5.5", "v2", "+7.1%", "3"]
 
 
 def test_manifest_round_trip(spark, tmp_path):
@@ -264,7 +264,7 @@ def test_run_records(spark, tmp_path):
 
 
 def test_published_text(spark):
-    rows = [("so (**0.720 ± 0.004**).", "0.720 ± 0.004", "- {a_b}.\nyield of {a}\r\n**{b}**, {c}"), ("-0.047", "-0.047", None), ("", "1", "no figure"), ("ten of 75", "10 of 75", "")]
+    rows = [("so (**0.720 ± 0.004**).", "0.720 ± 0.004", "- {{A_B}}.\nyield of {{A}}\r\n**{{B}}**, {{C}}"), ("-0.047", "-0.047", None), ("", "1", "no figure"), ("ten of 75", "10 of 75", "")]
     out = spark.createDataFrame(rows, "shown string, value string, t string").select(text.last_words(F.col("shown"), F.col("value")).alias("w"), text.misplaced(F.col("t")).alias("m")).collect()
     assert [r.w for r in out] == ["0.720 ± 0.004", "-0.047", "", "ten of 75"]
-    assert [r.m for r in out] == [["yield of {a}"], [], [], []]
+    assert [r.m for r in out] == [["yield of {{A}}"], [], [], []]

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relaycast.operators import digests, quantiles
-from relaycast.operators.numbering import numbered, numbered_within
+from relaycast.operators.numbering import numbered, numbered_within, running
 from relaycast.session import stored
 from relaycast.sources import tensors
 
@@ -228,3 +228,9 @@ def test_files_are_committed_together(spark, tmp_path, array):
     assert tensors.read_tensors(spark, out).count() == 703
     tensors.write_tensors(df.filter("index < 0"), out, (4, 3, 2))
     assert tensors.read_tensors(spark, out).count() == 0
+
+
+def test_running_totals_over_spans(spark):
+    rows = [(g, i, i % 5) for g in ("a", None) for i in range(40)]
+    got = running(spark.createDataFrame(rows, "g string, p long, x long"), ["g"], "p", span=7, total="x").collect()
+    assert {(r.g, r.p): r.total for r in got} == {(g, i): sum(k % 5 for k in range(i + 1)) for g in ("a", None) for i in range(40)}
