@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import facts, figures
+from ..operators import facts, figures, ranking
+from ..operators import reports as R2
 from ..operators import replay as R
 from ..session import table
 from .missions import BASE, stats_mission
@@ -168,3 +169,36 @@ def window_note_audit(spark, sf_dir):
     notes = facts.rendered(texts, sheet, ["run", "window"])
     wrong = facts.unsupported(notes, sheet, ["run", "window"]).groupBy("run", "window").agg(F.count("*").alias("n_unsupported"))
     return notes.join(wrong, ["run", "window"], "left").select("run", "window", "text", F.size("unknown").cast("long").alias("n_unknown"), F.coalesce("n_unsupported", F.lit(0)).alias("n_unsupported"))
+
+
+#: Each (tier, line status) of the line items is a run: lines ranked by price, dear discounts are the ones of interest.
+RUNS = """ranked AS (SELECT l_returnflag AS tier, l_linestatus AS seed, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS y, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice DESC, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END, l_orderkey * 10 + l_linenumber) AS rank FROM lineitem),
+ sizes AS (SELECT tier, seed, count(*) AS n FROM ranked GROUP BY 1, 2), ks(k) AS (VALUES (10), (25), (50), (162)),
+ at_k AS (SELECT tier, seed, k, sum(CASE WHEN rank <= k THEN y ELSE 0 END) / CAST(least(k, any_value(n)) AS DOUBLE) AS value FROM ranked JOIN sizes USING (tier, seed), ks GROUP BY tier, seed, k),
+ made AS (SELECT tier, k, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd FROM at_k GROUP BY 1, 2)"""
+
+
+def ranked_runs(spark, sf_dir):
+    y = (F.col("l_discount") > 0.05).cast("int")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("tier"), F.col("l_linestatus").alias("seed"), y.alias("y"), F.col("l_extendedprice").alias("s"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"))
+    at_k = ranking.precision_at_k(ranking.pessimistic_rank(rows, ["tier", "seed"]), [10, 25, 50, 162], ["tier", "seed"])
+    return at_k.withColumnRenamed("precision", "value")
+
+
+@query(f"""WITH {RUNS} SELECT tier, CAST(k AS BIGINT) AS k, round(mean, 9) AS mean, round(sd, 9) AS sd, n, CASE WHEN n = 1 THEN format('{{:.3f}}', mean) ELSE format('{{:.3f}} ± {{:.3f}}', mean, sd) END AS text,
+ 'lineitem where tier=' || tier || ' and k=' || k || ': mean of value over ' || n || ' runs' AS source FROM made""")
+def figures_with_lineage(spark, sf_dir):
+    """Precision of every tier at each k over its runs, as written, with where it comes from."""
+    made = R2.figures(ranked_runs(spark, sf_dir), ["tier"], "k", "lineitem")
+    return made.select("tier", "k", F.round("mean", 9).alias("mean"), F.round("sd", 9).alias("sd"), "n", "text", "source")
+
+
+@query(f"""WITH {RUNS}, cells AS (SELECT tier, k, CASE WHEN n = 1 THEN format('{{:.3f}}', mean) ELSE format('{{:.3f}} ± {{:.3f}}', mean, sd) END AS text FROM made),
+ body AS (SELECT tier, '| ' || tier || ' | ' || string_agg(text, ' | ' ORDER BY k) || ' |' AS line FROM cells GROUP BY 1),
+ whole AS (SELECT 0 AS a, '' AS b, '## Precision at k' AS line UNION ALL SELECT 1, '', '' UNION ALL SELECT 2, '', '| tier | p@10 | p@25 | p@50 | p@162 (window) |' UNION ALL SELECT 3, '', '|---|---|---|---|---|' UNION ALL SELECT 4, tier, line FROM body)
+ SELECT row_number() OVER (ORDER BY a, b) - 1 AS line_no, line FROM whole""")
+def curve_report(spark, sf_dir):
+    """The curve as a document: lines numbered over all sections, a pivot over fixed columns."""
+    table_ = R2.wide(R2.figures(ranked_runs(spark, sf_dir), ["tier"], "k", "lineitem"), ["tier"], "k", [10, 25, 50, 162])
+    heads = {"tier": "tier", "10": "p@10", "25": "p@25", "50": "p@50", "162": "p@162 (window)"}
+    return R2.document([R2.text_lines(spark, ["## Precision at k", ""], 0), R2.table_lines(table_, heads, "tier", section=1)])
