@@ -83,7 +83,7 @@ def deconvolve(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ConvAutoencoder:
-    """Forward pass and cost of the convolutional tiers; weights come from an artifact or a seed, not from training here."""
+    """Forward pass and cost of the convolutional tiers; weights come from an artifact, a seed or ``training.fit``."""
 
     channels: int
     depth: int

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import io
+import json
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import arrays_sha256, canonical
 from ..operators.replay import RECORD
 
 MANIFEST = ("index", "split", "class", "sol", "source_filename")
@@ -126,3 +128,29 @@ def model_table(spark: SparkSession, arrays: dict[str, np.ndarray]) -> DataFrame
 
 def read_model(rows: DataFrame) -> dict[str, np.ndarray]:
     return {r.name: np.array(r["values"]).reshape(r.shape).astype(r.dtype) for r in rows.collect()}
+
+
+#: The artifact's own format; another one is refused.
+ARTIFACT_VERSION = 1
+
+
+def write_artifact(spark: SparkSession, path: str, kind: str, arrays: dict[str, np.ndarray], settings: dict) -> str:
+    """A model's arrays with a card: format, kind, settings and the content's hash, which is returned."""
+    content = arrays_sha256({k: np.asarray(a, float) for k, a in arrays.items()})
+    model_table(spark, arrays).coalesce(1).write.mode("overwrite").parquet(f"{path}/arrays")
+    card = [(ARTIFACT_VERSION, kind, canonical(settings), content)]
+    spark.createDataFrame(card, "format_version int, kind string, settings string, content_sha256 string").coalesce(1).write.mode("overwrite").json(f"{path}/card")
+    return content
+
+
+def read_artifact(spark: SparkSession, path: str, kind: str | None = None) -> tuple[dict[str, np.ndarray], dict]:
+    """(arrays, settings) of an artifact; another format or kind, or arrays that aren't those of the card, are errors."""
+    card = spark.read.schema("format_version int, kind string, settings string, content_sha256 string").json(f"{path}/card").first()
+    if card is None or card.format_version != ARTIFACT_VERSION:
+        raise ValueError(f"{path} has format {card and card.format_version}, not {ARTIFACT_VERSION}")
+    if kind is not None and card.kind != kind:
+        raise ValueError(f"{path} is a {card.kind}, not a {kind}")
+    arrays = read_model(spark.read.parquet(f"{path}/arrays"))
+    if arrays_sha256({k: np.asarray(a, float) for k, a in arrays.items()}) != card.content_sha256:
+        raise ValueError(f"the arrays of {path} aren't those that its card names")
+    return arrays, json.loads(card.settings)
