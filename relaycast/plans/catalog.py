@@ -11,6 +11,7 @@ from ..operators import digests
 from ..operators import integrity as I
 from ..operators.numbering import numbered
 from ..session import table
+from ..sources import manifests
 from .registry import MISSION, digest_tree_sql, longs, mission, query
 
 
@@ -51,9 +52,9 @@ def duplicate_keys(spark, sf_dir):
     return I.duplicates(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("name")), ["name"])
 
 
-@query("SELECT sha256(text) AS name, count(DISTINCT lang) AS n_groups FROM documents GROUP BY text HAVING count(DISTINCT lang) > 1")
+@query("SELECT sha256(text) AS name, count(DISTINCT source) AS n_groups FROM documents GROUP BY text HAVING count(DISTINCT source) > 1")
 def cross_group_collisions(spark, sf_dir):
-    return I.collisions(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("name"), "lang"), "name", "lang")
+    return I.collisions(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("name"), "source"), "name", "source")
 
 
 NAMES = """names AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'no_day_' || doc_id || '.npy'
@@ -176,6 +177,17 @@ def changed_runs(spark, sf_dir):
     return digests.changed(old, new).select(F.col("key").alias("class"), "node")
 
 
+@query("""SELECT DISTINCT lang || '/' || source AS split FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND toxic = 1""")
+def stale_split_scan(spark, sf_dir):
+    """Splits whose files changed since the catalog was written, by fingerprints that no order and no layout changes."""
+    both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    files = both.select(F.concat_ws("/", "lang", "source").alias("split"), "lang", F.col("doc_id").alias("name"), "n_chars", "quality", "toxic")
+    before = files.select("split", F.col("lang").alias("class"), "name", F.col("n_chars").alias("length"))
+    longer = F.when((F.col("quality") == 0) & (F.col("toxic") == 1), F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    after = files.select("split", F.col("lang").alias("class"), "name", longer.alias("length"))
+    return manifests.stale_splits(after, manifests.fingerprints(before))
+
+
 @query("SELECT idx, place FROM (SELECT event_id AS idx, event_type, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS place FROM events) WHERE place <= 25")
 def limit_per_split(spark, sf_dir):
     w = W.partitionBy("event_type").orderBy(F.desc("value"), "event_id")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..operators.numbering import numbered
-from ..session import table
+from ..session import shared_path, table
+from ..sources import manifests, tensors
 from .registry import MISSION, mission, query
 
 
@@ -15,10 +17,15 @@ def tensor_manifest_join(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").join(rows, "vec_id").select("vec_id", "label", "lang", F.size("embedding").cast("long").alias("n_values"))
 
 
-@query(f"WITH {MISSION}, s AS (SELECT idx, score FROM mission) SELECT m.idx, m.grp, s.score FROM mission m JOIN s ON s.idx = m.idx")
+@query("""SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, vec_id, label, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / 64, 6) AS score FROM embeddings""")
 def score_row_zip(spark, sf_dir):
-    items = mission(spark, sf_dir)
-    return items.select("idx", "grp").join(items.select("idx", "score"), "idx")
+    """Rows of a table paired by position with scores of the array file that was written from them; an unpaired row of either side fails."""
+    rows = table(spark, sf_dir, "embeddings")
+    path = shared_path(spark, "scored") + ".npy"
+    tensors.write_array(rows.select("vec_id", F.col("embedding").alias("values")), path, (64,), "vec_id")
+    scores = tensors.read_tensors(spark, path).select(F.lit("all").alias("split"), "index", (V.total(V.doubles(F.col("values"))) / 64).alias("score"))
+    manifest = numbered(rows.select("vec_id", "label"), "vec_id", name="index").withColumn("split", F.lit("all"))
+    return manifests.load_split(manifest, scores, "all").select(F.col("index").alias("idx"), "vec_id", "label", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {MISSION}, asked AS (SELECT l_orderkey * 10 + l_linenumber AS ordinal, l_partkey AS idx FROM lineitem) SELECT ordinal, idx, score FROM asked JOIN mission USING (idx)""")

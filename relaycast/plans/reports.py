@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -126,9 +127,30 @@ def k_columns(spark, sf_dir):
     return keys.agg(F.array_join(F.array_sort(F.collect_list("k")).cast("array<string>"), "|").alias("columns"))
 
 
-@query("""SELECT event_type AS reason, count(*) AS n, round(sum(value), 2) AS tokens FROM events GROUP BY 1""")
+#: Parameters: dollars a million tokens read and written, by model.
+PRICES = {"small": (0.15, 0.6), "medium": (1.0, 4.0), "large": (3.0, 15.0)}
+RATES = ", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE)" for m, (a, b) in PRICES.items())
+
+
+@query(f"""WITH prices(model, read, written) AS (VALUES {RATES}),
+ t AS (SELECT conv_id, turn, role, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens, CASE conv_id % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'medium' ELSE 'large' END AS model FROM conversations),
+ g AS (SELECT *, coalesce(sum(tokens) OVER w, 0) AS prompt, coalesce(max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER w, 0) AS asked FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ r AS (SELECT model, CASE WHEN asked = 0 THEN 'nothing asked' WHEN tokens = 0 THEN 'empty answer' ELSE 'generated' END AS reason, prompt, tokens FROM g WHERE role = 'assistant')
+ SELECT model, reason, count(*) AS n, CAST(sum(CASE WHEN reason = 'generated' THEN prompt ELSE 0 END) AS BIGINT) AS prompt_tokens, CAST(sum(CASE WHEN reason = 'generated' THEN tokens ELSE 0 END) AS BIGINT) AS completion_tokens,
+  round(sum(CASE WHEN reason = 'generated' THEN prompt * read + tokens * written ELSE 0 END) / 1000000, 9) AS cost FROM r JOIN prices USING (model) GROUP BY model, reason""")
 def usage_totals(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("reason")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("tokens"))
+    """Answers by model and by why they count or were skipped; tokens read (all turns before) and written, and their cost."""
+    tokens = F.ceil(F.char_length(F.coalesce("text", F.lit(""))) / 4.0).cast("long")
+    model = F.when(F.col("conv_id") % 3 == 0, "small").when(F.col("conv_id") % 3 == 1, "medium").otherwise("large")
+    before = W.partitionBy("conv_id").orderBy("turn", "role", "tokens").rowsBetween(W.unboundedPreceding, -1)  # a conversation's turns
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", tokens.alias("tokens"), model.alias("model"))
+    seen = turns.withColumn("prompt", F.coalesce(F.sum("tokens").over(before), F.lit(0))).withColumn("asked", F.coalesce(F.max((F.col("role") == "user").cast("int")).over(before), F.lit(0)))
+    answers = seen.filter("role = 'assistant'").withColumn("reason", F.when(F.col("asked") == 0, "nothing asked").when(F.col("tokens") == 0, "empty answer").otherwise("generated"))
+    made = F.col("reason") == "generated"
+    read, written = (F.coalesce(*[F.when(F.col("model") == m, F.lit(p[k])) for m, p in PRICES.items()]) for k in (0, 1))
+    total = lambda c: F.sum(F.when(made, c).otherwise(0))
+    sums = answers.groupBy("model", "reason").agg(F.count("*").alias("n"), total(F.col("prompt")).alias("prompt_tokens"), total(F.col("tokens")).alias("completion_tokens"), F.round(total(F.col("prompt") * read + F.col("tokens") * written) / 1e6, 9).alias("cost"))
+    return sums
 
 
 @query(f"""WITH {MISSION} SELECT user_id, CASE WHEN count(*) FILTER (WHERE score > 100) * 2 > count(*) FILTER (WHERE score > 50) THEN 'cycles' ELSE 'bits' END AS dominant, count(*) FILTER (WHERE score > 100) < 1 AS starved FROM mission GROUP BY user_id""")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
+
 RUN = (
     "tier string, seed bigint, metrics struct<roc_auc: double, precision_at_k: map<string,double>, recall_at_k: map<string,double>>, "
     "decomposed map<string,struct<n: bigint, roc_auc: double>>, per_class_roc_auc map<string,struct<n: bigint, roc_auc: double>>, cost struct<param_count: bigint, flops_per_inference: bigint, cycles_per_inference: double, wall_clock_seconds: double>"
@@ -30,7 +32,7 @@ def write_results(df: DataFrame, path: str, order: list[Column | str] | None = N
     df.write.mode("overwrite").json(f"{path}/json")
     df.write.mode("overwrite").parquet(f"{path}/parquet")
     if order:
-        markdown(df, df.columns, order).select("line").write.mode("overwrite").text(f"{path}/markdown")
+        markdown(df, df.columns, order).orderBy("line_no").select("line").write.mode("overwrite").text(f"{path}/markdown")
 
 
 def write_grid(cells: DataFrame, path: str, axes: tuple[str, ...] = ("hardware", "tier", "adaptation", "policy")) -> None:
@@ -51,11 +53,11 @@ def with_notes(log: DataFrame, notes: DataFrame, name: str = "operator_note") ->
 
 
 def markdown(df: DataFrame, columns: list[str], order: list[Column | str]) -> DataFrame:
-    """line_no, line: a table of few rows as Markdown."""
+    """line_no, line: a table as Markdown; rows of any number are numbered in ``order`` by ranges."""
     cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("–")) for c in columns]), F.lit(" |"))
-    rows = df.orderBy(*order).agg(F.collect_list(cells).alias("rows"))
-    head = F.array(F.lit("| " + " | ".join(columns) + " |"), F.lit("|" + "---|" * len(columns)))
-    return rows.select(F.posexplode(F.concat(head, "rows")).alias("line_no", "line"))
+    body = numbered(df.withColumn("line", cells), *order, name="line_no", start=2).select(F.col("line_no").cast("int").alias("line_no"), "line")
+    head = [(0, "| " + " | ".join(columns) + " |"), (1, "|" + "---|" * len(columns))]
+    return df.sparkSession.createDataFrame(head, "line_no int, line string").unionByName(body)
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
