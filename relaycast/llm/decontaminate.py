@@ -19,6 +19,7 @@ either table are not looked at.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -117,9 +118,13 @@ def blocks(benchmark: DataFrame, rules: Contamination):
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // rules.block_bytes) or 1
-    for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r.item_id, r.text) for r in part.collect()]
+    if n == 1:
+        yield [(r.item_id, r.text) for r in items.collect()]
+        return
+    # Dealt once; the driver then fetches a partition at a time, which holds whole blocks one after the other.
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).repartition(int(n), "block").sortWithinPartitions("block")
+    for _, rows in groupby(dealt.toLocalIterator(), key=lambda r: r.block):
+        yield [(r.item_id, r.text) for r in rows]
 
 
 SPANS = "spans array<struct<first_word: bigint, n_words: bigint, start_byte: bigint, end_byte: bigint>>"
@@ -131,13 +136,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rules: Contamination =
 
     With ``row`` all columns of ``docs`` come along in a struct of that name.
     """
-    sent, vocabulary, shortest = [], np.zeros(0, np.uint64), 0
+    sent, known, shortest = [], [np.zeros(0, np.uint64)], 0
     for items in blocks(benchmark, rules):
         phrases = Phrases(items, rules.window)
         if phrases.by_length:
-            vocabulary, shortest = np.union1d(vocabulary, phrases.vocabulary), min([*phrases.by_length, *([shortest] if shortest else [])])
+            known.append(phrases.vocabulary)
+            shortest = min([*phrases.by_length, *([shortest] if shortest else [])])
+            if len(known) > 64:
+                known = [np.unique(np.concatenate(known))]
             sent.append(docs.sparkSession.sparkContext.broadcast(phrases))
-    all_words = docs.sparkSession.sparkContext.broadcast(Words(vocabulary))
+    all_words = docs.sparkSession.sparkContext.broadcast(Words(np.unique(np.concatenate(known))))
 
     def find(part):
         text = X.text_bytes(part.column("text"))

@@ -387,26 +387,30 @@ def test_op5_sum_of_squares_identity():
     assert got[0] == pytest.approx(m.w @ x + pairs, rel=1e-4)
 
 
-def test_op5_scores_equal_pairwise_sums(spark, sf_dir):
-    """Every document's score from its features by the definition: all pairs, no identity."""
+def pairwise_score(m, t):
+    """A text's score from its features by the definition: all pairs, no identity."""
     from relaycast.llm import _features
 
+    w, v = np.asarray(m.w, float), np.asarray(m.v, float)
+    text = X.text_bytes(pa.array([t], pa.string()))
+    words = X.find_words(text)
+    x = np.zeros(len(w))
+    for word in SPACED.findall((t or "").translate(AZ)):
+        x[int(X.hash_words(X.find_words(X.text_bytes(pa.array([word]))))[0] >> np.uint64(64 - m.p.bits))] += 1
+    x /= max(np.linalg.norm(x), 1e-30)
+    x[m.words :] = (_features.structure(text, words, X.hash_words(words))[0] - m.mean) / m.scale
+    on = np.flatnonzero(x)
+    z = v[on] * x[on, None]
+    margin = float(m.w0[0]) + w @ x + sum(float(z[i] @ z[:i].sum(0)) for i in range(1, len(on)))
+    return 1 / (1 + math.exp(-margin))
+
+
+def test_op5_scores_equal_pairwise_sums(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     m = factorisation_machine.train(docs, labels, factorisation_machine.Params(epochs=3))
     got = {r.doc_id: r.score for r in factorisation_machine.classify(docs, m).collect()}
-    w, v = np.asarray(m.w, float), np.asarray(m.v, float)
     for r in docs.collect()[:60]:
-        text = X.text_bytes(pa.array([r.text], pa.string()))
-        words = X.find_words(text)
-        x = np.zeros(len(w))
-        for word in SPACED.findall((r.text or "").translate(AZ)):
-            x[int(X.hash_words(X.find_words(X.text_bytes(pa.array([word]))))[0] >> np.uint64(64 - m.p.bits))] += 1
-        x /= max(np.linalg.norm(x), 1e-30)
-        x[m.words :] = (_features.structure(text, words, X.hash_words(words))[0] - m.mean) / m.scale
-        on = np.flatnonzero(x)
-        z = v[on] * x[on, None]
-        margin = float(m.w0[0]) + w @ x + sum(float(z[i] @ z[:i].sum(0)) for i in range(1, len(on)))
-        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-3)
+        assert got[r.doc_id] == pytest.approx(pairwise_score(m, r.text), abs=1e-3)
 
 
 def test_op5_trains_alike_in_any_layout(spark):
