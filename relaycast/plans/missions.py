@@ -113,14 +113,14 @@ SWEEP = f"""WITH RECURSIVE {ITEMS}, g AS (SELECT user_id, unnest(range(21)) AS s
      FROM walk w JOIN ranked r ON r.user_id = w.user_id AND r.step = w.step AND r.rn = w.rn + 1),
   ends AS (SELECT user_id, step, max(tv) AS tv, max(ub) AS ub, max(uc) AS uc, max(k) AS k, max(b) FILTER (WHERE NOT took AND rn > 0) AS mb, max(c) FILTER (WHERE NOT took AND rn > 0) AS mc, any_value(budget_b) AS budget_b, any_value(budget_c) AS budget_c FROM walk GROUP BY user_id, step),
   best AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(tv, 6) DESC, step) AS r FROM ends)
-  SELECT user_id, round(tv, 5) AS total_value, ub AS used_bits, uc AS used_cycles, k AS n_selected, step / 20.0::DOUBLE AS best_weight,
+  SELECT user_id, round(tv, 5) AS total_value, ub AS used_bits, uc AS used_cycles, k AS n_selected, round(step / 20.0::DOUBLE, 2) AS best_weight,
    CASE WHEN coalesce(mb > budget_b - ub + 1e-9, false) AND coalesce(mc > budget_c - uc + 1e-9, false) THEN 'both' WHEN coalesce(mb > budget_b - ub + 1e-9, false) THEN 'bits' WHEN coalesce(mc > budget_c - uc + 1e-9, false) THEN 'cycles' ELSE 'neither' END AS binding_constraint FROM best WHERE r = 1"""
 
 
 @query(SWEEP)
 def greedy_sweep_best(spark, sf_dir):
     plan = S.greedy_arrow(candidates(with_workers(spark), sf_dir), ["user_id"], "greedy_sweep")
-    return plan.select("user_id", F.round("total_value", 5).alias("total_value"), "used_bits", "used_cycles", F.size("selected").cast("long").alias("n_selected"), "best_weight", "binding_constraint")
+    return plan.select("user_id", F.round("total_value", 5).alias("total_value"), "used_bits", "used_cycles", F.size("selected").cast("long").alias("n_selected"), F.round("best_weight", 2).alias("best_weight"), "binding_constraint")
 
 
 @query()
