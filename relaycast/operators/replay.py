@@ -270,32 +270,50 @@ def frames_of(table: pa.Table) -> Frames:
 Fit = Callable[[np.ndarray], Model]
 
 
-def nearest_to_mean(f: Frames) -> Fit:
-    """A refit for the replay on statistics: novelty is the distance from the pool's mean in its own scales."""
+@dataclass
+class Rows:
+    """Statistics, and features if any, of some frames."""
 
-    def fit(pool: np.ndarray) -> Model:
-        mean, scale = f.stats[pool].mean(0), np.maximum(f.stats[pool].std(0), 1e-6)
-        return lambda at: np.abs((f.stats[at] - mean) / scale).sum(1)
+    stats: np.ndarray
+    features: np.ndarray | None
 
-    return fit
 
+@dataclass(frozen=True)
+class Refit:
+    """A refit in two steps: ``learn`` makes a model of a pool's rows, ``apply(model, rows)`` scores any rows by it."""
 
-def principal(k: int = 8) -> Callable[[Frames], Fit]:
-    """A refit of principal components on the pool's features: novelty is the residual off the first ``k``."""
+    learn: Callable[[Rows], tuple]
+    apply: Callable[[tuple, Rows], np.ndarray]
+    wide: bool = False
 
-    def of(f: Frames) -> Fit:
-        if f.features is None:
+    def __call__(self, f: Frames) -> Fit:
+        if self.wide and f.features is None:
             raise ValueError("a refit of principal components needs frames with features")
+        rows = lambda at: Rows(f.stats[at], None if f.features is None else f.features[at])
 
         def fit(pool: np.ndarray) -> Model:
-            x = f.features[pool]
-            mean = x.mean(0)
-            basis = np.linalg.svd(x - mean, full_matrices=False)[2][:k]
-            return lambda at: residual_norms(f.features[at], mean, basis)[0]
+            model = self.learn(rows(pool))
+            return lambda at: self.apply(model, rows(at))
 
         return fit
 
-    return of
+
+def _scales(pool: Rows) -> tuple:
+    return pool.stats.mean(0), np.maximum(pool.stats.std(0), 1e-6)
+
+
+#: A refit for the replay on statistics: novelty is the distance from the pool's mean in its own scales.
+nearest_to_mean = Refit(_scales, lambda model, rows: np.abs((rows.stats - model[0]) / model[1]).sum(1))
+
+
+def principal(k: int = 8) -> Refit:
+    """A refit of principal components on the pool's features: novelty is the residual off the first ``k``."""
+
+    def learn(pool: Rows) -> tuple:
+        mean = pool.features.mean(0)
+        return mean, np.linalg.svd(pool.features - mean, full_matrices=False)[2][:k]
+
+    return Refit(learn, lambda model, rows: residual_norms(rows.features, *model)[0], wide=True)
 
 
 def lane(method: str, cfg: Config, k: int) -> tuple:
@@ -305,22 +323,85 @@ def lane(method: str, cfg: Config, k: int) -> tuple:
     return ("online", cfg.seed, cfg.sols_per_window, cfg.bootstrap_sols, cfg.refit_every, cfg.refit_max, cfg.refit_least)
 
 
-def run_all(frames: DataFrame, runs: list[tuple[str, str, Config]], log: bool = True, by: list[str] | None = None, fit: Callable[[Frames], Fit] = nearest_to_mean, share: bool = True) -> DataFrame:
+#: Frames of a mission that one task may hold; longer missions are played by chunks.
+WHOLE = 250_000
+LISTS = ("selected_indices", "lost_indices")
+
+
+def run_all(frames: DataFrame, runs: list[tuple[str, str, Config]], log: bool = True, by: list[str] | None = None, fit: Callable[[Frames], Fit] = nearest_to_mean, share: bool = True, lists: bool = True, whole: int = WHOLE) -> DataFrame:
     """One replay for each (name, method, config), over each mission of ``frames`` (all of them, or one for each value of ``by``).
 
-    A run needs its whole mission in order. Missions and lanes are dealt to tasks; a mission is copied once for
-    each lane, not for each run. The runs of a lane go one after another and share one memo of refits (``share``),
-    which changes no result: a refit's key is the chain of pools that led to it.
+    A log without ``lists`` has no columns of indices. Missions of up to ``whole`` frames and their lanes are dealt to
+    tasks; such a mission is copied once for each lane, not for each run. The runs of a lane go one after another and
+    share one memo of refits (``share``), which changes no result: a refit's key is the chain of pools that led to it.
+    Longer missions are played by chunks (``long_replay``).
     """
-    spark, by = frames.sparkSession, by or []
+    return _played(frames, runs, by or [], fit, share, lists, whole)[0 if log else 1]()
+
+
+def logs_and_summaries(frames: DataFrame, runs: list[tuple[str, str, Config]], by: list[str] | None = None, fit: Callable[[Frames], Fit] = nearest_to_mean, lists: bool = False, whole: int = WHOLE) -> tuple[DataFrame, DataFrame]:
+    """Both tables of ``run_all``; a mission that is played by chunks is played once for both."""
+    log, summary = _played(frames, runs, by or [], fit, True, lists, whole)
+    return log(), summary()
+
+
+def _played(frames: DataFrame, runs: list, by: list[str], fit: Callable, share: bool, lists: bool, whole: int) -> tuple[Callable[[], DataFrame], Callable[[], DataFrame]]:
+    spark = frames.sparkSession
+    unfit = F.exists("stats", lambda x: F.coalesce(F.isnan(x), F.lit(True))) | F.coalesce(F.isnan("bits") | (F.col("bits") < 0), F.lit(True))
+    sizes = frames.groupBy(*by).agg(F.count("*").alias("_n"), F.max(unfit).alias("_unfit"))
+    large = sizes.filter((F.col("_n") > whole) & ~F.coalesce("_unfit", F.lit(False))).collect() if isinstance(fit, Refit) else []  # at most a row for ``whole`` frames
+    names = spark.createDataFrame([(k, name) for k, (name, _, _) in enumerate(runs)], "run_no int, run string")
+    small, found = frames, None
+    if large:
+        from .long_replay import Voyages
+
+        keys = spark.createDataFrame([tuple(r[c] for c in by) or (0,) for r in large], ", ".join(f"`_l_{c}` {frames.schema[c].dataType.simpleString()}" for c in by) or "_l int")
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_l_{c}"))
+        own = frames.join(F.broadcast(keys), same, "left_semi") if by else frames
+        small = frames.join(F.broadcast(keys), same, "left_anti") if by else None
+        found = Voyages(own, runs, by, fit, sum(r._n for r in large), share)
+    keyed = "".join(f"`{c}` {frames.schema[c].dataType.simpleString()}, " for c in by)
+
+    def records() -> DataFrame:
+        parts = []
+        if small is not None:
+            parts.append(_whole(small, runs, True, by, fit, share, lists))
+        if found:
+            plain = spark.createDataFrame(found.records, f"{keyed}run_no int, {', '.join(c for c in RECORD.split(', ') if c.split(' ')[0] not in LISTS)}")
+            if lists:
+                on = F.lit(True)
+                made = found.lists()
+                for c in [*by, "run_no", "window"]:
+                    on = on & plain[c].eqNullSafe(made[c])
+                none = F.array().cast("array<bigint>")
+                plain = plain.join(made, on, "left").select(*(plain[c] for c in plain.columns), *(F.coalesce(made[c], none).alias(c) for c in LISTS))
+            parts.append(plain)
+        return _named(parts, names)
+
+    def summaries() -> DataFrame:
+        parts = [_whole(small, runs, False, by, fit, share, lists)] if small is not None else []
+        return _named([*parts, *([spark.createDataFrame(found.summaries, f"{keyed}run_no int, {SUMMARY}")] if found else [])], names)
+
+    return records, summaries
+
+
+def _named(parts: list[DataFrame], names: DataFrame) -> DataFrame:
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return both.join(F.broadcast(names), "run_no").drop("run_no")  # a row a run
+
+
+def _whole(frames: DataFrame, runs: list[tuple[str, str, Config]], log: bool, by: list[str], fit: Callable[[Frames], Fit], share: bool, lists: bool) -> DataFrame:
+    """Missions that are each one task's."""
     lanes: dict[tuple, list[int]] = {}
     for k, (_, method, cfg) in enumerate(runs):
         lanes.setdefault(lane(method, cfg, k), []).append(k)
     dealt = list(lanes.values()) if share else [[k] for k in range(len(runs))]
-    names = spark.createDataFrame([(k, name) for k, (name, _, _) in enumerate(runs)], "run_no int, run string")
     needed = ["idx", "sol", "grp", "bits", "stats", "score", *(["features"] if "features" in frames.columns else [])]
     each = frames.select(*by, *needed, F.explode(F.array(*[F.lit(k) for k in range(len(dealt))])).alias("_lane"))
-    schema = pa.schema([*[(c, _kind(frames.schema[c].dataType.simpleString())) for c in by], ("run_no", pa.int32()), *_arrow(RECORD if log else SUMMARY)])
+    columns = ", ".join(c for c in RECORD.split(", ") if lists or c.split(" ")[0] not in LISTS) if log else SUMMARY
+    schema = pa.schema([*[(c, _kind(frames.schema[c].dataType.simpleString())) for c in by], ("run_no", pa.int32()), *_arrow(columns)])
 
     def go(table: pa.Table) -> pa.Table:
         f, rows, memo = frames_of(table), [], {}
@@ -332,7 +413,7 @@ def run_all(frames: DataFrame, runs: list[tuple[str, str, Config]], log: bool =
         return pa.Table.from_pylist(rows, schema=schema)
 
     keyed = "".join(f"`{c}` {frames.schema[c].dataType.simpleString()}, " for c in by)
-    return each.groupBy(*by, "_lane").applyInArrow(go, f"{keyed}run_no int, {RECORD if log else SUMMARY}").join(F.broadcast(names), "run_no").drop("run_no")  # a row a run
+    return each.groupBy(*by, "_lane").applyInArrow(go, f"{keyed}run_no int, {columns}")
 
 
 def _kind(name: str) -> pa.DataType:
