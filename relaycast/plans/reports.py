@@ -180,7 +180,7 @@ def mission_fact_sheets(spark, sf_dir):
 @query()
 def mission_advice(spark, sf_dir):
     items = stats_mission(spark, sf_dir)
-    return facts.advice(R.run_all(items, POLICY_RUNS), R.run_all(items, POLICY_RUNS, log=False))
+    return facts.advice(*R.logs_and_summaries(items, POLICY_RUNS))
 
 
 @query()
