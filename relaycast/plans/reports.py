@@ -174,7 +174,7 @@ def window_fact_sheets(spark, sf_dir):
 @query()
 def mission_fact_sheets(spark, sf_dir):
     items = stats_mission(spark, sf_dir)
-    return facts.mission_facts(R.run_all(items, POLICY_RUNS), R.run_all(items, POLICY_RUNS, log=False))
+    return facts.mission_facts(*R.logs_and_summaries(items, POLICY_RUNS))
 
 
 @query()
