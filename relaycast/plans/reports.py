@@ -186,7 +186,7 @@ def mission_advice(spark, sf_dir):
 @query()
 def window_note_audit(spark, sf_dir):
     """Notes rendered from placeholders, with the number of figures in each that no fact supports."""
-    sheet = facts.window_facts(R.run_all(stats_mission(spark, sf_dir), POLICY_RUNS))
+    sheet = facts.window_facts(R.run_all(stats_mission(spark, sf_dir), POLICY_RUNS, lists=False))
     texts = sheet.select("run", "window").distinct().withColumn("text", F.lit("Window {{WINDOW}}, sols {{SOLS}}: {{ARRIVED}} arrived, {{SELECTED}} of {{BUFFERED}} sent, {{CUM_YIELD}} so far."))
     notes = facts.rendered(texts, sheet, ["run", "window"])
     wrong = facts.unsupported(notes, sheet, ["run", "window"]).groupBy("run", "window").agg(F.count("*").alias("n_unsupported"))
