@@ -167,7 +167,7 @@ def window_fact_sheets(spark, sf_dir):
     """Every figure that a note on a window may state, from the log of a real replay of each policy."""
     items = stats_mission(spark, sf_dir)
     total = items.agg(F.count_if(F.col("grp") == "natural").alias("n_natural"))
-    log = R.run_all(items, POLICY_RUNS).crossJoin(F.broadcast(total))  # one row
+    log = R.run_all(items, POLICY_RUNS, lists=False).crossJoin(F.broadcast(total))  # one row
     return facts.window_facts(log, F.col("n_natural"))
 
 
