@@ -24,6 +24,12 @@ def population_variance(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` rounded; what rounds to zero keeps its sign, as in SQL."""
+    r = F.round(x, digits)
+    return F.when(r == 0, F.lit(0.0) * F.signum(x)).otherwise(r)
+
+
 def block_downsample(a: Column, h: int, w: int, c: int, factor: int) -> Column:
     """Means of factor x factor blocks of each band; the factor must divide h and w."""
     if h % factor or w % factor:
@@ -32,7 +38,8 @@ def block_downsample(a: Column, h: int, w: int, c: int, factor: int) -> Column:
 
     def block(i: Column) -> Column:
         band, x, y = i % c, (i / c).cast("int") % ow, (i / (c * ow)).cast("int")
-        return sum((F.get(a, ((y * factor + dy) * w + x * factor + dx) * c + band) for dy in range(factor) for dx in range(factor)), F.lit(0.0)) / float(factor * factor)
+        first, *rest = (F.get(a, ((y * factor + dy) * w + x * factor + dx) * c + band) for dy in range(factor) for dx in range(factor))
+        return sum(rest, first) / float(factor * factor)
 
     return F.transform(F.sequence(F.lit(0), F.lit(oh * ow * c - 1)), block)
 

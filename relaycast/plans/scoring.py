@@ -104,7 +104,7 @@ def frames(spark, sf_dir):
   SELECT vec_id, list(round((p[((i//8)*2*4 + ((i//4)%2)*2)*4 + i%4 + 1] + p[((i//8)*2*4 + ((i//4)%2)*2 + 1)*4 + i%4 + 1] + p[(((i//8)*2+1)*4 + ((i//4)%2)*2)*4 + i%4 + 1] + p[(((i//8)*2+1)*4 + ((i//4)%2)*2 + 1)*4 + i%4 + 1]) / 4, 6) ORDER BY i) AS p FROM o GROUP BY vec_id""")
 def block_downsample(spark, sf_dir):
     small = V.block_downsample(F.col("p"), SIDE, SIDE, SIDE, 2)
-    return frames(spark, sf_dir).select("vec_id", F.transform(small, lambda x: F.round(x, 6)).alias("p"))
+    return frames(spark, sf_dir).select("vec_id", F.transform(small, lambda x: V.rounded(x, 6)).alias("p"))
 
 
 @query(f"""WITH {EMB}, x AS (SELECT (i % 4) AS band, p[i + 1] AS v FROM e, (SELECT unnest(range(64)) AS i)) SELECT CAST(band AS BIGINT) AS band, round(avg(v), 8) AS mean, round(CASE WHEN sqrt(greatest(avg(v*v) - avg(v)*avg(v), 0)) < 1e-6 THEN 1 ELSE sqrt(greatest(avg(v*v) - avg(v)*avg(v), 0)) END, 8) AS std FROM x GROUP BY band""")
