@@ -21,13 +21,16 @@ def validated(items: DataFrame) -> DataFrame:
 
 
 def walk(order: np.ndarray, b: np.ndarray, c: np.ndarray, budget_b: float, budget_c: float) -> list[int]:
-    """Takes whatever still fits under both budgets, and goes on past what doesn't."""
+    """Takes whatever still fits under both budgets, and goes on past what doesn't, until nothing can fit any more."""
     taken, used_b, used_c = [], 0.0, 0.0
-    for i in order.tolist():
-        if used_b + b[i] <= budget_b and used_c + c[i] <= budget_c:
+    least_b, least_c = (float(x.min()) if len(x) else 0.0 for x in (b, c))
+    for i, one_b, one_c in zip(order.tolist(), b[order].tolist(), c[order].tolist(), strict=True):
+        if used_b + one_b <= budget_b and used_c + one_c <= budget_c:
             taken.append(i)
-            used_b += b[i]
-            used_c += c[i]
+            used_b += one_b
+            used_c += one_c
+        elif used_b + least_b > budget_b or used_c + least_c > budget_c:
+            break
     return taken
 
 
@@ -65,17 +68,33 @@ def reachable(items: DataFrame, keys: list[str], method: str) -> DataFrame:
         return items
     if most > int(items.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
         items.sparkSession.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(most))
+    if method == "greedy_sweep":
+        return _reachable_by_any(items, keys, fits, int(most))
     by = W.partitionBy(*keys, "b", "c").orderBy(F.desc(_value(items, method)), "idx")
     costly = items.filter("b > 0 or c > 0").withColumn("_r", F.row_number().over(by))
     return costly.filter((F.col("_r") <= int(most)) & (F.col("_r") <= fits)).drop("_r").unionByName(items.filter("not (b > 0 or c > 0)"))
 
 
+def _reachable_by_any(items: DataFrame, keys: list[str], fits: F.Column, most: int) -> DataFrame:
+    """``reachable`` for all weights at once: of equal costs any weight goes by value, or by index where its cost is 0.
+
+    Values that a division may make equal are equal as floats, and rank alike; of those really equal, the first by index stay.
+    """
+    same = W.partitionBy(*keys, "b", "c")
+    near = F.rank().over(same.orderBy(F.desc(F.col("v").cast("float"))))
+    alike = F.row_number().over(W.partitionBy(*keys, "b", "c", "v").orderBy("idx"))
+    first = F.row_number().over(same.orderBy("idx"))
+    short = lambda r: (F.col(r) <= most) & (F.col(r) <= fits)
+    costly = items.filter("b > 0 and c > 0").withColumn("_r", near).filter(short("_r")).withColumn("_e", alike).filter(short("_e")).drop("_r", "_e")
+    half = items.filter("(b > 0 or c > 0) and not (b > 0 and c > 0)").withColumn("_r", near).withColumn("_e", alike).withColumn("_f", first)
+    return costly.unionByName(half.filter(short("_r") & short("_e") | short("_f")).drop("_r", "_e", "_f")).unionByName(items.filter("not (b > 0 or c > 0)"))
+
+
 def _value(items: DataFrame, method: str) -> F.Column:
-    """What a walk goes by, in the arithmetic of ``ordered``; ``_weight`` is the blend where it varies."""
+    """What a walk goes by, in the arithmetic of ``ordered``."""
     if method == "score_first":
         return F.col("v")
-    w = F.col("_weight") if "_weight" in items.columns else F.lit(0.5)
-    cost = w * (F.col("b") / F.col("budget_b")) + (1.0 - w) * (F.col("c") / F.col("budget_c"))
+    cost = 0.5 * (F.col("b") / F.col("budget_b")) + 0.5 * (F.col("c") / F.col("budget_c"))
     return F.when(cost > 0, F.col("v") / cost).otherwise(F.lit(float("inf")))
 
 
@@ -91,31 +110,32 @@ def greedy(items: DataFrame, keys: list[str], method: str) -> DataFrame:
 def greedy_arrow(items: DataFrame, keys: list[str], method: str, seed: int = 0, weights: int = 21) -> DataFrame:
     """``greedy`` with the weight that a sweep found best; sums run in the order of the walk.
 
-    A sweep walks every weight in a task of its own and takes the first best one.
+    A sweep walks every weight over the same candidates, and takes the first best one (to six digits, as sums of the
+    same items in another order differ beyond).
     """
     with_workers(items.sparkSession)
     sweep = method == "greedy_sweep"
-    own = items.withColumn("_weight", F.explode(F.array(*[F.lit(float(w)) for w in np.linspace(0, 1, max(2, weights))]))) if sweep else items
-    by = [*keys, "_weight"] if sweep else keys
-    some = reachable(own, by, "greedy_ratio" if sweep else method)
-    key_schema = ", ".join(f"{k} {some.schema[k].dataType.simpleString()}" for k in by)
+    some = reachable(items, keys, method)
+    key_schema = ", ".join(f"{k} {some.schema[k].dataType.simpleString()}" for k in keys)
+    blends = np.linspace(0, 1, max(2, weights)).tolist() if sweep else [0.5]
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("idx").to_numpy(), kind="stable")
         v, b, c, idx = (table.column(k).to_numpy().astype(t)[order] for k, t in (("v", float), ("b", float), ("c", float), ("idx", np.int64)))
         budget_b, budget_c = float(table.column("budget_b")[0].as_py()), float(table.column("budget_c")[0].as_py())
-        weight = table.column("_weight")[0].as_py() if sweep else 0.5
-        taken = walk(ordered(v, b, c, budget_b, budget_c, "greedy_ratio" if sweep else method, weight, seed), b, c, budget_b, budget_c)
-        out = {k: table.column(k).slice(0, 1) for k in by}
-        out |= {"total_value": [float(sum(v[taken].tolist()))], "used_bits": [float(sum(b[taken].tolist()))], "used_cycles": [float(sum(c[taken].tolist()))], "selected": pa.array([idx[taken].tolist()], pa.list_(pa.int64())), "binding_constraint": [binding(b, c, taken, budget_b, budget_c)]}
-        return pa.table(out)
-
-    plans = some.groupBy(*by).applyInArrow(run, f"{key_schema}, {_PLAN}")
-    if sweep:
-        best = F.max_by(F.struct(*[c for c in plans.columns if c not in keys]), F.struct("total_value", -F.col("_weight")))
-        plans = plans.groupBy(*keys).agg(best.alias("_x")).select(*keys, "_x.*").withColumnRenamed("_weight", "best_weight")
-    else:
-        plans = plans.withColumn("best_weight", F.lit(None).cast("double"))
+        best = None
+        for weight in blends:
+            taken = walk(ordered(v, b, c, budget_b, budget_c, "greedy_ratio" if sweep else method, weight, seed), b, c, budget_b, budget_c)
+            total = float(sum(v[taken].tolist()))
+            rank = (np.isnan(total), 0.0 if np.isnan(total) else round(total, 6))
+            if best is None or rank > best[0]:
+                best = rank, weight, total, taken
+        _, weight, total, taken = best
+        out = {k: table.column(k).slice(0, 1) for k in keys}
+        out |= {"total_value": [total], "used_bits": [float(sum(b[taken].tolist()))], "used_cycles": [float(sum(c[taken].tolist()))], "selected": pa.array([idx[taken].tolist()], pa.list_(pa.int64())), "binding_constraint": [binding(b, c, taken, budget_b, budget_c)]}
+        return pa.table(out | {"best_weight": pa.array([weight if sweep else None], pa.float64())})
+
+    plans = some.groupBy(*keys).applyInArrow(run, f"{key_schema}, {_PLAN}, best_weight double")
     sizes = items.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("n_candidates"))
     same = F.lit(True)
     for k in keys:

@@ -53,3 +53,10 @@ def test_a_hot_group_is_cut_below_its_shuffle(spark):
     assert "WindowGroupLimit" in plan
     plan = selection.greedy(rows, ["g"], "score_first").first()
     assert plan.n_candidates == 50_000 and plan.used_bits <= 30 and plan.binding_constraint == "bits"
+
+
+def test_a_sweep_does_not_copy_its_candidates(spark):
+    """One group a key walks all weights; rows aren't multiplied by them before or after the shuffle."""
+    items = spark.createDataFrame(groups(3), SCHEMA)
+    plan = selection.greedy_arrow(items, ["g"], "greedy_sweep")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "_weight" not in plan.replace("best_weight", "")
