@@ -65,14 +65,43 @@ def occurrences(text: str, automaton) -> list[tuple[int, str]]:
     return out
 
 
+class Masks:
+    """Places in texts that look like some figure: its digits as zeros, where its first run of digits is a whole run.
+
+    That run can't go on in the text, as a figure inside a longer number is none, so each run of a text is looked at once
+    for every (place of the first digit, length).
+    """
+
+    _RUN, _ZERO = re.compile(r"\d+"), str.maketrans("123456789", "0" * 9)
+
+    def __init__(self, masks: list[str]):
+        self.by: dict[tuple[int, int], set[str]] = {}
+        for m in masks:
+            self.by.setdefault((self._RUN.search(m).start(), len(m)), set()).add(m)
+
+    def iter(self, text: str):
+        zeros = text.translate(self._ZERO)
+        for run in self._RUN.finditer(text):
+            for (before, length), masks in self.by.items():
+                at = run.start() - before
+                if at >= 0 and zeros[at : at + length] in masks:
+                    yield at + length - 1, text[at : at + length]
+
+
 def unmarked(docs: DataFrame, figures: DataFrame, id_: str = "doc_id", limit: int = AUTOMATON_BYTES) -> DataFrame:
     """Each unmarked occurrence of a distinctive figure: id, key, figure, at (from 0), line (from 1).
 
-    Figures are dealt into sets of about ``limit`` bytes; a set is broadcast, a task builds its automaton once, and each
-    set is a pass of its own over the documents.
+    One pass over the documents finds what looks like a figure, and a join which are figures. Where the looks (figures with
+    their digits as zeros) come to more than ``limit`` bytes, figures are dealt into sets of about that size instead; a
+    set is broadcast, a task builds its automaton once, and each set is a pass of its own over the documents.
     """
     spark = with_workers(docs.sparkSession)
     own = stored(distinctive(figures), "figures")
+    keys = own.select(F.col("text").alias("figure"), "key")
+    masks = own.select(F.regexp_replace("text", "[1-9]", "0").alias("text")).distinct()
+    if masks.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0] <= limit:
+        looks = spark.sparkContext.broadcast([r.text for r in masks.collect()])  # at most ``limit`` bytes
+        return _search(docs, looks, id_, True).join(keys, "figure").select(id_, "key", "figure", "at", "line")
     size = own.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     sets = max(1, -(-size // limit))
     found = None
@@ -81,22 +110,24 @@ def unmarked(docs: DataFrame, figures: DataFrame, id_: str = "doc_id", limit: in
         texts = spark.sparkContext.broadcast([r.text for r in some.select("text").collect()])  # at most about ``limit`` bytes
         part = _search(docs, texts, id_)
         found = part if found is None else found.unionByName(part)
-    keys = own.select(F.col("text").alias("figure"), "key")
     return found.join(keys, "figure").select(id_, "key", "figure", "at", "line")
 
 
-def _search(docs: DataFrame, texts, id_: str) -> DataFrame:
+def _search(docs: DataFrame, texts, id_: str, looks: bool = False) -> DataFrame:
     kind = docs.schema[id_].dataType.simpleString()
 
     def run(batches):
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for t in texts.value:
-            automaton.add_word(t, t)
-        if not len(automaton):
-            return
-        automaton.make_automaton()
+        if looks:
+            automaton = Masks(texts.value)
+        else:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for t in texts.value:
+                automaton.add_word(t, t)
+            if not len(automaton):
+                return
+            automaton.make_automaton()
         for batch in batches:
             rows, figure, at, line = [], [], [], []
             for i, text in enumerate(batch.column("text")):

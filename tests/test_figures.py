@@ -95,3 +95,17 @@ def test_occupancy(spark, ranges, asked):
 def test_a_group_of_one_day_is_one_row(spark):
     items = spark.range(10_000).select(F.lit("hot").alias("k"), F.lit(3).alias("come"), F.lit(None).cast("int").alias("go"))
     assert [tuple(r) for r in occupancy.occupancy(items, ["k"], "come", "go").collect()] == [("hot", 3, 10_000)]
+
+
+def test_one_pass_whatever_the_number_of_figures(spark):
+    """Many figures of few looks are one pass over the documents, with the rows of the passes by automata."""
+    known = spark.createDataFrame([(f"K{i}", float(i + 1), t) for i, t in enumerate([*(f"{i:,}.{i % 90 + 10}" for i in range(1000, 3000)), "3 of 75", "a1234", "12.50%"])], "key string, value double, text string")
+    docs = spark.createDataFrame([(1, "1,234.74 a1234 b 3 of 75, 11,234.74 1,234.745\n2,999.39 and .1,234.74 12.50% x12.50%"), (2, None), (3, "1,000.20<!--@K0--> 1,000.201,001.21 \u0661,000.20")], "doc_id long, text string")
+    one = figures.unmarked(docs, known, limit=4096)
+    assert "Union" not in one._jdf.queryExecution().analyzed().toString()
+    automaton = ahocorasick.Automaton()
+    for r in known.collect():
+        automaton.add_word(r.text, r.text)
+    automaton.make_automaton()
+    want = sorted((d.doc_id, f, at) for d in docs.collect() if d.text for at, f in figures.occurrences(d.text, automaton))
+    assert sorted((r.doc_id, r.figure, r.at) for r in one.collect()) == want and {"1,234.74", "3 of 75", "a1234", "12.50%"} <= {w[1] for w in want}
