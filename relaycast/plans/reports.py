@@ -67,10 +67,11 @@ def figures_of_orders(spark, sf_dir):
 
 
 def quoting(spark, sf_dir, figures):
+    """Figures meet identifiers alone; then each text is shuffled once, and streams past the figures of its partition unsorted."""
     own, other = figures.select(F.col("key").alias("k1"), F.col("text").alias("t1")), figures.select(F.col("key").alias("k2"), F.col("text").alias("t2"))
-    i = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("k1", F.concat(F.lit("ORDER_"), i)).withColumn("k2", F.concat(F.lit("ORDER_"), i + 1))
-    both = docs.join(own, "k1").join(other, "k2")
+    i, docs = F.col("doc_id"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = docs.select("doc_id").distinct().withColumn("k1", F.concat(F.lit("ORDER_"), i)).withColumn("k2", F.concat(F.lit("ORDER_"), i + 1))
+    both = docs.join(ids.join(own, "k1").join(other, "k2").hint("shuffle_hash"), "doc_id")
     head = F.concat(F.lit("> in all **"), F.when(i % 5 == 0, "0.01").otherwise(F.col("t1")), F.lit("**<!--@"), F.when(i % 11 == 0, "NO_").otherwise(""), F.col("k1"), F.lit("-->\n"))
     return both.select("doc_id", F.concat(head, F.coalesce("text", F.lit("")), F.lit("\nbeside "), F.col("t2"), F.lit(", ("), F.col("t1"), F.lit(") or 1"), F.col("t1")).alias("text"))
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relaycast.operators import figures, occupancy
+from relaycast.plans import reports
 
 KNOWN = [("YIELD", 0.556, "55.6%", "runs/a"), ("SPREAD", 0.72, "0.720 ± 0.004", "runs"), ("DELTA", -0.047, "-0.047", "runs/b"), ("ZERO", 0.0, "0.000", "runs/c"), ("COUNT", 26.0, "26", "runs/d"), ("TOTAL", 1234.5, "1,234.5", "runs/e"), ("AGAIN", 1234.5, "1,234.5", "runs/f"), ("LONG", 234.5, "234.5", "runs/g")]
 
@@ -109,3 +110,17 @@ def test_one_pass_whatever_the_number_of_figures(spark):
     automaton.make_automaton()
     want = sorted((d.doc_id, f, at) for d in docs.collect() if d.text for at, f in figures.occurrences(d.text, automaton))
     assert sorted((r.doc_id, r.figure, r.at) for r in one.collect()) == want and {"1,234.74", "3 of 75", "a1234", "12.50%"} <= {w[1] for w in want}
+
+
+def test_texts_are_shuffled_once(spark, sf_dir):
+    """Whatever is joined to documents for their figures, a text crosses the network once, and no join sorts it."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(kept, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        plan = spark._jvm.PythonSQLUtils.explainString(reports.quoting(spark, sf_dir, reports.figures_of_orders(spark, sf_dir))._jdf.queryExecution(), "formatted")
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    moved = re.findall(r"\) (Exchange|Sort) ?[^\n]*\nInput \[\d+\]: \[([^\]]*)\]", plan)
+    assert [kind for kind, columns in moved if "text#" in columns] == ["Exchange"]
