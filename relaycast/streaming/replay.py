@@ -1,11 +1,16 @@
 """The mission as a stream: keyed state with event-time timers, carry-over, and windowed counts with a watermark.
 
 A run's frames arrive in any order within the watermark's delay. What arrives is appended to the run's list of
-frames that no window holds yet; nothing else is rewritten by a batch. A timer stands at the end of the earliest
-window that can be closed, and closes it once the watermark has passed: frames past their age expire, the oldest
-beyond the capacity are evicted, a walk by score under the bit budget sends, and what is left carries over. Only
-then is the carried list written anew. Frames of a window that is closed are late; they are returned as such, each
-in a row of its own, and not replayed. (A time to live isn't used for the age: Spark bounds it to processing time.)
+days that no window holds yet, a day's frames as arrays in one element; nothing else is rewritten by a batch. A timer
+stands at the end of the earliest window that can be closed, and closes it once the watermark has passed: frames past
+their age expire, the oldest beyond the capacity are evicted, a walk by score under the bit budget sends, and what is
+left carries over. Only then is the carried list written anew. Frames of a window that is closed are late; they are
+returned as such, each in a row of its own, and not replayed. (A time to live isn't used for the age: Spark bounds it to
+processing time.)
+
+Frames of one day and equal bits are sent in order of their scores, no more than fit the budget in each of the few
+windows that hold the day. The ones beyond are never sent, so of them the state has only a count a day; so it follows
+days and costs, not frames. (With a capacity all frames are kept, as any may be what an eviction reaches.)
 
 State, checkpoint and output are in the shared folder: a query that stops goes on from its checkpoint.
 """
@@ -24,8 +29,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.selection import walk
 from ..session import shared_path, with_workers
 
-FRAME = "sol long, idx long, natural boolean, bits double, score double"
+#: A day's frames: how many there are, and those that are kept as arrays (idx, natural, bits, score), one behind the other.
+DAY = "sol long, n long, kept binary"
 COLUMNS = ["sol", "idx", "natural", "bits", "score"]
+_KINDS = {"idx": np.int64, "natural": np.int8, "bits": np.float64, "score": np.float64}
+#: Frames of a batch that are gathered before they are cut to what can be sent.
+GATHERED = 1 << 18
 #: window rows have idx null; late rows have their frame's sol (as first_sol) and idx, and the window that was next.
 OUT = (
     "kind string, run string, window long, first_sol long, last_sol long, n_arrived long, n_buffered long, n_selected long, n_expired long, n_evicted long, "
@@ -35,18 +44,40 @@ NAMES = [c.split(" ")[0] for c in OUT.split(", ")]
 DAY_MS = 86_400_000
 
 
-def close(held: pd.DataFrame, now: int, max_age: int, budget: float, capacity: int | None = None) -> tuple[dict, pd.DataFrame]:
-    """What a closing window expires, evicts and sends (``held`` has carried and new frames), and what carries over."""
+def close(held: pd.DataFrame, now: int, max_age: int, budget: float, capacity: int | None = None, counts: dict[int, int] | None = None) -> tuple[dict, pd.DataFrame, dict[int, int]]:
+    """What a closing window expires, evicts and sends (``held`` has carried and new frames), and what carries over.
+
+    ``counts`` has all frames of each day, also those that ``held`` leaves out as they are never sent.
+    """
+    counts = held["sol"].value_counts().to_dict() if counts is None else counts
+    counted = {sol: n for sol, n in counts.items() if now - sol <= max_age}
     fresh = held[now - held["sol"] <= max_age].sort_values(["sol", "idx"], kind="stable")
     over = 0 if capacity is None else max(0, len(fresh) - capacity)
-    kept = fresh.iloc[over:]
+    kept, n = fresh.iloc[over:], sum(counted.values())
     order = np.lexsort((kept["idx"].to_numpy(), -kept["score"].to_numpy(float)))
     taken = walk(order, kept["bits"].to_numpy(float), np.zeros(len(kept)), budget, 1.0)
     left = np.ones(len(kept), bool)
     left[taken] = False
     sent = kept.iloc[taken]
-    out = {"n_buffered": len(kept), "n_selected": len(taken), "n_expired": len(held) - len(fresh), "n_evicted": over, "bits_used": float(sent["bits"].sum()), "sent_natural": int(sent["natural"].sum())}
-    return out, kept[left]
+    out = {"n_buffered": n - over, "n_selected": len(taken), "n_expired": sum(counts.values()) - n, "n_evicted": over, "bits_used": float(sent["bits"].sum()), "sent_natural": int(sent["natural"].sum())}
+    for gone in (fresh.iloc[:over], sent):
+        for sol, m in gone["sol"].value_counts().items():
+            counted[sol] -= m
+    return out, kept[left], {sol: m for sol, m in counted.items() if m}
+
+
+def sendable(frames: pd.DataFrame, budget: float, turns: int) -> pd.DataFrame:
+    """Frames that walks of ``turns`` windows can send: of each day and cost (not negative), the best that fit each budget and one for rounding."""
+    sol, bits = frames["sol"].to_numpy(), frames["bits"].to_numpy(float)
+    order = np.lexsort((frames["idx"].to_numpy(), -frames["score"].to_numpy(float), bits, sol))
+    sol, bits = sol[order], bits[order]
+    begins = np.ones(len(order), bool)
+    begins[1:] = (sol[1:] != sol[:-1]) | (bits[1:] != bits[:-1])
+    at = np.flatnonzero(begins)
+    rank = np.arange(len(order)) - np.repeat(at, np.diff(at, append=len(order)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        most = np.where(bits > 0, turns * (np.floor(budget / bits) + 1), np.where(np.isnan(bits), 0, np.inf))
+    return frames.iloc[order[rank < most]]
 
 
 class Replay(StatefulProcessor):
@@ -57,8 +88,8 @@ class Replay(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", FRAME)
-        self.carried = handle.getListState("carried", FRAME)
+        self.waiting = handle.getListState("waiting", DAY)
+        self.carried = handle.getListState("carried", DAY)
         #: next window, first day that isn't in a closed one, earliest waiting day, late frames since the last window
         self.marks = handle.getValueState("marks", "window long, open_from long, first long, late long")
 
@@ -66,9 +97,13 @@ class Replay(StatefulProcessor):
         """The timer of a window that begins then: just before its last moment, as timers fire when passed."""
         return (first + self.length) * DAY_MS - 1
 
+    def _sendable(self, frames: pd.DataFrame) -> pd.DataFrame:
+        # A day is held by the window that it arrives in, and by those that begin until its age is over.
+        return frames if self.capacity is not None else sendable(frames, self.budget, self.max_age // self.length + 2)
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         window, open_from, first, late = self.marks.get() or (0, None, None, 0)
-        earliest = first
+        earliest, counts, some = first, {}, []
         for batch in rows:
             old = batch["sol"] < open_from if open_from is not None else pd.Series(False, index=batch.index)
             if old.any():
@@ -76,9 +111,17 @@ class Replay(StatefulProcessor):
                 yield pd.DataFrame({"kind": "late", "run": key[0], "window": window, "first_sol": batch["sol"][old], "idx": batch["idx"][old]}).reindex(columns=NAMES)
             own = batch[~old]
             if len(own):
-                self.waiting.appendList(_tuples(own))
-                least = int(own["sol"].min())
-                earliest = least if earliest is None else min(earliest, least)
+                earliest = int(own["sol"].min()) if earliest is None else min(earliest, int(own["sol"].min()))
+                for sol, n in own["sol"].value_counts().items():
+                    counts[sol] = counts.get(sol, 0) + n
+                some.append(own[COLUMNS].assign(natural=own["natural"].eq(True)))
+                if sum(map(len, some)) >= GATHERED:
+                    some = [self._sendable(pd.concat(some))]
+                    if len(some[0]) > GATHERED // 2:
+                        self.waiting.appendList(_packed(some[0], counts))
+                        counts, some = {}, []
+        if counts:
+            self.waiting.appendList(_packed(self._sendable(pd.concat(some)), counts))
         if earliest != first:
             if first is not None:
                 self.handle.deleteTimer(self._end(first))
@@ -88,20 +131,21 @@ class Replay(StatefulProcessor):
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         window, open_from, first, late = self.marks.get()
-        waiting = pd.DataFrame(list(self.waiting.get()), columns=COLUMNS).sort_values("sol", kind="stable")
-        carried = pd.DataFrame(list(self.carried.get()) if self.carried.exists() else [], columns=COLUMNS)
-        rows = []
-        while len(waiting) and self._end(first := int(waiting["sol"].iloc[0])) < passed:
-            cut = int(np.searchsorted(waiting["sol"].to_numpy(), first + self.length))
-            new, waiting = waiting.iloc[:cut], waiting.iloc[cut:]
-            last = int(new["sol"].iloc[-1])
-            done, carried = close(pd.concat([carried, new]) if len(carried) else new, last, self.max_age, self.budget, self.capacity)
-            rows.append({"kind": "window", "run": key[0], "window": window, "first_sol": first, "last_sol": last, "n_arrived": cut, **done, "n_late": late})
+        waiting, held = _read(self.waiting), _read(self.carried) if self.carried.exists() else []
+        (carried, carried_n), rows = _joined(held), []
+        waiting.sort(key=lambda day: day[0])
+        while waiting and self._end(first := waiting[0][0]) < passed:
+            cut = next((k for k, day in enumerate(waiting) if day[0] >= first + self.length), len(waiting))
+            (new, new_n), waiting = _joined(waiting[:cut]), waiting[cut:]
+            last = max(new_n)
+            counts = {sol: carried_n.get(sol, 0) + new_n.get(sol, 0) for sol in {**carried_n, **new_n}}
+            done, carried, carried_n = close(pd.concat([carried, new]) if len(carried) else new, last, self.max_age, self.budget, self.capacity, counts)
+            rows.append({"kind": "window", "run": key[0], "window": window, "first_sol": first, "last_sol": last, "n_arrived": sum(new_n.values()), **done, "n_late": late})
             window, open_from, late = window + 1, first + self.length, 0
-        first = int(waiting["sol"].iloc[0]) if len(waiting) else None
-        for state, left in ((self.waiting, waiting), (self.carried, carried)):
-            if len(left):
-                state.put(_tuples(left))
+        first = waiting[0][0] if waiting else None
+        for state, left in ((self.waiting, waiting), (self.carried, _packed(carried, carried_n))):
+            if left:
+                state.put(left)
             else:
                 state.clear()
         if first is not None:
@@ -114,9 +158,29 @@ class Replay(StatefulProcessor):
         pass
 
 
-def _tuples(frames: pd.DataFrame) -> list[tuple]:
-    kinds = (int, int, bool, float, float)
-    return [tuple(k(x) for k, x in zip(kinds, row, strict=True)) for row in zip(*(frames[c].tolist() for c in COLUMNS), strict=True)]
+def _packed(frames: pd.DataFrame, counts: dict[int, int]) -> list[tuple]:
+    """Each day of ``counts`` as an element of the state, with its frames."""
+    own = {sol: f for sol, f in frames.groupby("sol", sort=False)}
+    return [(int(sol), int(n), b"".join(own[sol][c].astype(k).to_numpy().tobytes() for c, k in _KINDS.items()) if sol in own else b"") for sol, n in sorted(counts.items())]
+
+
+def _read(state: Any) -> list[tuple]:
+    return [(int(sol), int(n), bytes(kept)) for sol, n, kept in state.get()]
+
+
+def _joined(days: list[tuple]) -> tuple[pd.DataFrame, dict[int, int]]:
+    """The frames of some elements, and how many frames each day has."""
+    counts: dict[int, int] = {}
+    parts: dict[str, list] = {c: [] for c in COLUMNS}
+    for sol, n, kept in days:
+        counts[sol] = counts.get(sol, 0) + n
+        m, at = len(kept) // sum(np.dtype(k).itemsize for k in _KINDS.values()), 0
+        parts["sol"].append(np.full(m, sol, np.int64))
+        for c, k in _KINDS.items():
+            parts[c].append(np.frombuffer(kept, k, m, at))
+            at += m * np.dtype(k).itemsize
+    found = {c: np.concatenate(x) if x else np.zeros(0, _KINDS.get(c, np.int64)) for c, x in parts.items()}
+    return pd.DataFrame(found | {"natural": found["natural"].astype(bool)}), counts
 
 
 def at_day(sol) -> F.Column:

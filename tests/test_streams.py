@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,17 @@ def test_last_window_of_counts_is_open_until_the_watermark_passes(spark):
     counted = lambda s: S.windowed_counts(s, "ts", "1 day", "1 hour")
     assert sum(r.n for r in S.played(spark, [rows], counted, "open").collect()) == 48
     assert sum(r.n for r in S.played(spark, [rows, end], counted, "ended").collect()) == 50
+
+
+def test_state_follows_days_and_costs_not_frames(spark, monkeypatch):
+    """A day's frames beyond what its windows can send are a count; those of no cost, or under a capacity, are all kept."""
+    rows = frames(5, n=2000, runs="a", days=8)
+    some = pd.DataFrame(rows, columns=["run", *S.COLUMNS])[S.COLUMNS]
+    kept = S.sendable(some, 20.0, 3)
+    assert len(kept) <= sum(8 * 3 * (20 // b + 1) for b in range(1, 10)) < 2000
+    assert len(S.sendable(some.assign(bits=0.0), 20.0, 3)) == 2000 and not len(S.sendable(some.assign(bits=math.nan), 20.0, 3))
+    rows = sorted(rows, key=lambda f: f[1])
+    monkeypatch.setattr(S, "GATHERED", 50)
+    for capacity in (None, 300):
+        got = streamed(spark, [rows[:900], rows[900:]], 2, 5, 20.0, capacity=capacity)
+        assert got == looped([rows], 2, 5, 20.0, capacity)
