@@ -95,6 +95,16 @@ def chain(previous: str, pool: list[int], seed: int) -> str:
     return hashlib.sha256(previous.encode() + np.sort(np.array(pool, np.int64)).tobytes() + str(seed).encode()).hexdigest()
 
 
+def _last_unfed(seen: list[int], fed_back: np.ndarray, most: int) -> list[int]:
+    """The last frames seen that weren't fed back, in order; looks only as far back as it must."""
+    back = most
+    while True:
+        pool = [i for i in seen[-back:] if not fed_back[i]]
+        if len(pool) >= most or back >= len(seen):
+            return pool[-most:]
+        back *= 2
+
+
 Model = Callable[[np.ndarray], np.ndarray]
 
 
@@ -149,7 +159,7 @@ def replay(f: Frames, method: str, cfg: Config, fit: Callable[[np.ndarray], Mode
             continue
         refit = False
         if cfg.adaptation == "online" and needs and (not booted and now >= cfg.bootstrap_sols or booted and cfg.refit_every > 0 and w % cfg.refit_every == 0):
-            pool = [i for i in seen if not fed_back[i]][-cfg.refit_max :]
+            pool = _last_unfed(seen, fed_back, cfg.refit_max)
             history = chain(history, [int(f.idx[i]) for i in pool], cfg.seed)
             if len(pool) >= cfg.refit_least and fit is not None:
                 if history not in memo:
@@ -263,7 +273,7 @@ def frames_of(table: pa.Table) -> Frames:
         values = table.column(name).combine_chunks()
         return np.asarray(values.flatten(), float).reshape(len(idx), -1)[order]
 
-    features = wide("features") if "features" in table.column_names else None
+    features = wide("features") if "features" in table.column_names and table.column("features").null_count < len(idx) else None
     return Frames(idx[order], sol[order], np.array(table.column("grp").to_pylist(), dtype=object)[order], table.column("bits").to_numpy()[order], wide("stats"), table.column("score").to_numpy()[order], features)
 
 
@@ -400,6 +410,10 @@ def _whole(frames: DataFrame, runs: list[tuple[str, str, Config]], log: bool, by
     dealt = list(lanes.values()) if share else [[k] for k in range(len(runs))]
     needed = ["idx", "sol", "grp", "bits", "stats", "score", *(["features"] if "features" in frames.columns else [])]
     each = frames.select(*by, *needed, F.explode(F.array(*[F.lit(k) for k in range(len(dealt))])).alias("_lane"))
+    refits = [cfg.adaptation == "online" and method in SCORE_BASED for _, method, cfg in runs]
+    if "features" in needed:  # runs that never refit get none
+        refitting = [k for k, own in enumerate(dealt) if any(refits[r] for r in own)]
+        each = each.withColumn("features", F.when(F.col("_lane").isin(refitting), F.col("features")))
     columns = ", ".join(c for c in RECORD.split(", ") if lists or c.split(" ")[0] not in LISTS) if log else SUMMARY
     schema = pa.schema([*[(c, _kind(frames.schema[c].dataType.simpleString())) for c in by], ("run_no", pa.int32()), *_arrow(columns)])
 
@@ -408,7 +422,7 @@ def _whole(frames: DataFrame, runs: list[tuple[str, str, Config]], log: bool, by
         key = {c: table.column(c)[0].as_py() for c in by}
         for k in dealt[table.column("_lane")[0].as_py()]:
             _, method, cfg = runs[k]
-            records, summary = replay(f, method, cfg, fit(f), memo)
+            records, summary = replay(f, method, cfg, fit(f) if refits[k] else None, memo)
             rows += [key | {"run_no": k} | r for r in (records if log else [summary])]
         return pa.Table.from_pylist(rows, schema=schema)
 

@@ -126,6 +126,26 @@ def test_refits_are_made_once_for_all_budgets():
         replay.principal(2)(replace(f, features=None))
 
 
+def test_runs_that_never_refit_get_no_features(spark):
+    def fit(f):
+        assert f.features is not None
+        return replay.nearest_to_mean(f)
+
+    def never(f):
+        raise AssertionError("no run refits")
+
+    frames, frozen = table_of(spark, rows()), [("a", "score_first", CFG), ("b", "fifo", CFG)]
+    want = {r.run: r for r in replay.run_all(frames, [*frozen, ("c", "score_first", ONLINE)], log=False, fit=fit).collect()}
+    assert want["c"].n_refits > 0
+    assert {r.run: r for r in replay.run_all(frames, frozen, log=False, fit=never).collect()} == {k: want[k] for k in "ab"}
+
+
+@pytest.mark.parametrize("most", [1, 3, 50])
+def test_the_last_frames_not_fed_back(most):
+    fed = np.arange(40) % 7 > 0
+    assert replay._last_unfed(list(range(40)), fed, most) == [i for i in range(40) if not fed[i]][-most:]
+
+
 def test_prefilters(spark):
     df = table_of(spark, rows()).drop("stats")
     x = np.array([r["features"] for r in rows()])
