@@ -18,8 +18,7 @@ def budget_demo(spark, sf_dir):
     """What three methods send for every user under both budgets, and how much of it is of interest."""
     items = candidates(with_workers(spark), sf_dir)
     wanted = mission(spark, sf_dir).filter("grp = 'natural'").select("idx")
-    plans = [S.greedy_arrow(items, ["user_id"], m).withColumn("method", F.lit(m)) for m in ("random", "score_first", "greedy_sweep")]
-    sent = plans[0].unionByName(plans[1]).unionByName(plans[2]).select("method", "total_value", F.explode("selected").alias("idx"))
+    sent = S.greedy_by_methods(items, ["user_id"], ["random", "score_first", "greedy_sweep"]).select(F.col("_walk").alias("method"), F.explode("selected").alias("idx"))
     both = sent.join(wanted.withColumn("hit", F.lit(1)), "idx", "left")
     return both.groupBy("method").agg(F.count("*").alias("n_sent"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 9).alias("precision"))
 

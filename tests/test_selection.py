@@ -60,3 +60,32 @@ def test_a_sweep_does_not_copy_its_candidates(spark):
     items = spark.createDataFrame(groups(3), SCHEMA)
     plan = selection.greedy_arrow(items, ["g"], "greedy_sweep")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "_weight" not in plan.replace("best_weight", "")
+
+
+@pytest.mark.parametrize("rows", [50, 1 << 17])
+def test_many_small_groups_walk_together_as_alone(spark, monkeypatch, rows):
+    """Groups cut out of batches at any place, walked in step and alone, give the plans of whole walks."""
+    rng = random.Random(7)
+    items = []
+    for g in (None, *range(400)):
+        budget_b, budget_c = rng.choice([9.0, 20.5, 1e9]), rng.choice([11.0, 30.0])
+        items += [(g, i, rng.choice([1.0, 2.0, rng.random() * 3, -1.0, 0.0, 1e300]), rng.choice([0.0, 0.1, 1.0, 2.5, 7.0]), rng.choice([0.0, 0.3, 1.0, 3.0]), budget_b, budget_c) for i in rng.sample(range(1000), rng.choice([1, 2, 7, 40]))]
+    frame = spark.createDataFrame(items, SCHEMA.replace("g string", "g long"))
+    monkeypatch.setattr(selection, "ROWS", rows)
+    monkeypatch.setattr(selection, "CELLS", 2000 if rows == 50 else 1 << 20)
+    monkeypatch.setattr(selection, "LANES", 30)
+    methods = ["random", "score_first", "greedy_ratio", "greedy_sweep"]
+    got = selection._planned(frame.repartition(3), ["g"], methods, 0, 21).collect()
+    found = {(r._walk, r.g): (list(r.selected), r.total_value, r.best_weight, r.n_candidates, r.binding_constraint) for r in got}
+    by = {g: [r for r in items if r[0] == g] for g in {r[0] for r in items}}
+    assert found == {(m, g): whole(own, m) for m in methods for g, own in by.items()} and len(got) == len(found)
+
+
+def test_methods_share_one_copy_of_candidates_that_cannot_be_cut(spark):
+    """One task call for many groups and all methods, and no ranks where every group's items of a cost fit."""
+    items = spark.range(3000).selectExpr("cast(id % 100 AS string) AS g", "id AS idx", "cast(id % 17 AS double) AS v", "cast(id AS double) + 1 AS b", "1D AS c", "3000D AS budget_b", "1000D AS budget_c")
+    plan = selection.greedy_by_methods(items, ["g"], ["random", "score_first", "greedy_sweep"])
+    said = plan._jdf.queryExecution().executedPlan().toString()
+    assert said.count("MapInArrow") == 1 and said.count("Exchange") == 1
+    assert "FlatMapGroups" not in said and "Window" not in said
+    assert plan.groupBy("_walk").count().orderBy("_walk").collect() == [("greedy_sweep", 100), ("random", 100), ("score_first", 100)]
