@@ -57,12 +57,17 @@ def ordered(v: np.ndarray, b: np.ndarray, c: np.ndarray, budget_b: float, budget
 
 
 def _most(items: DataFrame, keys: list[str]) -> int | None:
-    """The most items of one cost that fit any budget, and two more; None if no group has more of a cost than it can take."""
+    """The most items of one cost that fit any budget, and two more; None where a cut by that isn't worth its ranks.
+
+    It is where it takes an eighth of all items, or more of one group than a task walks at once.
+    """
     part = [F.when(F.col(x) > 0, F.floor(F.col(f"budget_{x}") / F.col(x))) for x in ("b", "c")]
     fits = F.least(*part) + 2  # null costs nothing
-    each = items.groupBy(*keys, "b", "c").agg(F.count("*").alias("n"), F.max(fits).alias("fits"), F.min(fits).alias("least"))
-    found = each.agg(F.max("fits").alias("most"), F.max(F.col("n") > F.col("least")).alias("cuts")).first()
-    return found.most if found.cuts and found.most < 1 << 31 else None
+    each = items.groupBy(*keys, "b", "c").agg(F.count("*").alias("n"), F.max(fits).alias("fits"))
+    over = F.greatest(F.lit(0), F.col("n") - F.col("fits"))
+    groups = each.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("fits").isNotNull(), over)).alias("over"), F.max("fits").alias("fits"))
+    found = groups.agg(F.max("fits").alias("most"), F.sum("n").alias("n"), F.sum("over").alias("over"), F.max("over").alias("hot")).first()
+    return found.most if found.over and (8 * found.over >= found.n or found.hot > ROWS) and found.most < 1 << 31 else None
 
 
 def reachable(items: DataFrame, keys: list[str], method: str) -> DataFrame:
@@ -70,7 +75,7 @@ def reachable(items: DataFrame, keys: list[str], method: str) -> DataFrame:
 
     Items of equal costs come in order, so of each cost no more than fit a budget are ever taken: the ranks beyond are
     cut, as far as Spark can below its shuffle. One more stays for rounding, and one that tells what was left behind.
-    Where no group has that many of a cost, nothing is ranked.
+    Where that takes little, nothing is ranked and all stay.
     """
     most = None if method == "random" else _most(items, keys)
     return items if most is None else _cut(items, keys, method, most)

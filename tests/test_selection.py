@@ -89,3 +89,13 @@ def test_methods_share_one_copy_of_candidates_that_cannot_be_cut(spark):
     assert said.count("MapInArrow") == 1 and said.count("Exchange") == 1
     assert "FlatMapGroups" not in said and "Window" not in said
     assert plan.groupBy("_walk").count().orderBy("_walk").collect() == [("greedy_sweep", 100), ("random", 100), ("score_first", 100)]
+
+
+def test_a_few_items_too_many_of_a_cost_rank_nothing(spark):
+    """One group with more of a cost than fits does not make all groups' items be ranked; the plans stay those of whole walks."""
+    items = [(str(g), i, float(i * 7 % 11), 1.0 if g == 0 else 1.0 + i, 1.0, 12.0 if g == 0 else 60.0, 100.0) for g in range(30) for i in range(30)]
+    frame = spark.createDataFrame(items, SCHEMA)
+    plan = selection.greedy_arrow(frame, ["g"], "greedy_sweep")
+    assert "Window" not in plan._jdf.queryExecution().executedPlan().toString()
+    found = {r.g: (list(r.selected), r.total_value, r.best_weight, r.n_candidates, r.binding_constraint) for r in plan.collect()}
+    assert found == {str(g): whole([r for r in items if r[0] == str(g)], "greedy_sweep") for g in range(30)}
